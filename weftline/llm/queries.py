@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import groups, terms, tokenizer
+from . import groups, names, terms, tokenizer, values
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return names.same_entities(table(spark, folder, "entities"))
+
+
+def _values(spark: SparkSession, folder: str) -> DataFrame:
+    return values.concepts_of_values(*(table(spark, folder, t) for t in ("candidates", "synonym_requests", "concepts")))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _values(spark, folder).select("origin", "record_id", "concept_id")
+
+
+def p2_report(spark: SparkSession, folder: str) -> DataFrame:
+    """How many values of each origin were found in which way, 0 being not at all."""
+    return _values(spark, folder).groupBy("origin", "way").count()
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return terms.observed_term_marks(table(spark, folder, "observations"))
 
@@ -28,7 +45,7 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_report": p2_report, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids}
 
 
 def oracle_sql() -> dict[str, str]:
