@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import groups, names, terms, tokenizer, values
+from . import groups, mixing, names, spam, terms, tokenizer, values
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,8 +44,26 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.encode(table(spark, folder, "documents"))
 
 
+def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of all tokens that each source really reached."""
+    return mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spam.keyword_pages(table(spark, folder, "documents")).select("doc_id")
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages found with their language and the share of their text that is no sentences."""
+    return spam.keyword_pages(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_report": p2_report, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_report": p2_report, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shares": p9_shares}
 
 
 def oracle_sql() -> dict[str, str]:
