@@ -1,4 +1,4 @@
-"""The registered queries of the core and the SQL that gives the same rows."""
+"""Hierarchies and snapshot changes."""
 
 from __future__ import annotations
 
@@ -7,13 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import hierarchy, snapshots
+from ..operators import hierarchy, snapshots
+from .tables import Query, table
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def _hierarchy(paths: bool) -> Callable[[SparkSession, str], DataFrame]:
