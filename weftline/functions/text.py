@@ -74,9 +74,12 @@ def proof_units(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return units.select(key, "pos", "part", unit.alias("unit"))
 
 
-def word_windows(c: Column, size: int = 200, overlap: int = 25) -> Column:
-    """Windows of ``size`` words that overlap by ``overlap``; the last one ends with the text. A null or blank text has none."""
-    words = F.filter(F.split(c, r"\s+"), lambda w: w != "")
+def split_words(c: Column) -> Column:
+    return F.filter(F.split(c, r"\s+"), lambda w: w != "")
+
+
+def word_windows(words: Column, size: int = 200, overlap: int = 25) -> Column:
+    """Windows of ``size`` words that overlap by ``overlap``; the last one ends with the text. No words give none. ``words`` should be a column, as the windows read it again and again."""
     n = F.size(words)
     starts = F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(size - overlap))
     return F.when(n > 0, F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, size), " ")))

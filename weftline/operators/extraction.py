@@ -40,9 +40,9 @@ RULES = (
 
 
 def sentences(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, pos, sentence) of every sentence longer than SENTENCE characters; a line end ends a sentence as a mark does."""
+    """(key, sent, sentence) of every sentence longer than SENTENCE characters; a line end ends a sentence as a mark does."""
     parts = F.split(F.regexp_replace(F.col(text), r"([.!?\n])\s+", "$1\u0001"), "\u0001")
-    rows = docs.where(F.col(text).isNotNull()).select(key, F.posexplode(parts).alias("pos", "sentence")).withColumn("sentence", F.trim(F.regexp_replace("sentence", r"\s+", " ")))
+    rows = docs.where(F.col(text).isNotNull()).select(key, F.posexplode(parts).alias("sent", "sentence")).withColumn("sentence", F.trim(F.regexp_replace("sentence", r"\s+", " ")))
     return rows.where(F.length("sentence") > SENTENCE)
 
 
@@ -60,15 +60,15 @@ def triples(docs: DataFrame, key: str, forms: DataFrame, rules: tuple[Rule, ...]
     are left out. Null texts state nothing.
     """
     told = sentences(docs, key, text)
-    found = vocab.occurrences(told, [key, "pos"], forms.select("form", "concept_id", "kind").distinct(), "sentence")
-    kept = vocab.without_parts(found.select(key, "pos", "form").distinct(), [key, "pos"])
-    matched = kept.join(forms.select("form", "concept_id", "kind").distinct(), "form").join(told, [key, "pos"])
+    found = vocab.occurrences(told, [key, "sent"], forms.select("form", "concept_id", "kind").distinct(), "sentence")
+    kept = vocab.without_parts(found.select(key, "sent", "form").distinct(), [key, "sent"])
+    matched = kept.join(forms.select("form", "concept_id", "kind").distinct(), "form").join(told, [key, "sent"])
     low = F.lower("sentence")
     made = F.array(*[
         F.when(F.col("kind").isin(*r.kinds) & (_any(low, r.cues) if r.required else F.lit(True)), F.struct(F.lit(i).alias("rule"), F.lit(r.predicate).alias("predicate"), F.when(_any(low, r.cues), r.cued).otherwise(r.uncued).alias("confidence")))
         for i, r in enumerate(rules)
     ])
-    each = matched.select(key, "pos", "concept_id", "form", "sentence", F.explode(F.filter(made, lambda m: m.isNotNull())).alias("m"))
+    each = matched.select(key, "sent", "concept_id", "form", "sentence", F.explode(F.filter(made, lambda m: m.isNotNull())).alias("m"))
     each = each.where(F.length("concept_id") >= OBJECT)
-    first = F.min_by(F.struct(F.col("m.confidence").alias("confidence"), F.substring("sentence", 1, EVIDENCE).alias("evidence")), F.struct("m.rule", "pos", "form"))
+    first = F.min_by(F.struct(F.col("m.confidence").alias("confidence"), F.substring("sentence", 1, EVIDENCE).alias("evidence")), F.struct("m.rule", "sent", "form"))
     return each.groupBy(key, F.col("m.predicate").alias("predicate"), F.col("concept_id").alias("object")).agg(first.alias("f")).select(key, "predicate", "object", F.round("f.confidence", 2).alias("confidence"), "f.evidence")

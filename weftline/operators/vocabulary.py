@@ -32,7 +32,9 @@ def vocabulary(concepts: DataFrame) -> DataFrame:
 
 def occurrences(texts: DataFrame, keys: list[str], forms: DataFrame, text: str = "text", longest: int = LONGEST) -> DataFrame:
     """(keys..., pos, n, and the columns of ``forms``) of every place where a form stands in a text. Null texts hold none."""
-    runs = texts.select(*keys, F.explode(tx.ngrams(words(F.col(text)), longest)).alias("g")).select(*keys, F.col("g.pos").alias("pos"), F.col("g.n").alias("n"), F.col("g.gram").alias("form"))
+    # the words are a column of their own, as an expression within a lambda is computed for every element
+    worded = texts.select(*keys, words(F.col(text)).alias("__words")).where(F.size("__words") > 0)
+    runs = worded.select(*keys, F.explode(tx.ngrams(F.col("__words"), longest)).alias("g")).select(*keys, F.col("g.pos").alias("pos"), F.col("g.n").alias("n"), F.col("g.gram").alias("form"))
     return runs.join(forms, "form")
 
 

@@ -6,7 +6,7 @@ import importlib
 
 from .tables import Query
 
-_FAMILIES = ("trees", "store", "texts", "vocab")
+_FAMILIES = ("trees", "store", "texts", "vocab", "registries")
 
 
 def _modules():

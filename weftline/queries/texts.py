@@ -51,8 +51,8 @@ def q_proof_units(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    d = _docs(spark, folder).where(F.trim(T.collapse(F.col("text"))) != "")
-    return d.select("doc_id", F.posexplode(T.word_windows(F.col("text"))).alias("pos", "chunk")).select("doc_id", "pos", F.length("chunk").alias("length"), F.sha1("chunk").alias("chunk"))
+    d = _docs(spark, folder).select("doc_id", T.split_words(F.col("text")).alias("words"))
+    return d.select("doc_id", F.posexplode(T.word_windows(F.col("words"))).alias("pos", "chunk")).select("doc_id", "pos", F.length("chunk").alias("length"), F.sha1("chunk").alias("chunk"))
 
 
 def q_glued_words(spark: SparkSession, folder: str) -> DataFrame:

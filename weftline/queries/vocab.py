@@ -41,8 +41,8 @@ def q_gap(spark: SparkSession, folder: str) -> DataFrame:
 def q_overlap(spark: SparkSession, folder: str) -> DataFrame:
     """Forms of each sentence that stand in no longer one."""
     told = extraction.sentences(table(spark, folder, "documents"), "doc_id")
-    found = V.occurrences(told, ["doc_id", "pos"], V.vocabulary(table(spark, folder, "concepts")), "sentence")
-    return V.without_parts(found, ["doc_id", "pos"])
+    found = V.occurrences(told, ["doc_id", "sent"], V.vocabulary(table(spark, folder, "concepts")), "sentence")
+    return V.without_parts(found, ["doc_id", "sent"])
 
 
 def q_triples(spark: SparkSession, folder: str) -> DataFrame:
@@ -143,7 +143,7 @@ def oracle_sql() -> dict[str, str]:
             select s.source, s.vertical_id, p.concept_id, p.others, case when p.others >= 2 then 'High' else 'Medium' end as priority
             from (select distinct source, vertical_id from has) s join spread p using (vertical_id)
             where not exists (select 1 from has h where h.source = s.source and h.vertical_id = s.vertical_id and h.concept_id = p.concept_id)""",
-        "q_overlap": f"with {_SENTENCES} select doc_id, pos0::int as pos, form from alone",
+        "q_overlap": f"with {_SENTENCES} select doc_id, pos0::int as sent, form from alone",
         "q_triples": f"""with {_SENTENCES},
             matched as (select a.doc_id, a.pos0, f.concept_id, f.kind, a.form, k.sentence from alone a join (select distinct form, concept_id, kind from forms) f using (form) join kept_ k on k.doc_id = a.doc_id and k.pos0 = a.pos0),
             made as ({_rules_sql()})
