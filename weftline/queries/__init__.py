@@ -6,7 +6,7 @@ import importlib
 
 from .tables import Query
 
-_FAMILIES = ("trees", "store", "texts", "vocab", "registries")
+_FAMILIES = ("trees", "store", "texts", "vocab", "registries", "ranks")
 
 
 def _modules():
