@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import ngrams
+from .vocabulary import LONGEST, words
+
 #: Words that let a relation be expected, and the relations with their confidence (fixed values).
 EXPECTED = (
     ("revenue recognition|asc 606|rev rec|deferred revenue|contract asset", (("compliesWith", "ASC 606", 0.96), ("compliesWith", "IFRS 15", 0.92), ("integratesWith", "Salesforce", 0.94), ("integratesWith", "NetSuite", 0.91), ("supportsCapability", "Deferred Revenue Waterfall", 0.90))),
@@ -15,11 +18,9 @@ EXPECTED = (
 BENCHMARK = 16
 
 
-def _contains_any(c: Column, words: list[str]) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | F.contains(c, F.lit(w))
-    return out
+def runs(c: Column) -> Column:
+    """The distinct runs of words of a text of words."""
+    return F.array_distinct(F.transform(ngrams(F.split(c, " "), LONGEST), lambda g: g["gram"]))
 
 
 def expected_links(terms: DataFrame, existing: DataFrame, key: str) -> DataFrame:
@@ -49,12 +50,16 @@ def compliance(objects: DataFrame, key: str, steps: DataFrame) -> DataFrame:
     """(key, standard, satisfied, steps, status) of each standard of which a subject satisfies a step.
 
     ``objects`` has key and object; ``steps`` standard, step, pattern (a phrase), least (steps that
-    satisfy the standard). A step is satisfied where the phrase and an object contain each other; an
-    empty object satisfies nothing. The status is compliant for all steps, satisfied from least on, else partial.
+    satisfy the standard). A step is satisfied where the phrase stands in an object as whole words or
+    the object in the phrase; an empty object satisfies nothing. The status is compliant for all steps, satisfied from least on, else partial.
     """
-    said = objects.select(key, F.lower(F.trim("object")).alias("o")).where(F.col("o") != "").distinct()
-    low = F.lower("pattern")
-    met = said.join(steps, F.contains("o", low) | F.contains(low, F.col("o"))).groupBy(key, "standard").agg(F.count_distinct("step").alias("satisfied"))
+    flat = lambda c: F.array_join(words(F.col(c)), " ")
+    said = objects.select(key, flat("object").alias("o")).where(F.col("o") != "").distinct()
+    asked = steps.select("standard", "step", flat("pattern").alias("pattern")).where(F.col("pattern") != "")
+    # containment either way as an equi-join on runs of words
+    within = said.select(key, F.explode(runs(F.col("o"))).alias("pattern")).join(asked, "pattern").select(key, "standard", "step")
+    around = said.join(asked.select("standard", "step", F.explode(runs(F.col("pattern"))).alias("o")), "o").select(key, "standard", "step")
+    met = within.unionByName(around).groupBy(key, "standard").agg(F.count_distinct("step").alias("satisfied"))
     totals = steps.groupBy("standard").agg(F.count_distinct("step").alias("steps"), F.max("least").alias("least"))
     status = F.when(F.col("satisfied") == F.col("steps"), "compliant").when(F.col("satisfied") >= F.col("least"), "satisfied").otherwise("partial")
     return met.join(totals, "standard").select(key, "standard", "satisfied", "steps", status.alias("status"))

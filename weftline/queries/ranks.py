@@ -140,9 +140,9 @@ def oracle_sql() -> dict[str, str]:
         "q_rate_window": "select event_id, count(*) over (partition by user_id order by epoch_us(ts::timestamp) range between 3599999999 preceding and current row) as recent from events",
         "q_links_predict": _expected_sql(),
         "q_compliance": """
-            with labels as (select id as step, lower(preflabel) as pattern from concepts), steps as (select g.id as standard, g.step, l.pattern from (select id, unnest(governs) as step from concepts) g join labels l using (step)),
-            said as (select distinct lower(trim(domain)) as domain, lower(trim(f.key)) as o from (select domain, unnest(forms) as f from observations) where trim(domain) <> '' and trim(f.key) <> ''),
-            met as (select s.domain, p.standard, count(distinct p.step) as satisfied from said s join steps p on contains(s.o, p.pattern) or contains(p.pattern, s.o) group by 1, 2),
+            with labels as (select id as step, array_to_string(regexp_extract_all(lower(preflabel), '[a-z0-9]+'), ' ') as pattern from concepts), steps as (select g.id as standard, g.step, l.pattern from (select id, unnest(governs) as step from concepts) g join labels l using (step)),
+            said as (select distinct lower(trim(domain)) as domain, array_to_string(regexp_extract_all(lower(f.key), '[a-z0-9]+'), ' ') as o from (select domain, unnest(forms) as f from observations) where trim(domain) <> '' and trim(f.key) <> ''),
+            met as (select s.domain, p.standard, count(distinct p.step) as satisfied from said s join steps p on contains(' ' || s.o || ' ', ' ' || p.pattern || ' ') or contains(' ' || p.pattern || ' ', ' ' || s.o || ' ') group by 1, 2),
             totals as (select standard, count(distinct step) as steps from steps group by 1)
             select domain, standard, satisfied, steps, case when satisfied = steps then 'compliant' when satisfied >= 1 then 'satisfied' else 'partial' end as status from met join totals using (standard)""",
         "q_readiness": """
