@@ -40,6 +40,11 @@ def _file_system(spark: SparkSession, path: str):
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    fs, hadoop = _file_system(spark, path)
+    return fs.exists(hadoop) and fs.getFileStatus(hadoop).isFile()
+
+
 class Scratch:
     """A folder of written tables that belong to one run of one operator.
 
