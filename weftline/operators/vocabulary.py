@@ -1,21 +1,26 @@
 """Vocabularies: finding their forms in texts, classifying by them, and what texts cover.
 
-Forms are matched as runs of words, so a form is found by an equi-join of the
-texts' word runs with the list of forms; the list is small and Spark broadcasts
-it while its size allows, beyond that the join is shuffled. Nothing else is
+Forms are matched as runs of whole words: a list of bounded size by a walk over
+each text, a longer one by an equi-join of the texts' runs with it. Nothing is
 shuffled before the result is aggregated.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..functions import urls
+from ..plans.spread import spread
 
-#: Words a form has at most.
-LONGEST = 6
+#: Words a form has at most, and forms that are sent to the tasks at most.
+LONGEST, SENT = 6, 200_000
 
 
 def words(c: Column) -> Column:
@@ -31,11 +36,48 @@ def vocabulary(concepts: DataFrame) -> DataFrame:
 
 
 def occurrences(texts: DataFrame, keys: list[str], forms: DataFrame, text: str = "text", longest: int = LONGEST) -> DataFrame:
-    """(keys..., pos, n, and the columns of ``forms``) of every place where a form stands in a text. Null texts hold none."""
-    # the words are a column of their own, as an expression within a lambda is computed for every element
-    worded = texts.select(*keys, words(F.col(text)).alias("__words")).where(F.size("__words") > 0)
-    runs = worded.select(*keys, F.explode(tx.ngrams(F.col("__words"), longest)).alias("g")).select(*keys, F.col("g.pos").alias("pos"), F.col("g.n").alias("n"), F.col("g.gram").alias("form"))
-    return runs.join(forms, "form")
+    """(keys..., pos, n, and the columns of ``forms``) of every place where a form stands in a text. Null texts hold none.
+
+    A list of at most SENT forms is sent to the tasks, which walk each text
+    once; a longer one is joined with all runs of up to ``longest`` words.
+    """
+    spark = texts.sparkSession
+    listed = [r[0] for r in forms.select("form").distinct().limit(SENT + 1).collect()]
+    if len(listed) > SENT:
+        # the words are a column of their own, as an expression within a lambda is computed for every element
+        worded = texts.select(*keys, words(F.col(text)).alias("__words")).where(F.size("__words") > 0)
+        runs = worded.select(*keys, F.explode(tx.ngrams(F.col("__words"), longest)).alias("g")).select(*keys, F.col("g.pos").alias("pos"), F.col("g.n").alias("n"), F.col("g.gram").alias("form"))
+        return runs.join(forms, "form")
+    sent = spark.sparkContext.broadcast(listed)
+    one = spread(texts.select(F.col(text).alias("__text"), *keys))
+    schema = T.StructType([*one.schema.fields[1:], T.StructField("pos", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("form", T.StringType())])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin: dict[str, set[int]] = {}
+        for f in sent.value:
+            w = f.split(" ")
+            if len(w) <= longest:
+                begin.setdefault(w[0], set()).add(len(w))
+        starts, known = {w: sorted(ns) for w, ns in begin.items()}, set(sent.value)
+        find = re.compile("[a-z0-9]+").findall
+        for b in batches:
+            rows, at, size, form = [], [], [], []
+            for i, t in enumerate(b.column(0).to_pylist()):
+                if not t:
+                    continue
+                w = find(t.lower())
+                for k in [k for k, x in enumerate(w) if x in starts]:
+                    for n in starts[w[k]]:
+                        f = w[k] if n == 1 else " ".join(w[k : k + n])
+                        if f in known and k + n <= len(w):
+                            rows.append(i)
+                            at.append(k + 1)
+                            size.append(n)
+                            form.append(f)
+            took = [c.take(pa.array(rows, pa.int64())) for c in b.columns[1:]]
+            yield pa.RecordBatch.from_arrays([*took, pa.array(at, pa.int32()), pa.array(size, pa.int32()), pa.array(form, pa.string())], schema.names)
+
+    return one.mapInArrow(walk, schema).join(forms, "form")
 
 
 def longest_first(found: DataFrame, keys: list[str]) -> DataFrame:
