@@ -69,6 +69,6 @@ def triples(docs: DataFrame, key: str, forms: DataFrame, rules: tuple[Rule, ...]
         for i, r in enumerate(rules)
     ])
     each = matched.select(key, "sent", "concept_id", "form", "sentence", F.explode(F.filter(made, lambda m: m.isNotNull())).alias("m"))
-    each = each.where(F.length("concept_id") >= OBJECT)
+    each = each.where(F.length("form") >= OBJECT)
     first = F.min_by(F.struct(F.col("m.confidence").alias("confidence"), F.substring("sentence", 1, EVIDENCE).alias("evidence")), F.struct("m.rule", "sent", "form"))
     return each.groupBy(key, F.col("m.predicate").alias("predicate"), F.col("concept_id").alias("object")).agg(first.alias("f")).select(key, "predicate", "object", F.round("f.confidence", 2).alias("confidence"), "f.evidence")
