@@ -89,7 +89,7 @@ def word_similarity(typed: str, word: str) -> tuple[float, bool]:
     return near, False
 
 
-def _letters(word: str) -> int:
+def letters(word: str) -> int:
     """The set of a word's letters as bits: words within three edits differ in at most three letters either way."""
     bits = 0
     for c in word:
@@ -106,7 +106,7 @@ class Words:
     """
 
     def __init__(self, names: Iterable[str]):
-        self.all = {w: _letters(w) for name in names for w in fold(name).split() if w not in LINKS}
+        self.all = {w: letters(w) for name in names for w in fold(name).split() if w not in LINKS}
         self.stems: dict[str, list[str]] = defaultdict(list)
         for w in sorted(self.all):
             self.stems[stem(w)].append(w)
@@ -120,10 +120,12 @@ class Words:
             if same:
                 found = [(w, 1.0 if w == typed else 0.98) for w in same]
             else:
-                mask = _letters(typed)
+                mask = letters(typed)
                 found, short = [], []
+                most = 1 if len(typed) < 5 else 2 if len(typed) < 10 else 3
                 for w, m in self.all.items():
-                    if (mask & ~m).bit_count() <= 3:
+                    more = (mask & ~m).bit_count()
+                    if (more <= most and (m & ~mask).bit_count() <= most) or (not more and typed[0] == w[0] and len(typed) < len(w)):
                         near, cut = word_similarity(typed, w)
                         if near >= LEAST_WORD:
                             (short if cut else found).append((w, near))
@@ -157,7 +159,7 @@ class Names:
             self.words.append(words)
             for w in set(words):
                 self.by_word[w].append(i)
-        self.flat = [(key, plain, _letters(plain), {stem(w) for w in words}) for key, words in zip(self.names, self.words) if len(plain := "".join(words)) >= 6]
+        self.flat = [(key, plain, letters(plain), {stem(w) for w in words}) for key, words in zip(self.names, self.words) if len(plain := "".join(words)) >= 6]
         if self.names:
             self.automaton.make_automaton()
 
@@ -228,11 +230,11 @@ class Names:
         if len(flat) < 6:
             return None
         kept = {stem(w) for w in typed if w in self.known.all and len(w) > 3}
-        mask = _letters(flat)
+        mask = letters(flat)
         near = []
-        for key, plain, letters, words in self.flat:
+        for key, plain, held, words in self.flat:
             most = max(1, min(3, len(plain) // 7))
-            if abs(len(plain) - len(flat)) <= most and (mask & ~letters).bit_count() <= most and (letters & ~mask).bit_count() <= most and kept <= words:
+            if abs(len(plain) - len(flat)) <= most and (mask & ~held).bit_count() <= most and (held & ~mask).bit_count() <= most and kept <= words:
                 d = distance(flat, plain, most)
                 if d <= most:
                     near.append((d, key))
