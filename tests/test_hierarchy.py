@@ -62,3 +62,11 @@ def test_decisions_that_stand(spark):
     rows = [("v", "k", "2", "approve", " L ", "P"), ("v", "k", "1", "approve", "L", "old"), ("v", "j", "1", "approve", " ", " Q "), ("v", "r", "1", "reject", "R", "P"), ("v", "n", None, "approve", None, " ")]
     df = spark.createDataFrame(rows, "vertical_id string, key string, event_id string, decision string, label string, broader string")
     assert {tuple(r) for r in h.decision_links(df).collect()} == {("v", "l", "p"), ("v", "j", "q")}
+
+
+def test_hot_parents_are_split_off(spark, monkeypatch):
+    from weftline.plans import skew
+
+    monkeypatch.setattr(skew, "HOT_ROWS", 40)
+    links = [("s", f"n{i}", "hub" if i % 2 else f"n{i + 1}") for i in range(200)] + [("s", "hub", "top"), ("s", "n200", "hub")]
+    assert solve(spark, links) == brute(links)

@@ -93,3 +93,19 @@ def test_engine(spark):
     except AttributeError:
         pass
     assert registry.GENERIC
+
+
+def test_vocabulary_default_and_added_concepts(spark):
+    from weftline.operators import alignment as A
+
+    values = spark.createDataFrame([("v", "segments", "SMB", False), ("v", "segments", "found", True), ("w", "other", "x", False)], "group string, field string, value string, evidenced boolean")
+    default = spark.createDataFrame([("segments", "Enterprise")], "field string, value string")
+    got = {tuple(r) for r in A.vocabulary_or_default(values, default, "group").collect()}
+    assert got == {("v", "segments", "SMB"), ("v", "segments", "Enterprise"), ("w", "other", "x"), ("w", "segments", "Enterprise")}
+    have = spark.createDataFrame([("v", "data-export", "Data Export")], "vertical_id string, concept_id string, form string")
+    new = spark.createDataFrame([("v", "data-EXPORT"), ("v", "Data/Export!"), ("v", "Zeta"), ("v", "zeta.")], "vertical_id string, label string")
+    assert {(r.label, r.id, r.form_owner) for r in A.added_concepts(have, new).collect()} == {("data-EXPORT", None, "data-export"), ("Data/Export!", None, "data-export"), ("Zeta", "zeta", None), ("zeta.", "zeta-2", None)}
+    jobs = spark.createDataFrame([("a", "running", None), ("b", "done", None)], "id string, status string, leased_at timestamp")
+    assert [r.id for r in K.stale(jobs, F.current_timestamp(), 60).collect()] == ["a"]
+    cache = spark.sql("select 'k' as key, 'c' as content, timestamp'2020-01-01' as stored_at union all select 'k', 'd', timestamp'2024-01-01'")
+    assert [r.content for r in files.fresh(cache, F.lit("2024-01-01 00:00:30").cast("timestamp"), 60).collect()] == ["d"]

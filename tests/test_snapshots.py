@@ -53,3 +53,13 @@ def test_edges(spark):
 def test_chain(spark):
     g = spark.createDataFrame([("https://h/audit/2", "run"), ("https://h/audit/1", "run"), ("https://h/audit/1", "run"), ("https://h/x/1", "run"), (None, "run"), ("https://h/audit/3", "ontology")], "graph_id string, kind string")
     assert {(r.graph_id, r.earlier) for r in s.run_chain(g).collect()} == {("https://h/audit/1", None), ("https://h/audit/2", "https://h/audit/1")}
+
+
+def test_large_snapshots_are_split_off(spark, monkeypatch):
+    from weftline.plans import skew
+
+    monkeypatch.setattr(skew, "HOT_ROWS", 60)
+    r = random.Random(2)
+    rows = [(f"g{0 if r.random() < 0.6 else r.randrange(4)}", str(r.randrange(80)), "p", str(r.randrange(3))) for _ in range(700)]
+    chain = [("g0", None), ("g1", "g0"), ("g2", "g1"), ("g3", "g2")]
+    assert solve(spark, rows, chain, 8) == brute(rows, chain)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.skew import lookup_join
+from ..plans.storage import Scratch
+
 #: Lines of page chrome that prove nothing (fixed values).
 CHROME = (
     r"(?i)^(hit enter to search|skip to (main )?content|search( for)?[:.]?$|close( menu)?$|menu$|(first|last) ?name\**$|e-?mail\**$|stage$|lead source$|last call to action( details)?$"
@@ -44,12 +47,13 @@ def repeated_blocks(docs: DataFrame, site: str, page: str, text: str = "text", l
 
     A block that stands on ``least`` pages of a site or more is boilerplate and
     dropped, except on the first page (in order of ``page``) and place where it stands. A
-    null site is a site. The count is taken with partial aggregation and joined back, so a block on a third of all pages
-    does not gather in one task.
+    null site is a site. Counts come from partial aggregation, and blocks with a great share of all rows are
+    joined with theirs where they lie.
     """
     blocks = lines(docs, [site, page], text).select(F.coalesce(F.concat(F.lit("="), F.col(site)), F.lit("")).alias("at"), F.col(page).alias("page"), "pos", block_key(F.col("line")).alias("key")).where(F.col("key").isNotNull())
+    blocks = Scratch(docs.sparkSession, "blocks").keep(blocks)
     counts = blocks.groupBy("at", "key").agg(F.count_distinct("page").alias("pages"), F.min(F.struct("page", "pos")).alias("first"))
-    judged = blocks.join(counts, ["at", "key"])
+    judged = lookup_join(blocks, counts, ["at", "key"], "inner")
     first = (F.col("page") == F.col("first.page")) & (F.col("pos") == F.col("first.pos"))
     own = F.when(F.col("at") == "", F.lit(None)).otherwise(F.substring("at", 2, 1 << 30))
     return judged.select(own.alias(site), F.col("page").alias(page), "pos", "key", "pages", ((F.col("pages") >= least) & ~first).alias("dropped"))

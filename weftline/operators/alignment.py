@@ -40,7 +40,9 @@ def vocabulary_or_default(values: DataFrame, default: DataFrame, group: str, fie
     own = values.where(F.trim("value") != "")
     curated = own.where(~F.coalesce("evidenced", F.lit(False))).select(group, field, "value")
     pure = own.groupBy(group, field).agg(F.bool_or(F.coalesce("evidenced", F.lit(False))).alias("mixed")).where(~F.col("mixed")).select(group, field)
-    filled = groups.select(group, F.explode(F.array(*[F.lit(r[0]) for r in default.select(field).distinct().collect()]) if default.columns else F.array()).alias(field)).join(pure, [group, field], "left_anti").join(default.select(field, "value"), field).select(group, field, "value")
+    # the list of fields is that of the profile's schema
+    fields = [r[0] for r in default.select(field).distinct().collect()]
+    filled = groups.withColumn(field, F.explode(F.array(*[F.lit(f) for f in fields]).cast("array<string>"))).join(pure, [group, field], "left_anti").join(default.select(field, "value"), field).select(group, field, "value")
     return curated.unionByName(filled).distinct()
 
 
