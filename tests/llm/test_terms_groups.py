@@ -85,3 +85,10 @@ def test_chains_stars_loops(spark):
     star = [("zz-hub", f"s{i}") for i in range(100)]
     check_groups(spark, chain + star + [("l1", "l2"), ("l2", "l3"), ("l3", "l1"), ("self", "self"), (None, "x"), ("x", None)] + chain[:3])
     check_groups(spark, [])
+
+
+def test_hot_members_are_split_off(spark, monkeypatch):
+    from weftline.plans import skew
+
+    monkeypatch.setattr(skew, "HOT_ROWS", 40)
+    check_groups(spark, [("hub", f"s{i}") for i in range(120)] + [(f"s{i}", f"t{i}") for i in range(60)] + [("x", "y")])
