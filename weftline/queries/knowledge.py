@@ -164,7 +164,9 @@ _SLUG = "coalesce(nullif(substr(regexp_replace(regexp_replace(lower({0}), '[^a-z
 
 
 def oracle_sql() -> dict[str, str]:
-    from .vocab import _DOCS
+    from .vocab import _DOCS, facts_sql
+
+    stems = "list_distinct(list_transform(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: length(w) > 3 and w not in (" + ", ".join(f"'{w}'" for w in buyers.FILLER) + ")), lambda w: substr(w, 1, 5)))"
 
     names = " ".join(f"when n = '{a}' then '{b}'" for a, b in K.CLASS_NAMES.items())
     cls = "case {0} " + " ".join(f"when '{k}' then '{K.CLASS_NAMES.get(k.capitalize(), k.capitalize())}'" for k in ("process", "feature", "standard", "pricing", "domain")) + " end"
@@ -194,5 +196,17 @@ def oracle_sql() -> dict[str, str]:
         "q_event_ids": "select event_id as number, printf('%013d-%05d', epoch_ms(ts::timestamp), row_number() over (partition by epoch_ms(ts::timestamp) order by event_id) - 1) as event_id from events",
         "q_crawl_summary": """select lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)) as site, coalesce(list_filter(string_split(lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)), '/'), lambda s: s <> '')[1], 'home') as kind,
             count(*) filter (trim(coalesce(text, ''), ' ') <> '') as read, count(*) filter (trim(coalesce(text, ''), ' ') = '') as unread from documents where url is not null group by 1, 2""",
+        "q_page_summary": f"""with {facts_sql()}, per as (select doc_id, predicate, count(*) as n from facts group by 1, 2),
+            c as (select doc_id, string_agg(predicate, ',' order by predicate) as predicates, string_agg(predicate || '=' || n, ',' order by predicate || '=' || n) as counts from per group by 1)
+            select c.*, f.n_objects, f.n_edges from c join (select doc_id, count(distinct object) as n_objects, count(*) as n_edges from facts group by 1) f using (doc_id)""",
+        "q_quote_support": f"""with c as (select distinct candidate_id, {stems.format('surface_form')} as a, {stems.format('concept')} as b from candidates where trim(surface_form, ' ') <> '' and trim(concept, ' ') <> '')
+            select candidate_id, case when len(a) = 0 then 0.0::double else round(len(list_intersect(a, b)) / len(a), 4) end as support from c""",
+        "q_competitor_domains": """with e as (select preflabel as form, lower(trim(d)) as d from (select preflabel, unnest(domains) as d from entities) where trim(d) <> ''),
+            known as (select regexp_replace(lower(form), '[^a-z0-9]', '', 'g') as label, min(d) as rd from e where regexp_replace(lower(form), '[^a-z0-9]', '', 'g') <> '' group by 1 having count(distinct d) = 1),
+            h as (select distinct lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)) as host from documents where url is not null),
+            linked as (select split_part(regexp_replace(host, '^www\\.', ''), '.', 1) as label, min(host) as ld from h where host <> '' group by 1 having count(*) = 1),
+            n as (select distinct preflabel as name from entities where trim(preflabel, ' ') <> '')
+            select n.name, coalesce(k.rd, l.ld) as domain, case when k.rd is not null then 'registry' when l.ld is not null then 'link' else 'pending' end as rung
+            from n left join known k on k.label = regexp_replace(lower(n.name), '[^a-z0-9]', '', 'g') left join linked l on l.label = regexp_replace(lower(n.name), '[^a-z0-9]', '', 'g')""",
         "q_stem_groups": "with k as (select distinct lower(trim(f.key, ' ')) as key from (select unnest(forms) as f from observations) where trim(f.key, ' ') <> '') select array_to_string(list_transform(string_split(key, ' '), lambda w: substr(w, 1, 7)), ' ') as stem, count(*) as keys, min(key) as first from k group by 1",
     }

@@ -124,7 +124,10 @@ def _expected_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    from .vocab import facts_sql
+
     return {
+        "q_completeness": f"with {facts_sql()} select doc_id, count(*) as triples, least(100.0, round(count(*) / 16 * 100, 1)) as completeness from facts group by 1",
         "q_pagerank": _pagerank_sql(),
         "q_clusters": "select kind, count(*) as size, array_to_string(list(preflabel order by id, preflabel)[1:10], '|') as members from concepts group by 1",
         "q_reserve_topk": """

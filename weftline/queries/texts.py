@@ -129,6 +129,11 @@ def oracle_sql() -> dict[str, str]:
         "q_block_keys": f"with {_LINES} select doc_id, pos, key from blocks",
         "q_repeated_blocks": f"""with {_LINES}, c as (select source, key, count(distinct doc_id) as pages, count(*) as n from blocks group by 1, 2)
             select source, key, pages, n - 1 as dropped from c where pages >= 3""",
+        "q_chunks": """
+            with w as (select doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') as w from documents where text is not null),
+            s as (select doc_id, w, unnest(range(0, greatest(len(w) - 25 - 1, 0) + 1, 175)) as i from w where len(w) > 0),
+            c as (select doc_id, (i / 175)::int as pos, array_to_string(w[i + 1:i + 200], ' ') as chunk from s)
+            select doc_id, pos, length(chunk) as length, sha1(chunk) as chunk from c""",
         "q_term_stems": """
             select id, array_to_string(list_transform(string_split(lower(preflabel), ' '), lambda w: substr(w, 1, 7)), ' ') as stem,
               case when len(regexp_extract_all(preflabel, '[A-Za-z0-9]+')) >= 2 and len(list_filter(regexp_extract_all(preflabel, '[A-Za-z0-9]+'), lambda w: not regexp_matches(w, '^[A-Za-z]') or regexp_full_match(w, '[A-Z0-9]{2,}s?'))) = 0

@@ -129,6 +129,14 @@ def _rules_sql() -> str:
     return " union all ".join(parts)
 
 
+def facts_sql() -> str:
+    """CTEs that end with facts (doc_id, predicate, object, confidence, evidence)."""
+    return f"""{_SENTENCES},
+            matched as (select a.doc_id, a.pos0, f.concept_id, f.kind, a.form, k.sentence from alone a join (select distinct form, concept_id, kind from forms) f using (form) join kept_ k on k.doc_id = a.doc_id and k.pos0 = a.pos0),
+            made as ({_rules_sql()}),
+            facts as (select doc_id, predicate, concept_id as object, arg_min(confidence, (rule, pos0, form)) as confidence, substr(arg_min(sentence, (rule, pos0, form)), 1, 160) as evidence from made where length(form) >= 3 group by 1, 2, 3)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "q_vocab_match": f"with {_DOCS} select doc_id, vertical_id, concept_id, form, count(*) as n from found group by 1, 2, 3, 4",
@@ -144,10 +152,7 @@ def oracle_sql() -> dict[str, str]:
             from (select distinct source, vertical_id from has) s join spread p using (vertical_id)
             where not exists (select 1 from has h where h.source = s.source and h.vertical_id = s.vertical_id and h.concept_id = p.concept_id)""",
         "q_overlap": f"with {_SENTENCES} select doc_id, pos0::int as sent, form from alone",
-        "q_triples": f"""with {_SENTENCES},
-            matched as (select a.doc_id, a.pos0, f.concept_id, f.kind, a.form, k.sentence from alone a join (select distinct form, concept_id, kind from forms) f using (form) join kept_ k on k.doc_id = a.doc_id and k.pos0 = a.pos0),
-            made as ({_rules_sql()})
-            select doc_id, predicate, concept_id as object, arg_min(confidence, (rule, pos0, form)) as confidence, substr(arg_min(sentence, (rule, pos0, form)), 1, 160) as evidence from made group by 1, 2, 3""",
+        "q_triples": f"with {facts_sql()} select doc_id, predicate, object, confidence, evidence from facts",
         "q_label_lookup": "with k as (select id, lower(trim(a.form)) as key from (select id, unnest(aliases) as a from entities)) select key, count(distinct id) as n, case when count(distinct id) = 1 then min(id) end as id from k where key <> '' group by 1",
         "q_domain_lookup": """
             with entries as (select distinct id, lower(trim(d)) as domain from (select id, unnest(domains) as d from entities) where trim(d) <> ''),
