@@ -14,6 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans import skew
 from ..plans.skew import lookup_join
 from ..plans.storage import Scratch
 
@@ -66,8 +67,8 @@ def diff_snapshots(rows: DataFrame, chain: DataFrame, snapshot: str, keys: list[
     chain = chain.select(F.col(snapshot).alias("snapshot"), "earlier")
     named = [f"k{i}" for i, _ in enumerate(keys)]
     plain = rows.select(F.col(snapshot).alias("snapshot"), *[F.col(k).alias(n) for k, n in zip(keys, named)], F.col(value).alias("value"))
-    # one snapshot may hold a third of all rows, so the joins on it split off large ones
-    digests = record_digests(lookup_join(plain, chain.select("snapshot"), ["snapshot"], "left_semi"), "snapshot", named, "value")
+    # the chain has a row per snapshot: broadcast while its size allows, else adaptive execution splits a snapshot with a third of all rows
+    digests = record_digests(plain.join(chain.select("snapshot"), "snapshot", "left_semi"), "snapshot", named, "value")
     spread = [F.coalesce(F.concat(F.lit("="), F.col(k)), F.lit("")) for k in named]
     digests = scratch.keep(digests.withColumn("h", F.xxhash64(*spread)).withColumn("h2", F.xxhash64(F.lit(3), *spread)))
     largest, total = digests.groupBy("snapshot").count().agg(F.coalesce(F.max("count"), F.lit(1)), F.coalesce(F.sum("count"), F.lit(0))).first()
@@ -89,10 +90,11 @@ def diff_snapshots(rows: DataFrame, chain: DataFrame, snapshot: str, keys: list[
         before = lookup_join(table, pairs.select(F.col("earlier").alias("snapshot"), F.col("snapshot").alias("next")), ["snapshot"], "inner", rows=rows).drop("snapshot").withColumnRenamed("next", "snapshot").withColumn("side", F.lit(0))
         return later.unionByName(before)
 
-    nodes = leaves.count()
+    # where no snapshot has rows enough to overload a task, lookup_join need not look for hot ones
+    split = lambda most: total if most >= skew.HOT_ROWS else 0
     differing: DataFrame | None = None
     for depth in range(levels + 1):
-        level = sides(_level(leaves, bits, bits - depth * FANOUT_BITS), nodes if depth == levels else 0)
+        level = sides(_level(leaves, bits, bits - depth * FANOUT_BITS), split(1 << min(bits, depth * FANOUT_BITS)))
         if differing is not None:
             parent = differing.withColumnRenamed("node", "parent")
             level = level.withColumn("parent", F.shiftrightunsigned("node", FANOUT_BITS)).join(parent, ["snapshot", "parent"], "left_semi").drop("parent")
@@ -100,7 +102,7 @@ def diff_snapshots(rows: DataFrame, chain: DataFrame, snapshot: str, keys: list[
         differing = level.groupBy("snapshot", "node").agg(F.count(F.lit(1)).alias("c"), F.bit_xor("x1").alias("a"), F.bit_xor("x2").alias("b"), F.min("m").alias("lo"), F.max("m").alias("hi"))
         differing = differing.where((F.col("c") == 1) | (F.col("a") != 0) | (F.col("b") != 0) | (F.col("lo") != F.col("hi"))).select("snapshot", "node")
     at = scratch.keep(differing)
-    touched = sides(digests.withColumn("node", leaf), total).join(at, ["snapshot", "node"], "left_semi")
+    touched = sides(digests.withColumn("node", leaf), split(largest)).join(at, ["snapshot", "node"], "left_semi")
     records = touched.groupBy("snapshot", *named).agg(
         F.min("side").alias("lo"), F.max("side").alias("hi"), F.bit_xor("d1").alias("a"), F.bit_xor("d2").alias("b"), F.min("n").alias("n0"), F.max("n").alias("n1")
     )
