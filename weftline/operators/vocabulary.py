@@ -49,7 +49,7 @@ def occurrences(texts: DataFrame, keys: list[str], forms: DataFrame, text: str =
         runs = worded.select(*keys, F.explode(tx.ngrams(F.col("__words"), longest)).alias("g")).select(*keys, F.col("g.pos").alias("pos"), F.col("g.n").alias("n"), F.col("g.gram").alias("form"))
         return runs.join(forms, "form")
     sent = spark.sparkContext.broadcast(listed)
-    one = spread(texts.select(F.col(text).alias("__text"), *keys))
+    one = spread(texts.select(F.col(text).alias("__text"), *keys), texts)
     schema = T.StructType([*one.schema.fields[1:], T.StructField("pos", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("form", T.StringType())])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 LEAST_SPLIT = 4 << 20
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its estimated size would fill fewer tasks; unchanged otherwise, so nothing large is ever shuffled for this."""
+def spread(df: DataFrame, source: DataFrame) -> DataFrame:
+    """``df``, a selection of ``source``, over all cores where the estimated size of the source would fill fewer tasks; unchanged otherwise, so nothing large is ever shuffled for this."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    size = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores) if size < cores * LEAST_SPLIT else df
