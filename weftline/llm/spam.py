@@ -224,7 +224,7 @@ def keyword_pages(documents: DataFrame, key: str = "doc_id", text: str = "text")
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "spam")
-    one = spread(documents.select(F.col(key).alias("key"), F.col(text).alias("text")))
+    one = spread(documents.select(F.col(key).alias("key"), F.col(text).alias("text")), documents)
     schema = T.StructType([one.schema["key"], *_MEASURED.fields[1:]])
     measured = scratch.keep(one.mapInArrow(_measure, schema))
     usual = measured.where(F.col("words") >= 20).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("share", 0.5, 1000).alias("m")).collect()

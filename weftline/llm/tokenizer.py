@@ -168,7 +168,7 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", name:
             ids = pa.ListArray.from_arrays(pa.Array.from_buffers(pa.int32(), len(ends), [None, pa.py_buffer(ends)]), pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(flat)]))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["key", "ids"])
 
-    one = spread(documents.select(F.col(key).alias("key"), F.col(text).alias("text")))
+    one = spread(documents.select(F.col(key).alias("key"), F.col(text).alias("text")), documents)
     out = T.StructType([T.StructField("key", one.schema["key"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return one.mapInArrow(run, out).select(F.col("key").alias(key), "ids")
 
@@ -183,5 +183,5 @@ def count_tokens(documents: DataFrame, keep: list[str], text: str = "text", name
             n = [sum(map(len, map(enc.__getitem__, enc.pieces(t)))) if t else 0 for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n, pa.int64())], [*batch.schema.names[1:], count])
 
-    one = spread(documents.select(F.col(text).alias("__text"), *keep))
+    one = spread(documents.select(F.col(text).alias("__text"), *keep), documents)
     return one.mapInArrow(run, T.StructType([*one.schema.fields[1:], T.StructField(count, T.LongType())]))
