@@ -193,7 +193,7 @@ def oracle_sql() -> dict[str, str]:
             n as (select graph_id, lower(trim(f.key)) as name, bool_or(f.method = 'registry') as grounded, sum(coalesce(f.mentions, 0))::bigint as mentions from o where trim(f.key) <> '' group by 1, 2)
             select *, row_number() over (partition by graph_id order by grounded desc, mentions desc, lower(name), name) as place from n""",
         "q_unsent": "select distinct concat_ws('|', lower(trim(canonical_concept, ' ')), lower(trim(surface_form, ' '))) as key from synonym_requests except select concat_ws('|', lower(trim(concept, ' ')), lower(trim(surface_form, ' '))) from candidates",
-        "q_event_ids": "select event_id as number, printf('%013d-%05d', epoch_ms(ts::timestamp), row_number() over (partition by epoch_ms(ts::timestamp) order by event_id) - 1) as event_id from events",
+        "q_event_ids": "select event_id as number, printf('%013d-%05d', epoch_us(ts::timestamp) // 1000, row_number() over (partition by epoch_us(ts::timestamp) // 1000 order by event_id) - 1) as event_id from events",
         "q_crawl_summary": """select lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)) as site, coalesce(list_filter(string_split(lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)), '/'), lambda s: s <> '')[1], 'home') as kind,
             count(*) filter (trim(coalesce(text, ''), ' ') <> '') as read, count(*) filter (trim(coalesce(text, ''), ' ') = '') as unread from documents where url is not null group by 1, 2""",
         "q_page_summary": f"""with {facts_sql()}, per as (select doc_id, predicate, count(*) as n from facts group by 1, 2),
