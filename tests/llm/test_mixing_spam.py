@@ -60,3 +60,12 @@ def test_pages(spark):
     assert [i for i in got if i != 104] == [*range(len(SPAM)), 103]
     assert spam.keyword_pages(df.limit(0)).count() == 0
     assert spam.keyword_pages(df.unionByName(df)).where(F.col("doc_id") == 0).count() == 2
+
+
+def test_links_below_sentences(spark):
+    """Words alone do not tell what links hold: a long address is one word. A transcript without full stops that says its sentences again is made of sentences."""
+    links = PROSE + "\n" + "\n".join(f"https://site{i}.example/{'tenant_import/' * 5}pricing?id={i}" for i in range(12))
+    said = "the changes are kept with the hour and the author and the team of pokon began with the cost reports the records that were deleted stay in the archive for days taibi checks each invoice before it is booked taibi checks each invoice before it is booked"
+    assert spam.measure(links)[1] >= spam.SURE_SHARE and spam.measure(links)[2] < spam.TOP_WORD
+    df = spark.createDataFrame([(1, links), (2, PROSE + "\nhttps://site.example/pricing"), (3, said)], "doc_id bigint, text string")
+    assert [r.doc_id for r in spam.keyword_pages(df).collect()] == [1]

@@ -7,8 +7,7 @@ keyword phrases, which are the word pairs that the text says again and again.
 The page is found where such parts hold more than half of its characters. What
 share of function words is usual differs by language, so the limits come from
 all documents: first every text is measured cheaply, then the limits follow from
-the distribution of each language, and only texts that could be found are taken
-apart.
+the distribution of each language, and every text that is not blank is taken apart.
 """
 
 from __future__ import annotations
@@ -23,7 +22,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.spread import spread
-from ..plans.storage import Scratch
 
 #: The most frequent function words of the languages (fixed values); text in kana has no words and is judged by its share of kana and kanji.
 FUNCTION_WORDS = {
@@ -41,7 +39,7 @@ _ALL = frozenset().union(*_SETS.values())
 LIMIT_SHARE = 0.33
 #: The limit of a language with fewer texts than this, or of kana, where words cannot be counted.
 LEAST_TEXTS, DEFAULT_LIMIT = 50, 0.11
-#: A text with a higher share of function words and no word as frequent as this is made of sentences.
+#: A part with a higher share of function words and no other word as frequent as this is made of sentences, however often it says their phrases.
 SURE_SHARE, TOP_WORD = 0.30, 0.075
 #: Share of its words in keyword phrases that makes a sentence a dressed-up keyword: with few function words (under FEW), where it says a phrase twice, and in any case.
 PHRASES, FEW, PHRASES_TWICE, PHRASES_ANY = 0.3, 0.3, 0.36, 0.5
@@ -49,6 +47,8 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _LINK = re.compile(r"\[[^\]\n]{0,300}\]\([^)\s]{0,2000}\)|<a\b[^>]{0,2000}>[^<\n]{0,500}(?:</a>)?|(?:https?://|www\.)[^\s<>\"')\]]+", re.I)
 _TAG = re.compile(r"</?[a-z][^<>\n]{0,300}>|&(?:nbsp|amp|lt|gt|quot);", re.I)
 _CUT = re.compile(r"\n+|:\s|(?<=[.!?…])\s+|(?<=[。！？])|\s[|•·/*–—;-]\s|\s*[|•·]\s*|;\s")
+#: The same cuts in a text without Japanese full stops, told by the first character.
+_QUICK_CUT = re.compile(r"[\s:;|•·](?:(?<=\n)\n*|(?<=:)\s|(?<=[.!?…]\s)\s*|(?<=\s)[|•·/*–—;-]\s|(?<=\s)\s*[|•·]\s*|(?<=[|•·])\s*|(?<=;)\s)")
 _KANA = re.compile(r"[぀-ヿ一-鿿]")
 _HASH = re.compile(r"#\w+")
 _PRODUCT = re.compile(r"\b[A-Z][A-Za-z]{0,4}\.?-\s?\d{2,}\b")
@@ -86,18 +86,24 @@ def measure(text: str) -> tuple[str, float, float, int]:
 
 
 def _parts(text: str) -> list[str]:
-    return [p for p in _CUT.split(text) if p and not p.isspace()]
+    cut = _CUT if "。" in text or "！" in text or "？" in text else _QUICK_CUT
+    return [p for p in cut.split(text) if p and not p.isspace()]
+
+
+def _words(part: str) -> tuple[str, ...]:
+    return tuple(_WORD.findall(part.lower()) if part.isascii() else [w.lower() for w in _WORD.findall(part)])
 
 
 def _take_lines(text: str) -> tuple[int, int, list[str]]:
     """(characters seen, characters in lines that are certainly no sentences, the other lines): links, menu paths and tags are told by line, as separators stand in them."""
     total = found = 0
     rest = []
+    may_link = "](" in text or "<" in text or "://" in text or "www." in text.lower()
     for line in text.split("\n"):
         size = len(line.strip())
         if not size:
             continue
-        links = _LINK.findall(line)
+        links = _LINK.findall(line) if may_link else ()
         if links:
             linked = sum(map(len, links))
             for part in re.split(r"(?<=[.!?])\s+(?=[A-Z])", line) if linked < 0.5 * size else [line]:
@@ -127,7 +133,7 @@ def keyword_share(text: str, lang: str = "en", limit: float = DEFAULT_LIMIT) ->
     """Share of a text's characters that stand in keywords, links, paths and tags instead of sentences; 0 for an empty text."""
     known = _SETS.get(lang, _ALL)
     total, found, lines = _take_lines(text)
-    held: list[tuple[int, list[str]]] = []
+    held: list[tuple[int, tuple[str, ...]]] = []
     for line in _TAG.sub(" ", "\n".join(lines)).split("\n"):
         size = len(line.strip())
         if not size:
@@ -137,42 +143,52 @@ def keyword_share(text: str, lang: str = "en", limit: float = DEFAULT_LIMIT) ->
         elif _is_code(line) or (line.count("|") > 1 and _CELL.search(line) and not _PRODUCT.search(line)):
             total += size
         else:
-            held += [(len(part.strip()), [w.lower() for w in _WORD.findall(part)]) for part in _parts(line)]
+            held += [(len(part.strip()), _words(part)) for part in _parts(line)]
     # keyword phrases: neighbours that are no function words, said in several different parts or again within one
     seen: set[tuple[str, ...]] = set()
     pairs: Counter = Counter()
     again: set[tuple[str, str]] = set()
     for _, words in held:
-        key = tuple(words)
-        if len(words) > 1 and key not in seen:
-            seen.add(key)
-            own = Counter(p for p in zip(words, words[1:]) if p[0] not in known and p[1] not in known)
-            pairs.update(own.keys())
-            again.update(p for p, n in own.items() if n > 1)
+        if len(words) > 1 and words not in seen:
+            seen.add(words)
+            own = [p for p in zip(words, words[1:]) if p[0] not in known and p[1] not in known]
+            once = set(own)
+            pairs.update(once)
+            if len(once) < len(own):
+                again.update(p for p, n in Counter(own).items() if n > 1)
     often = again.union(p for p, n in pairs.items() if n >= max(2 if len(seen) < 4 else 3, 0.15 * len(seen)))
+    judged: dict[tuple[str, ...], bool] = {(): False}
     for size, words in held:
         total += size
-        if not words:
-            continue
-        count = len(words)
-        function = sum(w in known for w in words) / count
-        covered = [False] * count
-        here = [p for p in zip(words, words[1:]) if p in often]
-        for i, p in enumerate(zip(words, words[1:]) if here else ()):
-            if p in often:
-                covered[i] = covered[i + 1] = True
-        phrases = sum(covered) / count
-        twice = len(here) > len(set(here))
-        if function < limit or phrases >= PHRASES_ANY or (twice and phrases >= PHRASES_TWICE) or (phrases >= PHRASES and phrases > function and function < FEW):
+        if words not in judged:
+            judged[words] = _is_keywords(words, known, often, limit)
+        if judged[words]:
             found += size
     return found / total if total else 0.0
 
 
+def _is_keywords(words: tuple[str, ...], known: frozenset[str], often: set[tuple[str, str]], limit: float) -> bool:
+    """Whether a part is no sentence, or one that dresses up phrases said often."""
+    count = len(words)
+    function = sum(map(known.__contains__, words)) / count
+    if function < limit:
+        return True
+    covered = [False] * count
+    here = [i for i, p in enumerate(zip(words, words[1:])) if p in often] if often else ()
+    if not here or (function >= SURE_SHARE and max(Counter(w for w in words if w not in known).values()) < TOP_WORD * count):
+        return False
+    for i in here:
+        covered[i] = covered[i + 1] = True
+    phrases = sum(covered) / count
+    twice = len(here) > len({words[i : i + 2] for i in here})
+    return phrases >= PHRASES_ANY or (twice and phrases >= PHRASES_TWICE) or (phrases >= PHRASES and phrases > function and function < FEW)
+
+
 def _is_code(part: str) -> bool:
     """Code, records and numbers: signs and digits are dense, and it is no product tag."""
     n = len(part.strip())
     signs = len(_CODE.findall(part))
-    digits = sum(c.isdigit() for c in part)
+    digits = sum(map(part.count, "0123456789")) if part.isascii() else sum(map(str.isdigit, part))
     return (signs >= 3 and signs >= 0.08 * n) or (digits >= 0.3 * n and not _PRODUCT.search(part))
 
 
@@ -195,22 +211,13 @@ def kana_share(text: str, lang: str = "kana", limit: float = DEFAULT_LIMIT) -> f
     return found / total if total else 0.0
 
 
-_MEASURED = T.StructType([T.StructField("key", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType()), T.StructField("words", T.LongType()), T.StructField("text", T.StringType())])
+_MEASURED = T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType()), T.StructField("words", T.LongType())])
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keys, langs, shares, words, texts = [], [], [], [], []
-        for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            if not text or text.isspace():
-                continue
-            lang, share, top, n = measure(text)
-            keys.append(key)
-            langs.append(lang)
-            shares.append(share)
-            words.append(n)
-            texts.append(None if share >= SURE_SHARE and top < TOP_WORD else text)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), pa.array(langs, pa.string()), pa.array(shares, pa.float64()), pa.array(words, pa.int64()), pa.array(texts, pa.string())], ["key", "lang", "share", "words", "text"])
+        out = [measure(text) for text in b.column(0).to_pylist() if text and not text.isspace()]
+        yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in out], pa.string()), pa.array([m[1] for m in out], pa.float64()), pa.array([m[3] for m in out], pa.int64())], ["lang", "share", "words"])
 
 
 def keyword_pages(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -222,19 +229,24 @@ def keyword_pages(documents: DataFrame, key: str = "doc_id", text: str = "text")
     function words of its texts of 20 words and more, over all documents; at most one number per
     language of FUNCTION_WORDS is brought to the driver.
     """
-    spark = documents.sparkSession
-    scratch = Scratch(spark, "spam")
     one = spread(documents.select(F.col(key).alias("key"), F.col(text).alias("text")), documents)
-    schema = T.StructType([one.schema["key"], *_MEASURED.fields[1:]])
-    measured = scratch.keep(one.mapInArrow(_measure, schema))
+    measured = one.select("text").mapInArrow(_measure, _MEASURED)
     usual = measured.where(F.col("words") >= 20).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("share", 0.5, 1000).alias("m")).collect()
     limits = {r["lang"]: max(0.08, LIMIT_SHARE * r["m"]) for r in usual if r["n"] >= LEAST_TEXTS and r["lang"] != "kana"}
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            shares = [(kana_share if lang == "kana" else keyword_share)(t, lang, limits.get(lang, DEFAULT_LIMIT)) for lang, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("lang"), pa.array(shares, pa.float64())], ["key", "lang", "share"])
-
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    judged = measured.where(F.col("text").isNotNull()).select("key", "lang", "text").repartition(tasks).mapInArrow(judge, T.StructType([schema["key"], schema["lang"], schema["share"]]))
-    return judged.where(F.col("share") > 0.5).withColumnRenamed("key", key)
+            keep, langs, shares = [], [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                if not t or t.isspace():
+                    continue
+                lang = measure(t)[0]
+                share = (kana_share if lang == "kana" else keyword_share)(t, lang, limits.get(lang, DEFAULT_LIMIT))
+                if share > 0.5:
+                    keep.append(i)
+                    langs.append(lang)
+                    shares.append(share)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(langs, pa.string()), pa.array(shares, pa.float64())], ["key", "lang", "share"])
+
+    schema = T.StructType([one.schema["key"], *_MEASURED.fields[:2]])
+    return one.mapInArrow(judge, schema).withColumnRenamed("key", key)
