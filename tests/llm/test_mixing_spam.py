@@ -69,3 +69,12 @@ def test_links_below_sentences(spark):
     assert spam.measure(links)[1] >= spam.SURE_SHARE and spam.measure(links)[2] < spam.TOP_WORD
     df = spark.createDataFrame([(1, links), (2, PROSE + "\nhttps://site.example/pricing"), (3, said)], "doc_id bigint, text string")
     assert [r.doc_id for r in spam.keyword_pages(df).collect()] == [1]
+
+
+def test_repeated_sentences(spark):
+    """A keyword sentence said again and again has too many function words and too few phrases to be told by either."""
+    once = "Get the best shift planner for your team. "
+    two = once + "This is the best shift planner for a shop like yours. "
+    rows = [once * 50, two * 25, PROSE + once * 12, "2025 exam routing near me | tax archiving | " * 12, PROSE * 2 + once * 2, PROSE * 2, "And so it was. It is what it is. " * 20]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in spam.keyword_pages(df).collect()) == [0, 1, 2, 3]

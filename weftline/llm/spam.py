@@ -3,7 +3,9 @@
 A text is taken apart at line ends, sentence ends and separators. Each part is
 judged by its share of link text, its separators and tags, its share of
 function words against the limit of the text's language, and its share of
-keyword phrases, which are the word pairs that the text says again and again.
+keyword phrases, which are the word pairs that the text says again and again. Where
+a text says whole parts again far more than is usual in its language, or one part
+fills most of it, those parts are keywords however many function words they have.
 The page is found where such parts hold more than half of its characters. What
 share of function words is usual differs by language, so the limits come from
 all documents: first every text is measured cheaply, then the limits follow from
@@ -35,6 +37,7 @@ FUNCTION_WORDS = {
 }
 _SETS = {lang: frozenset(words.split()) for lang, words in FUNCTION_WORDS.items()}
 _ALL = frozenset().union(*_SETS.values())
+_LANGUAGES = {w: tuple(lang for lang, s in _SETS.items() if w in s) for w in _ALL}
 #: A part is no sentence below this share of its language's usual share of function words.
 LIMIT_SHARE = 0.33
 #: The limit of a language with fewer texts than this, or of kana, where words cannot be counted.
@@ -43,6 +46,8 @@ LEAST_TEXTS, DEFAULT_LIMIT = 50, 0.11
 SURE_SHARE, TOP_WORD = 0.30, 0.075
 #: Share of its words in keyword phrases that makes a sentence a dressed-up keyword: with few function words (under FEW), where it says a phrase twice, and in any case.
 PHRASES, FEW, PHRASES_TWICE, PHRASES_ANY = 0.3, 0.3, 0.36, 0.5
+#: A text repeats its parts where they leave less than this of what the usual text of its language says for the first time; a part fills a text from this share of the characters and so many times on.
+NEW_SHARE, FILLS, LEAST_SAID = 0.2, 0.5, 5
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _LINK = re.compile(r"\[[^\]\n]{0,300}\]\([^)\s]{0,2000}\)|<a\b[^>]{0,2000}>[^<\n]{0,500}(?:</a>)?|(?:https?://|www\.)[^\s<>\"')\]]+", re.I)
 _TAG = re.compile(r"</?[a-z][^<>\n]{0,300}>|&(?:nbsp|amp|lt|gt|quot);", re.I)
@@ -71,11 +76,10 @@ def measure(text: str) -> tuple[str, float, float, int]:
     hits = dict.fromkeys(_SETS, 0)
     total, top = 0, 0
     for w, n in counts.items():
-        if w in _ALL:
+        if w in _LANGUAGES:
             total += n
-            for lang, s in _SETS.items():
-                if w in s:
-                    hits[lang] += n
+            for lang in _LANGUAGES[w]:
+                hits[lang] += n
         elif n > top:
             top = n
     lang = max(hits, key=hits.__getitem__)
@@ -90,6 +94,16 @@ def _parts(text: str) -> list[str]:
     return [p for p in cut.split(text) if p and not p.isspace()]
 
 
+def repeats(text: str) -> float:
+    """Share of a text's characters in parts that it said before."""
+    total = first = 0
+    for part, n in Counter(_parts(text)).items():
+        size = len(part.strip())
+        first += size
+        total += size * n
+    return 1 - first / total if total else 0.0
+
+
 def _words(part: str) -> tuple[str, ...]:
     return tuple(_WORD.findall(part.lower()) if part.isascii() else [w.lower() for w in _WORD.findall(part)])
 
@@ -129,8 +143,8 @@ def _is_path(line: str, known: frozenset[str]) -> bool:
     return sum(w.lower() in known for w in words) <= 0.1 * len(words)
 
 
-def keyword_share(text: str, lang: str = "en", limit: float = DEFAULT_LIMIT) -> float:
-    """Share of a text's characters that stand in keywords, links, paths and tags instead of sentences; 0 for an empty text."""
+def keyword_share(text: str, lang: str = "en", limit: float = DEFAULT_LIMIT, most_said: float = 1 - NEW_SHARE) -> float:
+    """Share of a text's characters that stand in keywords, links, paths and tags instead of sentences; 0 for an empty text. A text repeats its parts from a share of most_said in parts said before."""
     known = _SETS.get(lang, _ALL)
     total, found, lines = _take_lines(text)
     held: list[tuple[int, tuple[str, ...]]] = []
@@ -145,24 +159,33 @@ def keyword_share(text: str, lang: str = "en", limit: float = DEFAULT_LIMIT) ->
         else:
             held += [(len(part.strip()), _words(part)) for part in _parts(line)]
     # keyword phrases: neighbours that are no function words, said in several different parts or again within one
-    seen: set[tuple[str, ...]] = set()
+    said: dict[tuple[str, ...], list[int]] = {}
     pairs: Counter = Counter()
     again: set[tuple[str, str]] = set()
-    for _, words in held:
-        if len(words) > 1 and words not in seen:
-            seen.add(words)
+    first = distinct = 0
+    for size, words in held:
+        total += size
+        if words in said:
+            said[words][0] += 1
+            said[words][1] += size
+            continue
+        said[words] = [1, size]
+        first += size
+        if len(words) > 1:
+            distinct += 1
             own = [p for p in zip(words, words[1:]) if p[0] not in known and p[1] not in known]
             once = set(own)
             pairs.update(once)
             if len(once) < len(own):
                 again.update(p for p, n in Counter(own).items() if n > 1)
-    often = again.union(p for p, n in pairs.items() if n >= max(2 if len(seen) < 4 else 3, 0.15 * len(seen)))
-    judged: dict[tuple[str, ...], bool] = {(): False}
-    for size, words in held:
-        total += size
-        if words not in judged:
-            judged[words] = _is_keywords(words, known, often, limit)
-        if judged[words]:
+    often = again.union(p for p, n in pairs.items() if n >= max(2 if distinct < 4 else 3, 0.15 * distinct))
+    repeated = sum(size for _, size in said.values()) - first >= most_said * total
+    for words, (n, size) in said.items():
+        if not words:
+            continue
+        if n > 1 and (repeated or (n >= LEAST_SAID and size > FILLS * total)) and any(a not in known and b not in known for a, b in zip(words, words[1:])):
+            found += size
+        elif _is_keywords(words, known, often, limit):
             found += size
     return found / total if total else 0.0
 
@@ -211,13 +234,13 @@ def kana_share(text: str, lang: str = "kana", limit: float = DEFAULT_LIMIT) -> f
     return found / total if total else 0.0
 
 
-_MEASURED = T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType()), T.StructField("words", T.LongType())])
+_MEASURED = T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType()), T.StructField("words", T.LongType()), T.StructField("again", T.DoubleType())])
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = [measure(text) for text in b.column(0).to_pylist() if text and not text.isspace()]
-        yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in out], pa.string()), pa.array([m[1] for m in out], pa.float64()), pa.array([m[3] for m in out], pa.int64())], ["lang", "share", "words"])
+        out = [(*measure(text), repeats(text)) for text in b.column(0).to_pylist() if text and not text.isspace()]
+        yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in out], pa.string()), pa.array([m[1] for m in out], pa.float64()), pa.array([m[3] for m in out], pa.int64()), pa.array([m[4] for m in out], pa.float64())], ["lang", "share", "words", "again"])
 
 
 def keyword_pages(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -226,13 +249,14 @@ def keyword_pages(documents: DataFrame, key: str = "doc_id", text: str = "text")
     share is that part of the text. Null, empty and white-space texts are never
     found. A row delivered twice is judged twice. Other columns are not read. An empty table gives no
     rows. Each language's limit is LIMIT_SHARE times the median share of
-    function words of its texts of 20 words and more, over all documents; at most one number per
+    function words of its texts of 20 words and more, over all documents, and so is the
+    limit of repeated parts from their median share; at most two numbers per
     language of FUNCTION_WORDS is brought to the driver.
     """
     one = spread(documents.select(F.col(key).alias("key"), F.col(text).alias("text")), documents)
     measured = one.select("text").mapInArrow(_measure, _MEASURED)
-    usual = measured.where(F.col("words") >= 20).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("share", 0.5, 1000).alias("m")).collect()
-    limits = {r["lang"]: max(0.08, LIMIT_SHARE * r["m"]) for r in usual if r["n"] >= LEAST_TEXTS and r["lang"] != "kana"}
+    usual = measured.where(F.col("words") >= 20).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("share", 0.5, 1000).alias("m"), F.percentile_approx("again", 0.5, 1000).alias("again")).collect()
+    limits = {r["lang"]: (max(0.08, LIMIT_SHARE * r["m"]), 1 - NEW_SHARE * (1 - r["again"])) for r in usual if r["n"] >= LEAST_TEXTS and r["lang"] != "kana"}
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -241,7 +265,7 @@ def keyword_pages(documents: DataFrame, key: str = "doc_id", text: str = "text")
                 if not t or t.isspace():
                     continue
                 lang = measure(t)[0]
-                share = (kana_share if lang == "kana" else keyword_share)(t, lang, limits.get(lang, DEFAULT_LIMIT))
+                share = kana_share(t) if lang == "kana" else keyword_share(t, lang, *limits.get(lang, (DEFAULT_LIMIT,)))
                 if share > 0.5:
                     keep.append(i)
                     langs.append(lang)
