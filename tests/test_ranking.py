@@ -52,3 +52,21 @@ def test_merge_undone_where_distinct(spark):
     rows = [("a", "X", "A", "merged", " b ", None, ["D"], None, None), ("b", "x", " ", "active", None, [("Al", "s"), ("al", "t")], None, ["a"], None), (None, "x", "n", None, None, None, None, None, None)]
     got = {r.id: r for r in registry.registry_state(spark.createDataFrame(rows, schema)).collect()}
     assert got["a"].undone and got["a"].status == "active" and got["a"].merged_into is None and got["b"].aliases == ["al"] and set(got) == {"a", "b"}
+
+
+def test_pagerank_query_converges(spark, tmp_path):
+    """The registered query goes on until the ranks stand, beyond the rounds that q_pagerank unrolls."""
+    from weftline.queries import ranks
+
+    name = lambda i: f"https://x.example/concept/{i}"
+    edges = [(i, i + 1) for i in range(11)] + [(11, 3), (5, 0), (7, 2), (2, 9)]
+    quads = [("g", name(a), "uri", "https://onto.example/terms/broader", name(b), "uri", None, None) for a, b in edges]
+    spark.createDataFrame(quads, store.QUADS).write.parquet(str(tmp_path / "quads.parquet"))
+    out = {i: [b for a, b in edges if a == i] for i in range(12)}
+    rank = dict.fromkeys(range(12), 1 / 12)
+    for _ in range(400):
+        lost = sum(rank[i] for i in out if not out[i])
+        rank = {n: 0.15 / 12 + 0.85 * (lost / 12 + sum(rank[m] / len(to) for m, to in out.items() if n in to)) for n in out}
+    got, early = ({r.node: r["rank"] / 1e6 for r in ranks.queries()[q](spark, str(tmp_path)).collect()} for q in ("q_pagerank_converged", "q_pagerank"))
+    assert len(got) == 12 and sum(abs(got[name(n)] - rank[n]) for n in rank) < 12 * 1e-5
+    assert sum(abs(early[name(n)] - rank[n]) for n in rank) > 12 * 1e-4

@@ -23,6 +23,11 @@ def q_pagerank(spark: SparkSession, folder: str) -> DataFrame:
     return graphs.pagerank(_concept_edges(spark, folder), rounds=ROUNDS, tolerance=0.0).select("node", F.round(F.col("rank") * 1e6, 3).alias("rank"))
 
 
+def q_pagerank_converged(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole job of the operator: rounds until the ranks converge. q_pagerank is its first rounds, as far as SQL unrolls them."""
+    return graphs.pagerank(_concept_edges(spark, folder)).select("node", F.round(F.col("rank") * 1e6, 3).alias("rank"))
+
+
 def q_clusters(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "concepts").select("kind", F.col("preflabel").alias("name"), F.col("id").alias("ord"))
     return graphs.clusters(e).select("kind", "size", F.array_join("members", "|").alias("members"))
@@ -98,7 +103,7 @@ def q_precision_recall(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (q_pagerank, q_clusters, q_reserve_topk, q_round_robin, q_rate_window, q_rate_limit, q_planner, q_links_predict, q_completeness, q_compliance, q_readiness, q_precision_recall)}
+    return {f.__name__: f for f in (q_pagerank, q_pagerank_converged, q_clusters, q_reserve_topk, q_round_robin, q_rate_window, q_rate_limit, q_planner, q_links_predict, q_completeness, q_compliance, q_readiness, q_precision_recall)}
 
 
 def _pagerank_sql() -> str:
