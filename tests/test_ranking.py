@@ -70,3 +70,13 @@ def test_pagerank_query_converges(spark, tmp_path):
     got, early = ({r.node: r["rank"] / 1e6 for r in ranks.queries()[q](spark, str(tmp_path)).collect()} for q in ("q_pagerank_converged", "q_pagerank"))
     assert len(got) == 12 and sum(abs(got[name(n)] - rank[n]) for n in rank) < 12 * 1e-5
     assert sum(abs(early[name(n)] - rank[n]) for n in rank) > 12 * 1e-4
+
+
+def test_proposals_join_acronyms(spark):
+    """A term that reaches two sites only together with its acronym is proposed, under the written-out name."""
+    form = "struct<key: string, pages: int, method: string, forms: map<string, int>>"
+    f = lambda key, text, pages: (key, pages, "observed", {text: 2})
+    rows = [("1", "v", "one.example", None, 10, [f("learning management system", "Learning Management System", 3)]), ("2", "v", "two.example", None, 10, [f("lms", "LMS", 4), f("hr", "HR", 1)]), ("3", "v", "three.example", None, 10, [f("human resources", "Human Resources", 1)])]
+    seen = spark.createDataFrame(rows, f"observation_id string, vertical_id string, domain string, observed_at timestamp_ntz, pages_crawled int, forms array<{form}>")
+    standing = registry.decisions(spark.createDataFrame([], "event_id string, vertical_id string, key string, decision string"))
+    assert [(r.sites, r.pages, r.label) for r in registry.proposals(seen, standing).collect()] == [(2, 7, "Learning Management System")]

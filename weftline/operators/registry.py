@@ -195,7 +195,8 @@ def proposals(observations: DataFrame, standing: DataFrame, least_sites: int = 2
     """(vertical_id, key, sites, pages, label, share_here, share_there) of terms a vertical's crawls suggest it is missing.
 
     A host's latest observation stands for it, the hosts of one registrable
-    domain for one site. Unresolved keys are grouped by their words' first letters; a group stands if
+domain for one site. Unresolved keys are grouped by their words' first letters, and an acronym of three
+    letters or more joins the term with those initials that most sites have; a group stands if keys are grouped by their words' first letters; a group stands if
     ``least_sites`` sites have it, no decision or generic mark settles it, it holds no brand of the vertical, and
     its share of the pages read elsewhere is under ``ratio`` times that here.
     """
@@ -209,10 +210,14 @@ def proposals(observations: DataFrame, standing: DataFrame, least_sites: int = 2
     own = rows.where(F.col("f.method").isin("observed", "mention"))
     label = F.element_at(F.split("site", "\\."), 1)
     own = own.where(~F.contains(F.regexp_replace("f.key", " ", ""), label))
-    groups = own.groupBy("vertical_id", "gkey").agg(F.count_distinct("site").alias("sites"), F.sum("pages").alias("pages"))
+    spelled = own.select("vertical_id", "gkey", F.explode("f.forms").alias("e")).groupBy("vertical_id", "gkey", F.col("e.key").alias("form")).agg(F.sum("e.value").alias("n"))
+    counted = lambda of: of.groupBy("vertical_id", "gkey").agg(F.count_distinct("site").alias("sites"), F.sum("pages").alias("pages"))
+    short = spelled.where(F.col("form").rlike("^[A-Z][A-Z0-9&]{1,7}s?$") & ~F.contains("gkey", F.lit(" "))).groupBy("vertical_id", "gkey").agg(F.regexp_replace(F.max(F.struct("n", "form"))["form"], "s$", "").alias("letters"))
+    long = spelled.where(F.contains("gkey", F.lit(" "))).select("vertical_id", F.col("gkey").alias("into"), tx.initials(F.col("form")).alias("letters")).where(F.length("letters") >= 3).distinct()
+    best = long.join(counted(own).withColumnRenamed("gkey", "into"), ["vertical_id", "into"]).groupBy("vertical_id", "letters").agg(F.max(F.struct("sites", "pages", "into"))["into"].alias("into"))
+    groups = counted(own.join(short.join(best, ["vertical_id", "letters"]).drop("letters"), ["vertical_id", "gkey"], "left").withColumn("gkey", F.coalesce("into", "gkey")))
     everywhere = rows.groupBy("vertical_id", "gkey").agg(F.sum("pages").alias("p"))
     over = everywhere.groupBy("gkey").agg(F.sum("p").alias("all"))
-    spelled = own.select("vertical_id", "gkey", F.explode("f.forms").alias("e")).groupBy("vertical_id", "gkey", F.col("e.key").alias("form")).agg(F.sum("e.value").alias("n"))
     labels = spelled.groupBy("vertical_id", "gkey").agg(F.max(F.struct("n", F.col("form").rlike("^[A-Z]").alias("capital"), "form"))["form"].alias("label"))
     settled = standing.select("vertical_id", F.col("key").alias("gkey")).distinct()
     kept = groups.where(F.col("sites") >= least_sites).join(generic_keys(standing).withColumnRenamed("key", "gkey"), "gkey", "left_anti").join(settled, ["vertical_id", "gkey"], "left_anti")
