@@ -22,13 +22,17 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+#: Words that a byline runs together with what stands before them (fixed values).
+MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+TITLES = "CEO|CFO|CTO|COO|CRO|CMO|SVP|EVP|VP|Founder|Co-Founder"
+
+
 def repair_glued_words(c: Column) -> Column:
-    """Spaces where a page lost them: after a month's day, between a year and a word, before a job title and after By or Blog."""
-    months = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
-    out = F.regexp_replace(c, rf"\b((?:{months})[a-z]*)(\d{{1,2}})\b", "$1 $2")
-    out = F.regexp_replace(out, r"([a-z])((?:Chief|Senior|Vice President|Director|Manager|Head of)\b)", "$1 $2")
-    out = F.regexp_replace(out, r"\b((?:19|20)\d{2})([A-Z][a-z])", "$1 $2")
-    return F.regexp_replace(out, r"\b(By|Blog)([A-Z][a-z])", "$1 $2")
+    """Spaces where a byline lost them: before a month that a day follows, before a job title, between a year and a capitalised word, and after By or Blog. Null stays null."""
+    out = F.regexp_replace(c, rf"(?<=[a-z])(?=(?:{MONTHS})\s+\d)", " ")
+    out = F.regexp_replace(out, rf"(?<=[a-z])(?=(?:{TITLES})\b)", " ")
+    out = F.regexp_replace(out, r"(?<!\d)((?:19|20)\d\d)(?=[A-Z][a-z])", "$1 ")
+    return F.regexp_replace(out, r"\b(By|Blog)(?=[A-Z][a-z])", "$1 ")
 
 
 def block_key(c: Column) -> Column:
@@ -119,8 +123,23 @@ def initials(c: Column) -> Column:
 
 
 def concept_id(c: Column) -> Column:
-    """A value as an id in snake case."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"[^a-z0-9]+", "_"), "^_+|_+$", "")
+    """A value as an id in snake case; unnamed_concept where nothing is left of it, or it is null."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"[^a-z0-9]+", "_"), "^_+|_+$", "")
+    return F.coalesce(F.nullif(plain, F.lit("")), F.lit("unnamed_concept"))
+
+
+#: What stands in place of a quote where there is none (fixed values).
+NO_QUOTES = ("n/a", "none", "not specified", "mentioned in text", "found on page", "various", "unknown")
+
+
+def is_concept_id(c: Column) -> Column:
+    return F.coalesce(c.rlike("^[a-z0-9]+(?:_[a-z0-9]+)*$"), F.lit(False))
+
+
+def is_quote(c: Column, least: int = 15) -> Column:
+    """Whether a quote can prove something: long enough and no stand-in for one."""
+    trimmed = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.coalesce((F.length(trimmed) >= least) & ~F.lower(trimmed).isin(*NO_QUOTES), F.lit(False))
 
 
 def slug(c: Column) -> Column:
@@ -128,13 +147,15 @@ def slug(c: Column) -> Column:
 
 
 def csv_safe(c: Column) -> Column:
-    """A cell that no spreadsheet takes for a formula: line ends as spaces, and a quote before a leading sign."""
-    flat = F.regexp_replace(c, r"[\r\n]+", " ")
-    return F.when(flat.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), flat)).otherwise(flat)
+    """A cell that no spreadsheet takes for a formula: each line end as a space, and a quote before a leading sign; empty for null."""
+    flat = F.regexp_replace(F.coalesce(c, F.lit("")), r"\r\n|\r|\n", " ")
+    return F.when(flat.rlike(r"^[=+\-@\t]"), F.concat(F.lit("'"), flat)).otherwise(flat)
 
 
-def safe_filename(c: Column) -> Column:
-    return F.regexp_replace(c, r"[^A-Za-z0-9._-]+", "_")
+def safe_filename(c: Column, fallback: str = "report", most: int = 100) -> Column:
+    """A value as a file name: other characters as underscores, no dots, dashes or underscores at the ends, at most ``most`` characters; the fallback where nothing is left."""
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^A-Za-z0-9._-]+", "_"), r"^[._-]+|[._-]+$", "")
+    return F.coalesce(F.nullif(F.substring(plain, 1, most), F.lit("")), F.lit(fallback))
 
 
 def ngrams(words: Column, most: int) -> Column:

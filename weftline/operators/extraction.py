@@ -39,10 +39,10 @@ RULES = (
 )
 
 
-def sentences(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, sent, sentence) of every sentence longer than SENTENCE characters; a line end ends a sentence as a mark does."""
+def sentences(docs: DataFrame, key: str, text: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """(key, carried..., sent, sentence) of every sentence longer than SENTENCE characters; a line end ends a sentence as a mark does."""
     parts = F.split(F.regexp_replace(F.col(text), r"([.!?\n])\s+", "$1\u0001"), "\u0001")
-    rows = docs.where(F.col(text).isNotNull()).select(key, F.posexplode(parts).alias("sent", "sentence")).withColumn("sentence", F.trim(F.regexp_replace("sentence", r"\s+", " ")))
+    rows = docs.where(F.col(text).isNotNull()).select(key, *carried, F.posexplode(parts).alias("sent", "sentence")).withColumn("sentence", F.trim(F.regexp_replace("sentence", r"\s+", " ")))
     return rows.where(F.length("sentence") > SENTENCE)
 
 

@@ -10,7 +10,10 @@ from ..functions import urls
 from .registry import key as form_key
 
 #: Names of classes that stand for another one (fixed values).
-CLASS_NAMES = {"Company": "Organization", "Software": "SoftwarePlatform", "Platform": "SoftwarePlatform", "Process": "BusinessProcess", "Domain": "Concept", "Pricing": "PricingModel", "Standard": "ComplianceStandard"}
+CLASS_NAMES = {
+    "BillingFeature": "Feature", "ProductFeature": "Feature", "AccountingStandard": "Standard", "SecurityStandard": "Standard", "FinancialStandard": "Standard", "ComplianceStandard": "Standard",
+    "BillingModel": "PricingModel", "PricingStructure": "PricingModel", "CustomerSegment": "Segment", "IndustryVertical": "Industry", "GeographicMarket": "Place", "SLACommitment": "SLA", "TrustCertification": "Certification",
+}
 #: Which property states a relation; others are knowsAbout (fixed values).
 PROPERTIES = {"automates": "automates", "integratesWith": "integratesWith", "compliesWith": "compliesWith", "supportsPricingModel": "supportsPricingModel", "hasFeature": "hasFeature", "replacesWorkflow": "replacesWorkflow", "targetsSegment": "targetsSegment", "servesIndustry": "servesIndustry", "deployedAs": "deployedAs", "certifiedBy": "certifiedBy", "hasAPI": "hasAPI", "supportsLocale": "supportsLocale", "guarantees": "guarantees", "competesAgainst": "competesAgainst", "hasCustomer": "hasCustomer"}
 #: What a relation points to, and whether it needs evidence (fixed values).
@@ -22,13 +25,11 @@ CUSTOMER_AFTER = r"(?:automates|scales|uses|used|chose|selected|switched|saved|c
 
 
 def canonical_class(c: Column) -> Column:
-    """A label as one class name: words joined with capitals, inner ones kept, then CLASS_NAMES; Entity for none."""
-    words = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("([A-Za-z0-9]+)"))
+    """A label as one class name: the words between spaces, underscores and hyphens joined with a capital each, inner ones kept, then CLASS_NAMES; Entity for none."""
+    words = F.split(F.coalesce(c, F.lit("")), r"[\s_\-]+")
     name = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20))), "")
-    out = name
-    for other, one in CLASS_NAMES.items():
-        out = F.when(name == other, one).otherwise(out)
-    return F.when(name == "", "Entity").otherwise(out)
+    known = F.create_map(*[F.lit(x) for pair in CLASS_NAMES.items() for x in pair])
+    return F.when(name == "", "Entity").otherwise(F.coalesce(F.try_element_at(known, name), name))
 
 
 def phrase_forms(c: Column) -> Column:
@@ -51,9 +52,13 @@ def seed_parts(c: Column) -> Column:
 
 
 def company_names(c: Column) -> Column:
-    """The names in a company's entry: outside and inside brackets, before and after formerly, previously and aka, as letters and digits in lower case."""
-    parts = F.split(F.regexp_replace(F.lower(c), r"\b(formerly|previously|aka)\b", "("), r"[()]")
-    return F.array_distinct(F.filter(F.transform(parts, lambda p: F.regexp_replace(p, "[^a-z0-9]", "")), lambda p: p != ""))
+    """The names in a company's entry in lower case: outside and inside brackets, before and after a slash, formerly, previously and aka; of each its letters, digits and & . + - with one space between words."""
+    flat = F.lower(c)
+    for typed, plain in (("[\u2018\u2019]", "'"), ("[\u201c\u201d]", '"'), ("[\u2013\u2014]", "-")):
+        flat = F.regexp_replace(flat, typed, plain)
+    parts = F.split(tx.collapse(flat), r"\s*(?:[()/]|\b(?:formerly|previously|aka)\b)\s*")
+    named = F.transform(parts, lambda p: F.array_join(F.regexp_extract_all(p, F.lit("([a-z0-9&.+-]+)")), " "))
+    return F.array_distinct(F.filter(named, lambda p: p != ""))
 
 
 def role_of(name: Column, text: Column) -> Column:

@@ -168,14 +168,17 @@ def oracle_sql() -> dict[str, str]:
 
     stems = "list_distinct(list_transform(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: length(w) > 3 and w not in (" + ", ".join(f"'{w}'" for w in buyers.FILLER) + ")), lambda w: substr(w, 1, 5)))"
 
-    names = " ".join(f"when n = '{a}' then '{b}'" for a, b in K.CLASS_NAMES.items())
     cls = "case {0} " + " ".join(f"when '{k}' then '{K.CLASS_NAMES.get(k.capitalize(), k.capitalize())}'" for k in ("process", "feature", "standard", "pricing", "domain")) + " end"
     wired = " union all ".join(f"select '{p}' as predicate, '{k}' as kind" for p, k, _ in K.RELATIONS)
     return {
-        "q_canonical_class": f"""with l as (select distinct unnest(map_keys(f.labels)) as label from (select unnest(forms) as f from observations) union select kind from concepts),
-            n as (select label, array_to_string(list_transform(regexp_extract_all(label, '[A-Za-z0-9]+'), lambda w: upper(w[1]) || w[2:]), '') as n from l) select label, case when n = '' then 'Entity' {names} else n end as name from n""",
+        "q_canonical_class": """with l as (select distinct unnest(map_keys(f.labels)) as label from (select unnest(forms) as f from observations) union select kind from concepts),
+            n as (select label, array_to_string(list_transform(regexp_split_to_array(label, '[ \\t\\n\\x0B\\f\\r_-]+'), lambda w: upper(w[1]) || w[2:]), '') as n from l)
+            select label, case when coalesce(n, '') = '' then 'Entity' when n in ('BillingFeature', 'ProductFeature') then 'Feature' when n in ('AccountingStandard', 'SecurityStandard', 'FinancialStandard', 'ComplianceStandard') then 'Standard'
+              when n in ('BillingModel', 'PricingStructure') then 'PricingModel' when n = 'CustomerSegment' then 'Segment' when n = 'IndustryVertical' then 'Industry' when n = 'GeographicMarket' then 'Place' when n = 'SLACommitment' then 'SLA' when n = 'TrustCertification' then 'Certification' else n end as name from n""",
         "q_seed_strings": "select id, null as short, preflabel as long, len(altlabels) as examples from concepts",
-        "q_company_names": "select distinct preflabel, array_to_string(list_distinct_ordered, '|') as names from (select preflabel, list_filter(list_transform(regexp_split_to_array(regexp_replace(lower(preflabel), '\\b(formerly|previously|aka)\\b', '(', 'g'), '[()]'), lambda p: regexp_replace(p, '[^a-z0-9]', '', 'g')), lambda p, i: p <> '') as list_distinct_ordered from entities where preflabel is not null)",
+        "q_company_names": """with n as (select distinct preflabel, trim(regexp_replace(translate(lower(preflabel), '‘’“”–—', chr(39) || chr(39) || '""--'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) as flat from entities where preflabel is not null),
+            p as (select preflabel, list_transform(regexp_split_to_array(flat, ' *(?:[()/]|\\b(?:formerly|previously|aka)\\b) *'), lambda x: array_to_string(regexp_extract_all(x, '[a-z0-9&.+-]+'), ' ')) as parts from n)
+            select preflabel, array_to_string(list_filter(parts, lambda x, i: x <> '' and list_position(parts, x) = i), '|') as names from p""",
         "q_concept_roles": "select c.vertical_id, c.id, case when kind = 'standard' or len(governs) > 0 then 'rule' when exists (select 1 from concepts d where d.vertical_id = c.vertical_id and trim(d.broader) = c.id) then 'grouping' else kind end as role from concepts c",
         "q_governance": """with g as (select vertical_id, g as id, count(distinct id) as standards from (select vertical_id, id, unnest(governs) as g from concepts) group by 1, 2)
             select c.vertical_id, c.id, coalesce(g.standards, 0) as standards, coalesce(trim(definition) <> '', false) as defined,

@@ -56,14 +56,16 @@ def q_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_glued_words(spark: SparkSession, folder: str) -> DataFrame:
-    d = _docs(spark, folder).select("doc_id", "text", T.repair_glued_words(F.col("text")).alias("fixed"))
-    return d.where(F.col("text") != F.col("fixed")).select("doc_id", (F.length("fixed") - F.length("text")).alias("added"))
+    """Titles run together with a byline, as cards of a list of articles do, and what they are taken apart to."""
+    d = _docs(spark, folder).where(F.col("title").isNotNull() & F.col("crawled_at").isNotNull())
+    card = F.concat(F.lit("By"), F.col("title"), F.date_format("crawled_at", "MMMM d, yyyy"), F.lit("Blog"), F.col("title"), F.lit("CEO, "), F.col("source"))
+    return d.select("doc_id", T.repair_glued_words(card).alias("fixed")).where("fixed is not null")
 
 
 def q_safe_cells(spark: SparkSession, folder: str) -> DataFrame:
     c = table(spark, folder, "candidates")
     v = F.col("surface_form")
-    return c.where(v.isNotNull()).select("candidate_id", T.csv_safe(v).alias("cell"), T.concept_id(v).alias("id"), T.slug(v).alias("slug"), T.safe_filename(v).alias("file")).distinct()
+    return c.select("candidate_id", T.csv_safe(v).alias("cell"), T.concept_id(v).alias("id"), T.slug(v).alias("slug"), T.safe_filename(v).alias("file"), T.is_concept_id(v).alias("is_id"), T.is_quote(v).alias("is_quote")).distinct()
 
 
 def q_term_stems(spark: SparkSession, folder: str) -> DataFrame:
@@ -142,10 +144,19 @@ def oracle_sql() -> dict[str, str]:
         "q_title_place": """
             select doc_id, list_filter(list_transform(string_split(text, chr(10))[1:5], lambda s: trim(s)), lambda s: length(s) between 4 and 79 and not starts_with(s, '{'))[1] as heading
             from documents where text is not null""",
+        "q_glued_words": """
+            with cards as (select doc_id, 'By' || title || strftime(crawled_at, '%B %-d, %Y') || 'Blog' || title || 'CEO, ' || source as c from documents where title is not null and crawled_at is not null and source is not null),
+            a as (select doc_id, regexp_replace(c, '([a-z])((?:January|February|March|April|May|June|July|August|September|October|November|December)[ \\t\\n\\x0B\\f\\r]+[0-9])', '\\1 \\2', 'g') as c from cards),
+            b as (select doc_id, regexp_replace(c, '([a-z])((?:CEO|CFO|CTO|COO|CRO|CMO|SVP|EVP|VP|Founder|Co-Founder)\\b)', '\\1 \\2', 'g') as c from a),
+            y as (select doc_id, regexp_replace(c, '(^|[^0-9])((?:19|20)[0-9][0-9])([A-Z][a-z])', '\\1\\2 \\3', 'g') as c from b)
+            select doc_id, regexp_replace(c, '\\b(By|Blog)([A-Z][a-z])', '\\1 \\2', 'g') as fixed from y""",
         "q_safe_cells": """
-            select distinct candidate_id, case when regexp_matches(regexp_replace(surface_form, '[\\r\\n]+', ' ', 'g'), '^[=+\\-@\\t\\r]') then '''' else '' end || regexp_replace(surface_form, '[\\r\\n]+', ' ', 'g') as cell,
-              regexp_replace(regexp_replace(lower(trim(surface_form)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') as id,
-              coalesce(nullif(substr(regexp_replace(regexp_replace(lower(surface_form), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80), ''), 'x') as slug,
-              regexp_replace(surface_form, '[^A-Za-z0-9._-]+', '_', 'g') as file
-            from candidates where surface_form is not null""",
+            with c as (select distinct candidate_id, surface_form as v, replace(replace(replace(coalesce(surface_form, ''), chr(13) || chr(10), ' '), chr(13), ' '), chr(10), ' ') as flat from candidates)
+            select distinct candidate_id, case when left(flat, 1) in ('=', '+', '-', '@', chr(9)) then chr(39) else '' end || flat as cell,
+              coalesce(nullif(regexp_replace(regexp_replace(lower(trim(v)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'unnamed_concept') as id,
+              coalesce(nullif(substr(regexp_replace(regexp_replace(lower(v), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80), ''), 'x') as slug,
+              coalesce(nullif(left(regexp_replace(regexp_replace(coalesce(v, ''), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g'), 100), ''), 'report') as file,
+              coalesce(regexp_full_match(v, '[a-z0-9]+(_[a-z0-9]+)*'), false) as is_id,
+              coalesce(length(trim(v)) >= 15 and lower(trim(v)) not in ('n/a', 'none', 'not specified', 'mentioned in text', 'found on page', 'various', 'unknown'), false) as is_quote
+            from c""",
     }
