@@ -6,6 +6,11 @@ wins. Values in which no name stands as typed go on to a token-set similarity:
 every word of a name must be found in the value, in any order, allowing for
 typing errors, endings and abbreviations, and no word of the list may be left
 over. Everything else is reported as meaning no entry.
+
+What a typed word may stand for depends on all words of the list, so it is
+found once for every distinct typed word, against blocks of the list's words,
+and travels with the values. Names are then matched in blocks too; ranks that
+do not depend on the blocks decide between them.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +30,8 @@ from pyspark.sql import types as T
 from ..plans.skew import lookup_join
 from ..plans.storage import Scratch
 
-#: Entries that are compiled and sent to the executors at a time; a longer list is matched block by block.
-BLOCK = 50_000
+#: Entries, and words of the list, that are compiled and sent to the executors at a time; a longer list is matched block by block.
+BLOCK, WORDS = 50_000, 100_000
 #: Least similarity of a value with a name, and of one of its words with a word of the name.
 LEAST, LEAST_WORD = 0.72, 0.6
 #: Words less similar than the most similar one by more than this are not considered.
@@ -97,52 +103,81 @@ def letters(word: str) -> int:
     return bits
 
 
-class Words:
-    """All words of the whole list, whatever the scope: which of them a typed word may stand for.
+class Index:
+    """Names or words by their letters: which of them are within some edits of a typed one, in a few operations on arrays.
 
-    A word that is itself on the list stands for itself and its other endings
-    only, and a mistyped one for those it is nearest to, so that a name one
-    word of which is merely similar to another's is not taken for it.
+    An edit changes the counts of letters by two at most (a substitution), and
+    by no more than one the length; what passes is measured.
     """
 
-    def __init__(self, names: Iterable[str]):
-        self.all = {w: letters(w) for name in names for w in fold(name).split() if w not in LINKS}
+    def __init__(self, words: list[str]):
+        self.words = words
+        self.length = np.array([len(w) for w in words], dtype=np.int32)
+        self.counts = np.zeros((len(words), 64), dtype=np.int32)
+        for i, w in enumerate(words):
+            for c in w:
+                self.counts[i, ord(c) & 63] += 1
+
+    def within(self, typed: str, most: int, shorter: bool = False) -> np.ndarray:
+        """Positions of the words that may be within ``most`` edits of ``typed``, with ``shorter`` also of those that it may abbreviate."""
+        at = np.flatnonzero((np.abs(self.length - len(typed)) <= most) | (shorter & (self.length > len(typed))))
+        if not at.size:
+            return at
+        counts = np.zeros(64, dtype=np.int32)
+        for c in typed:
+            counts[ord(c) & 63] += 1
+        off = self.counts[at] - counts
+        fits = (np.abs(off).sum(axis=1) <= 2 * most) & (np.abs(self.length[at] - len(typed)) <= most)
+        # an abbreviation has no letters more than the word
+        return at[fits | (off.min(axis=1) >= 0)] if shorter else at[fits]
+
+
+class Words:
+    """A block of the words of the whole list, whatever the scope: which of them a typed word may stand for."""
+
+    def __init__(self, words: Iterable[str]):
+        self.index = Index(sorted(words))
         self.stems: dict[str, list[str]] = defaultdict(list)
-        for w in sorted(self.all):
+        for w in self.index.words:
             self.stems[stem(w)].append(w)
-        self.near: dict[str, list[tuple[str, float]]] = {}
-
-    def likely(self, typed: str) -> list[tuple[str, float]]:
-        """(word, similarity); remembered, as typed words repeat."""
-        found = self.near.get(typed)
-        if found is None:
-            same = self.stems.get(stem(typed))
-            if same:
-                found = [(w, 1.0 if w == typed else 0.98) for w in same]
-            else:
-                mask = letters(typed)
-                found, short = [], []
-                most = 1 if len(typed) < 5 else 2 if len(typed) < 10 else 3
-                for w, m in self.all.items():
-                    more = (mask & ~m).bit_count()
-                    if (more <= most and (m & ~mask).bit_count() <= most) or (not more and typed[0] == w[0] and len(typed) < len(w)):
-                        near, cut = word_similarity(typed, w)
-                        if near >= LEAST_WORD:
-                            (short if cut else found).append((w, near))
-                top = max((s for _, s in found), default=0)
-                found = [(w, s) for w, s in found if s >= top - MARGIN] + short
-            if len(self.near) > 300_000:
-                self.near.clear()
-            self.near[typed] = found
-        return found
+
+    def likely(self, typed: str) -> list[tuple[str, float, int]]:
+        """(word, similarity, how): how is 2 for the word itself and its other endings, 1 for one that is near, 0 for one that is abbreviated."""
+        same = self.stems.get(stem(typed))
+        if same:
+            return [(w, 1.0 if w == typed else 0.98, 2) for w in same]
+        found = []
+        # an ending more or less is no edit
+        for i in self.index.within(typed, 4 if len(typed) >= 9 else 3 if len(typed) >= 5 else 2, True):
+            w = self.index.words[i]
+            near, cut = word_similarity(typed, w)
+            if near >= LEAST_WORD:
+                found.append((w, near, 0 if cut else 1))
+        top = max((s for _, s, how in found if how), default=0)
+        return [(w, s, how) for w, s, how in found if not how or s >= top - MARGIN]
+
+
+def settled(hits: Iterable[tuple[str, float, int]]) -> list[tuple[str, float]]:
+    """Of what all blocks of the list's words give for a typed word: the word itself and its other endings if it is on the list, else the nearest ones and those it abbreviates."""
+    hits = sorted(set(hits))
+    same = [(w, s) for w, s, how in hits if how == 2]
+    if same:
+        return same
+    top = max((s for _, s, how in hits if how), default=0)
+    return [(w, s) for w, s, how in hits if not how or s >= top - MARGIN]
+
+
+def typed_words(folded: str) -> tuple[list[str], list[str]]:
+    """(words, neighbours run together) of a folded value: a word split by a stray space may stand as one."""
+    typed = [w for w in folded.split() if w not in LINKS]
+    return typed, [a + b for a, b in zip(typed, typed[1:])]
 
 
 class Names:
     """The names of one scope: an automaton over them, and their words."""
 
-    def __init__(self, names: list[tuple[str, str, bool]], known: Words):
+    def __init__(self, names: list[tuple[str, str, bool]]):
         """names: (entry, name, whether it is the canonical one); of equal names the canonical one, then the smaller entry, stands."""
-        self.known = known
         self.entry: dict[str, tuple[bool, str]] = {}
         self.exact = {name for _, name, canonical in names if canonical}
         for entry, name, canonical in names:
@@ -159,11 +194,13 @@ class Names:
             self.words.append(words)
             for w in set(words):
                 self.by_word[w].append(i)
-        self.flat = [(key, plain, letters(plain), {stem(w) for w in words}) for key, words in zip(self.names, self.words) if len(plain := "".join(words)) >= 6]
+        long = [(key, plain, {stem(w) for w in words}) for key, words in zip(self.names, self.words) if len(plain := "".join(words)) >= 6]
+        self.flat = [(key, stems) for key, _, stems in long]
+        self.index = Index([plain for _, plain, _ in long])
         if self.names:
             self.automaton.make_automaton()
 
-    def embedded(self, folded: str) -> str | None:
+    def embedded(self, folded: str, near: dict[str, list[tuple[str, float]]]) -> str | None:
         """The longest of the names that stand in the value without overlap, if no other word of the list is left over."""
         if not self.names:
             return None
@@ -182,24 +219,20 @@ class Names:
         _, _, key, end = max(found)
         start = end - len(key) - 1
         rest = (text[:start] + " " + text[end:]).split()
-        return key if not any(w in self.known.all and w not in DRESSING for w in rest) else None
-
-    def similar(self, folded: str) -> tuple[str, float] | None:
-        """The name most similar to the value as a set of words."""
-        typed = [w for w in folded.split() if w not in LINKS]
-        # neighbours run together or apart: a word split by a stray space may stand as one
-        joined = [a + b for a, b in zip(typed, typed[1:])] if len(typed) > 1 else []
-        options = [(w, i, self.known.likely(w)) for i, w in enumerate(typed)]
-        spans = [(w, i, self.known.likely(w)) for i, w in enumerate(joined)]
+        return key if not any(w not in DRESSING and listed(w, near) for w in rest) else None
+
+    def similar(self, folded: str, near: dict[str, list[tuple[str, float]]]) -> tuple[str, float, int] | None:
+        """(name, score, words) of the name most similar to the value as a set of words."""
+        typed, joined = typed_words(folded)
         hits: dict[str, list[tuple[float, frozenset[int]]]] = defaultdict(list)
-        for _, i, near in options:
-            for w, s in near:
+        for i, t in enumerate(typed):
+            for w, s in near.get(t, ()):
                 hits[w].append((s, frozenset((i,))))
-        for _, i, near in spans:
-            for w, s in near:
+        for i, t in enumerate(joined):
+            for w, s in near.get(t, ()):
                 hits[w].append((s - 0.05, frozenset((i, i + 1))))
         best: tuple[float, int, str] | None = None
-        for i in {i for w in hits for i in self.by_word[w]}:
+        for i in {i for w in hits for i in self.by_word.get(w, ())}:
             words = self.words[i]
             if not all(w in hits for w in words):
                 continue
@@ -214,49 +247,94 @@ class Names:
             else:
                 left = [typed[k] for k in range(len(typed)) if k not in taken]
                 # a word left over that is surely one of the list's makes it another thing
-                if any(w not in DRESSING and any(s >= 0.9 for _, s in self.known.likely(w)) for w in left):
+                if any(w not in DRESSING and any(s >= 0.9 for _, s in near.get(w, ())) for w in left):
                     continue
                 score /= len(words)
                 if best is None or (score, len(words)) > best[:2] or ((score, len(words)) == best[:2] and self.entry[self.names[i]] < self.entry[best[2]]):
                     best = (score, len(words), self.names[i])
-        if best and best[0] >= LEAST:
-            return best[2], best[0]
-        return self.run_together(typed)
+        return (best[2], best[0], best[1]) if best and best[0] >= LEAST else None
 
-    def run_together(self, typed: list[str]) -> tuple[str, float] | None:
+    def run_together(self, folded: str, near: dict[str, list[tuple[str, float]]]) -> tuple[str, float] | None:
         """A name typed without or with misplaced spaces; a word that is one of the list's must be one of the name's."""
+        typed = typed_words(folded)[0]
         typed = [w for w in typed if w not in DRESSING] or typed
         flat = "".join(typed)
         if len(flat) < 6:
             return None
-        kept = {stem(w) for w in typed if w in self.known.all and len(w) > 3}
-        mask = letters(flat)
-        near = []
-        for key, plain, held, words in self.flat:
+        kept = {stem(w) for w in typed if len(w) > 3 and listed(w, near)}
+        hits = []
+        for i in self.index.within(flat, 3):
+            key, words = self.flat[i]
+            plain = self.index.words[i]
             most = max(1, min(3, len(plain) // 7))
-            if abs(len(plain) - len(flat)) <= most and (mask & ~held).bit_count() <= most and (held & ~mask).bit_count() <= most and kept <= words:
+            if abs(len(plain) - len(flat)) <= most and kept <= words:
                 d = distance(flat, plain, most)
                 if d <= most:
-                    near.append((d, key))
-        if not near:
+                    hits.append((d, key))
+        if not hits:
             return None
-        d, key = min(near)
+        d, key = min(hits)
         return key, 1 - d / len(flat)
 
-    def match(self, value: str) -> tuple[str, int, float]:
-        """(entry or '', way, score); way 4 is a canonical name byte for byte, 3 a whole name, 2 a name within the value, 1 a similar one, 0 none."""
-        folded = fold(value)
+    def match(self, value: str, folded: str, near: dict[str, list[tuple[str, float]]]) -> tuple[str, int, int, float, int, bool]:
+        """(entry or '', rank, way, score, words, whether by another name); way 4 is a canonical name byte for byte, 3 a whole name, 2 a name within the value, 1 a similar one, 0 none; rank orders what blocks give for one value."""
         if folded in self.entry:
-            return self.entry[folded][1], 4 if value in self.exact else 3, 1.0
-        key = self.embedded(folded)
+            way = 4 if value in self.exact else 3
+            return self.entry[folded][1], way + 2, way, 1.0, 0, self.entry[folded][0]
+        key = self.embedded(folded, near)
         if key:
-            return self.entry[key][1], 2, len(key) / max(1, len(folded))
-        found = self.similar(folded)
-        return (self.entry[found[0]][1], 1, found[1]) if found else ("", 0, 0.0)
+            return self.entry[key][1], 4, 2, len(key) / max(1, len(folded)), 0, self.entry[key][0]
+        found = self.similar(folded, near)
+        if found:
+            return self.entry[found[0]][1], 3, 1, found[1], found[2], self.entry[found[0]][0]
+        flat = self.run_together(folded, near)
+        if flat:
+            return self.entry[flat[0]][1], 2, 1, flat[1], 0, self.entry[flat[0]][0]
+        return "", 0, 0, 0.0, 0, False
+
+
+def listed(word: str, near: dict[str, list[tuple[str, float]]]) -> bool:
+    """Whether a typed word is itself on the list."""
+    return any(w == word for w, _ in near.get(word, ()))
+
+
+_STRINGS = pa.list_(pa.string())
+_TYPED = T.StructType([T.StructField("scope", T.StringType()), T.StructField("value", T.StringType()), T.StructField("folded", T.StringType()), T.StructField("words", T.ArrayType(T.StringType()))])
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        folded = [fold(v) for v in b.column(1).to_pylist()]
+        # a word of a hundred letters is near no name's
+        words = [sorted({w for ws in typed_words(f) for w in ws if len(w) <= 100}) for f in folded]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(folded, pa.string()), pa.array(words, _STRINGS)], ["scope", "value", "folded", "words"])
+
+
+def _list_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = [[w for w in fold(n).split() if w not in LINKS] for n in b.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(out, _STRINGS)], ["words"])
+
+
+_HIT = T.StructType([T.StructField("w", T.StringType()), T.StructField("s", T.DoubleType()), T.StructField("how", T.IntegerType())])
+_HITS = T.StructType([T.StructField("word", T.StringType()), T.StructField("hits", T.ArrayType(_HIT))])
+_HITS_ARROW = pa.list_(pa.struct([("w", pa.string()), ("s", pa.float64()), ("how", pa.int32())]))
+
+
+def _near(block):
+    """What the words of batches may stand for among a block of the list's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words(block.value)
+        for b in batches:
+            out = [[{"w": w, "s": float(s), "how": how} for w, s, how in known.likely(t)] for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, _HITS_ARROW)], ["word", "hits"])
+
+    return run
 
 
 def _matcher(names):
-    """Matches Arrow batches of (scope, value); names: broadcast (scope, entry, name, canonical). A null scope asks all scopes."""
+    """Matches Arrow batches of (scope, value, folded, near); names: broadcast (scope, entry, name, canonical). A null scope asks all scopes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scopes: dict[str | None, list[tuple[str, str, bool]]] = defaultdict(list)
@@ -265,23 +343,33 @@ def _matcher(names):
             if scope is not None:
                 scopes[scope].append((entry, name, canonical))
         built: dict[str | None, Names] = {}
-        known = Words(name for _, name, _ in scopes[None])
         for batch in batches:
             out = []
-            for scope, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for scope, value, folded, near in zip(*(c.to_pylist() for c in batch.columns)):
                 if scope not in built:
-                    built[scope] = Names(scopes.get(scope, []), known)
-                out.append(built[scope].match(value))
-            entries, ways, scores = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(entries, pa.string()), pa.array(ways, pa.int32()), pa.array(scores, pa.float64())], ["scope", "value", "entry", "way", "score"])
+                    built[scope] = Names(scopes.get(scope, []))
+                known = {n["word"]: settled((h["w"], h["s"], h["how"]) for h in n["hits"]) for n in near or ()}
+                out.append(built[scope].match(value, folded, known))
+            cols = list(zip(*out)) if out else [()] * 6
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, kinds))], _MATCHED.names)
 
     return run
 
 
-_MATCHED = T.StructType([T.StructField("scope", T.StringType()), T.StructField("value", T.StringType()), T.StructField("entry", T.StringType()), T.StructField("way", T.IntegerType()), T.StructField("score", T.DoubleType())])
+_MATCHED = T.StructType([
+    T.StructField("scope", T.StringType()), T.StructField("value", T.StringType()), T.StructField("entry", T.StringType()), T.StructField("rank", T.IntegerType()),
+    T.StructField("way", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("words", T.IntegerType()), T.StructField("other", T.BooleanType()),
+])
+
+
+def _blocks(rows: DataFrame, key: str, size: int) -> list[DataFrame]:
+    """Rows split by the hash of a key into blocks of about ``size`` keys."""
+    n = max(1, -(-rows.select(key).distinct().count() // size))
+    return [rows.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
 
 
-def match_values(values: DataFrame, names: DataFrame, block: int = BLOCK) -> DataFrame:
+def match_values(values: DataFrame, names: DataFrame, block: int = BLOCK, words: int = WORDS) -> DataFrame:
     """(scope, value, entry, way, score) of each distinct (scope, value) of ``values``.
 
     ``names`` has scope, entry, name, canonical (boolean); a value is held
@@ -290,26 +378,38 @@ def match_values(values: DataFrame, names: DataFrame, block: int = BLOCK) -> Dat
     canonical name byte for byte, 3 whole name, 2 within the value, 1 similar,
     0 not at all. Null and blank values get no row; null and blank names match
     nothing. Of equal names the canonical one, then the one with the smaller
-    entry, stands. The list is compiled in blocks of about ``block`` entries,
-    which bounds what the driver collects and sends out; a longer list takes a
-    pass per block and the best match over the blocks.
+    entry, stands. The list goes out in blocks of about ``block`` entries, its
+    words in blocks of about ``words``, which bounds what the driver collects
+    and sends; a longer list takes a pass per block and gives the same rows.
     """
     spark = values.sparkSession
+    scratch = Scratch(spark, "matches")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # matching costs far more than its bytes tell, so the number of tasks is set and not coalesced
     asked = values.select(F.col("scope").cast("string").alias("scope"), F.col("value").cast("string").alias("value")).where(F.trim("value") != "").distinct().repartition(tasks, "scope", "value")
-    listed = names.select(F.col("scope").cast("string").alias("scope"), F.col("entry").cast("string").alias("entry"), F.col("name").cast("string").alias("name"), "canonical").where(F.col("entry").isNotNull() & (F.trim("name") != "")).distinct()
-    blocks = max(1, -(-listed.select("entry").distinct().count() // block))
-    numbered = listed.withColumn("block", F.pmod(F.xxhash64("entry"), F.lit(blocks)))
-    found = None
-    for i in range(blocks):
-        part = [tuple(r) for r in numbered.where(F.col("block") == i).drop("block").sort("scope", "entry", "name").collect()]
-        one = asked.mapInArrow(_matcher(spark.sparkContext.broadcast(part)), _MATCHED)
+    asked = scratch.keep(asked.mapInArrow(_folded, _TYPED))
+    named = names.select(F.col("scope").cast("string").alias("scope"), F.col("entry").cast("string").alias("entry"), F.col("name").cast("string").alias("name"), "canonical").where(F.col("entry").isNotNull() & (F.trim("name") != "")).distinct()
+
+    # what every typed word may stand for, over all words of the list; matching costs far more than its bytes tell, so the number of tasks is set
+    known = named.select("name").distinct().mapInArrow(_list_words, "words array<string>").select(F.explode("words").alias("w")).distinct()
+    typed = scratch.keep(asked.select(F.explode("words").alias("word")).distinct().repartition(tasks))
+    near: DataFrame | None = None
+    for part in _blocks(known, "w", words):
+        one = typed.mapInArrow(_near(spark.sparkContext.broadcast([r[0] for r in part.collect()])), _HITS).where(F.size("hits") > 0)
+        near = one if near is None else near.unionByName(one)
+    near = scratch.keep(near.groupBy("word").agg(F.flatten(F.collect_list("hits")).alias("hits")))
+    spread = scratch.keep(asked.select("scope", "value", F.explode("words").alias("word")))
+    hints = lookup_join(spread, near, ["word"], "inner").groupBy("scope", "value").agg(F.collect_list(F.struct("word", "hits")).alias("near"))
+    same = F.coalesce(F.concat(F.lit("="), F.col("scope")), F.lit("")).alias("at")
+    ready = asked.select("scope", "value", "folded", same).join(hints.select("value", "near", same), ["at", "value"], "left").select("scope", "value", "folded", "near")
+    ready = scratch.keep(ready)
+
+    found: DataFrame | None = None
+    for part in _blocks(named, "entry", block):
+        sent = spark.sparkContext.broadcast([tuple(r) for r in part.sort("scope", "entry", "name").collect()])
+        one = ready.repartition(tasks).mapInArrow(_matcher(sent), _MATCHED)
         found = one if found is None else found.unionByName(one)
-    if blocks == 1:
-        return found
-    best = found.groupBy("scope", "value").agg(F.min_by(F.struct("entry", "way", "score"), F.struct(-F.col("way"), -F.col("score"), F.col("entry"))).alias("b"))
-    return best.select("scope", "value", "b.entry", "b.way", "b.score")
+    best = F.min_by(F.struct("entry", "way", "score"), F.struct(-F.col("rank"), -F.col("score"), -F.col("words"), "other", "entry"))
+    return found.groupBy("scope", "value").agg(best.alias("b")).select("scope", "value", "b.entry", "b.way", "b.score")
 
 
 def concept_names(concepts: DataFrame) -> DataFrame:
