@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -58,8 +58,26 @@ def stem(word: str) -> str:
 
 def distance(a: str, b: str, most: int) -> int:
     """Insertions, deletions, substitutions and swaps of neighbours between two words; most + 1 stands for more than most."""
+    if a == b:
+        return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
+    # what both begin and end with costs nothing
+    k, n = 0, min(len(a), len(b))
+    while k < n and a[k] == b[k]:
+        k += 1
+    a, b, n = a[k:], b[k:], n - k
+    k = 0
+    while k < n and a[-1 - k] == b[-1 - k]:
+        k += 1
+    if k:
+        a, b = a[:-k], b[:-k]
+    if not a or not b:
+        return min(len(a) + len(b), most + 1)
+    if len(a) == 1 == len(b) or (len(a) == 2 == len(b) and a[0] == b[1] and a[1] == b[0]):
+        return min(1, most + 1)
+    if most < 2:
+        return most + 1
     older, old = [], list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         new = [i]
@@ -71,7 +89,7 @@ def distance(a: str, b: str, most: int) -> int:
         if min(new) > most:
             return most + 1
         older, old = old, new
-    return old[-1]
+    return min(old[-1], most + 1)
 
 
 def word_similarity(typed: str, word: str) -> tuple[float, bool]:
@@ -113,23 +131,41 @@ class Index:
     def __init__(self, words: list[str]):
         self.words = words
         self.length = np.array([len(w) for w in words], dtype=np.int32)
-        self.counts = np.zeros((len(words), 64), dtype=np.int32)
-        for i, w in enumerate(words):
-            for c in w:
-                self.counts[i, ord(c) & 63] += 1
-
-    def within(self, typed: str, most: int, shorter: bool = False) -> np.ndarray:
-        """Positions of the words that may be within ``most`` edits of ``typed``, with ``shorter`` also of those that it may abbreviate."""
-        at = np.flatnonzero((np.abs(self.length - len(typed)) <= most) | (shorter & (self.length > len(typed))))
+        self.counts = np.array([_counts(w) for w in words], dtype=np.int32).reshape(len(words), 64)
+        self.first: dict[str, np.ndarray] = {}
+        for c in {w[0] for w in words}:
+            self.first[c] = np.array([i for i, w in enumerate(words) if w[0] == c])
+        #: by the length of what is typed: the words near that length, their counts, and the edits that may be between
+        self.near: dict[tuple, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def within(self, typed: str, most: Callable[[np.ndarray], np.ndarray], key: int = 0) -> tuple[list[int], list[int]]:
+        """(positions, edits at least) of the words that may be within ``most`` (of their positions) edits of ``typed``; most depends on the length of typed and on key only."""
+        known = self.near.get((len(typed), key))
+        if known is None:
+            allowed = most(np.arange(len(self.words)))
+            at = np.flatnonzero(np.abs(self.length - len(typed)) <= allowed)
+            known = self.near[len(typed), key] = (at, self.counts[at], allowed[at])
+        at, counts, allowed = known
         if not at.size:
-            return at
-        counts = np.zeros(64, dtype=np.int32)
-        for c in typed:
-            counts[ord(c) & 63] += 1
-        off = self.counts[at] - counts
-        fits = (np.abs(off).sum(axis=1) <= 2 * most) & (np.abs(self.length[at] - len(typed)) <= most)
-        # an abbreviation has no letters more than the word
-        return at[fits | (off.min(axis=1) >= 0)] if shorter else at[fits]
+            return [], []
+        edits = (np.abs(counts - np.array(_counts(typed), dtype=np.int32)).sum(axis=1) + 1) // 2
+        fits = edits <= allowed
+        return at[fits].tolist(), edits[fits].tolist()
+
+    def abbreviated(self, typed: str) -> list[int]:
+        """Positions of the longer words that begin like ``typed`` and have all its letters."""
+        at = self.first.get(typed[0])
+        if at is None:
+            return []
+        at = at[self.length[at] > len(typed)]
+        return at[((self.counts[at] - np.array(_counts(typed), dtype=np.int32)) >= 0).all(axis=1)].tolist()
+
+
+def _counts(word: str) -> list[int]:
+    out = [0] * 64
+    for c in word:
+        out[ord(c) & 63] += 1
+    return out
 
 
 class Words:
@@ -137,6 +173,7 @@ class Words:
 
     def __init__(self, words: Iterable[str]):
         self.index = Index(sorted(words))
+        self.stemmed = Index([stem(w) for w in self.index.words])
         self.stems: dict[str, list[str]] = defaultdict(list)
         for w in self.index.words:
             self.stems[stem(w)].append(w)
@@ -146,14 +183,27 @@ class Words:
         same = self.stems.get(stem(typed))
         if same:
             return [(w, 1.0 if w == typed else 0.98, 2) for w in same]
-        found = []
-        # an ending more or less is no edit
-        for i in self.index.within(typed, 4 if len(typed) >= 9 else 3 if len(typed) >= 5 else 2, True):
+        # as many edits as word_similarity allows for words of these lengths, with their endings or without
+        def most(at: np.ndarray) -> np.ndarray:
+            shorter = np.minimum(self.index.length[at], len(typed))
+            return np.select([shorter < 3, shorter < 5, shorter < 9], [0, 1, 2], 3)
+
+        edits: dict[int, int] = {}
+        for near in (self.index.within(typed, most), self.stemmed.within(stem(typed), most, len(typed))):
+            for i, e in zip(*near):
+                edits[i] = min(e, edits.get(i, e))
+        for i in self.stemmed.abbreviated(stem(typed)) if len(stem(typed)) >= 3 else ():
+            edits[i] = -1
+        # the likeliest first, so that most others cannot come near them and need not be measured
+        found, top = [], 0.0
+        for i, e in sorted(edits.items(), key=lambda x: x[1]):
             w = self.index.words[i]
+            if e >= 0 and 1 - e / max(len(typed), len(w)) < max(LEAST_WORD, top - MARGIN):
+                continue
             near, cut = word_similarity(typed, w)
             if near >= LEAST_WORD:
                 found.append((w, near, 0 if cut else 1))
-        top = max((s for _, s, how in found if how), default=0)
+                top = top if cut else max(top, near)
         return [(w, s, how) for w, s, how in found if not how or s >= top - MARGIN]
 
 
@@ -263,7 +313,7 @@ class Names:
             return None
         kept = {stem(w) for w in typed if len(w) > 3 and listed(w, near)}
         hits = []
-        for i in self.index.within(flat, 3):
+        for i in self.index.within(flat, lambda at: np.full(len(at), 3))[0]:
             key, words = self.flat[i]
             plain = self.index.words[i]
             most = max(1, min(3, len(plain) // 7))
