@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from weftline.engine import Engine
@@ -49,6 +50,29 @@ def test_archive(spark, tmp_path):
     fresh, quads = archive.sync(spark, g.limit(0), f"file://{tmp_path}/a")
     assert fresh.count() == 1 and sorted(map(str, quads.first())) == sorted(map(str, q.first()))
     assert archive.sync(spark, g, f"file://{tmp_path}/a")[1].count() == 0
+    # a second graph leaves the first as it is, one published again replaces itself only, an empty one is empty
+    second = q.withColumn("graph_id", F.lit("007"))
+    archive.publish(second, g.withColumn("graph_id", F.lit("007")), f"file://{tmp_path}/a")
+    archive.publish(q.withColumn("o", F.lit("new")), g, f"file://{tmp_path}/a")
+    archive.publish(q.limit(0), g.withColumn("graph_id", F.lit("none")), f"file://{tmp_path}/a")
+    fresh, quads = archive.sync(spark, g.limit(0), f"file://{tmp_path}/a")
+    assert sorted(r.graph_id for r in fresh.collect()) == ["007", "g1", "none"] and sorted((r.graph_id, r.o) for r in quads.collect()) == [("007", "o"), ("g1", "new")]
+    at = f"file://{tmp_path}/state"
+    assert archive.versioned(spark, at) == (None, None) and archive.put_if(spark, at, "é", None) and not archive.put_if(spark, at, "b", None)
+    payload, version = archive.versioned(spark, at)
+    assert payload == "é" and archive.put_if(spark, at, "b", version) and not archive.put_if(spark, at, "c", version)
+    faster = iter(["x", "y"])
+
+    def change(held):
+        for other in faster:  # two other writers come in between
+            archive.update(spark, at, lambda h: h + other, 1)
+            break
+        return held + "!"
+
+    assert archive.update(spark, at, change) == "bxy!"
+    archive.put_if_absent(spark, at + ".lock", "")
+    with pytest.raises(TimeoutError):
+        archive.put_if(spark, at, "z", None, 0.05)
     assert archive.put_if_absent(spark, f"file://{tmp_path}/lock", "x") and not archive.put_if_absent(spark, f"file://{tmp_path}/lock", "y")
     assert {r.name for r in archive.listed(spark, f"file://{tmp_path}", "lock").collect()} == {"lock.crc"} or archive.listed(spark, f"file://{tmp_path}", "lock").count() >= 0
     assert "\\u003c/script" in archive.graph_page("t", [("a", "</script>"), ("a", "b")], [])

@@ -77,3 +77,28 @@ def test_html(spark):
     rows = html.pages(spark.createDataFrame([("https://a.example/x", page), ("u", None), ("v", "<p")], "url string, html string")).orderBy("url").collect()
     assert rows[0].title == "T" and rows[0].text == "Head line\nSome text\nmoreYo" and rows[0].links[0].url == "https://a.example/y" and len(rows[0].links) == 1
     assert rows[1].text == "" and html.challenge("<html>Just a moment...</html>") == "cloudflare" and html.challenge("ok", 503) == "unknown"
+
+
+def kept(markup):
+    return "\n".join(t for _, t in html.parse(markup, "https://a.example/x").kept())
+
+
+def test_furniture():
+    furniture = (
+        '<a class="nectar-skip-to-content" href="#main">Skip to main content</a><div id="slide-out" role="dialog"><p>1707 L St. NW Suite 850</p><a href="/about">About us</a></div>'
+        '<div id="search-outer"><form role="search"><span>Hit enter to search</span></form></div><span class="screen-reader-text">Close Menu</span><ol class="breadcrumbs"><li>Home</li><li>Blog</li></ol>'
+        '<div class="row related-post-wrap"><h3>You May Also Like</h3><p>Another post title</p></div><div id="article-comments"><p>Please sign in to comment.</p></div><div class="cookie-consent-banner">We use cookies</div><aside class="article-sidebar">Articles in this section</aside>'
+    )
+    body = "<h1>Security</h1><p>GDPR and CCPA</p>" + "<p>Billing topic with care and detail.</p>" * 30
+    page = f'<html><body class="search-page"><header>Top banner</header><nav>Menu</nav><div class="modal-page" role="main"><div class="row">{furniture}{body}</div></div><footer>Footer text</footer></body></html>'
+    text = kept(page)
+    for gone in ("Top banner", "Menu", "Footer text", "Skip to main", "1707 L St", "Hit enter", "Close Menu", "Blog", "Another post", "sign in", "We use cookies", "Articles in"):
+        assert gone not in text, gone
+    assert text.startswith("Security\nGDPR and CCPA") and text.count("Billing topic") == 30
+    assert ("https://a.example/about", "About us") in html.parse(page, "https://a.example/x").internal_links()
+    # names do not match inside words, and what holds most of the page is no furniture
+    same = '<html><body><div class="research-results"><p>Research on billing.</p></div><div class="social-proof"><p>Trusted by Acme</p></div><div class="elementor-widget"><p>Revenue for SaaS</p></div></body></html>'
+    assert kept(same) == "Research on billing.\nTrusted by Acme\nRevenue for SaaS"
+    for wrapper in ('<form id="f">%s</form>', '<div class="search-page">%s</div>', "<dialog>%s"):
+        assert kept("<html><body>" + wrapper % ("<p>" + "It automates billing. " * 40 + "</p>") + "</body></html>").count("It automates") == 40
+    assert kept('<div class="popup"><span>a <main>b</main></span></div><p>c') == "a b\nc" and kept(None) == "" and kept('<p>one <span class="sr-only">two</span> three</p>') == "one\nthree"

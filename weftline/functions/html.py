@@ -14,7 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _SKIP = frozenset("script style svg noscript template iframe video audio canvas".split())
-_CHROME = frozenset("header nav footer aside form".split())
+_CHROME = frozenset("header nav footer".split())
+#: What furniture is called: a part of a class or id, or all of it; roles and elements that are furniture; and the share of a page's text that makes an element no furniture (fixed values).
+NOISE_PARTS = frozenset("skip search modal popup cookie cookies consent newsletter subscribe share sharing breadcrumb breadcrumbs comment comments related offcanvas".split())
+NOISE_NAMES = frozenset("screen-reader-text sr-only visually-hidden off-canvas".split())
+NOISE_ROLES = frozenset("dialog alertdialog search complementary".split())
+NOISE_TAGS = frozenset("form dialog aside".split())
+MOST_NOISE = 0.4
+_NAME_PARTS = re.compile(r"[-_\s]+")
 _BLOCKS = frozenset("p li h1 h2 h3 h4 h5 h6 pre blockquote td th dd dt figcaption".split())
 _VOID = frozenset("br img input meta link hr source area base col embed wbr track".split())
 #: Marks of pages that ask for proof of a human instead of showing content, with their makers (fixed values).
@@ -22,14 +29,34 @@ CHALLENGES = {"cloudflare": ("cf-challenge", "just a moment...", "cf_chl_"), "da
 _ASSET = re.compile(r"\.(pdf|png|jpe?g|svg|css|js|webp|gif|zip|xml|ico|mp4|mp3|woff2?|json|txt)$", re.I)
 
 
+def _is_noise(tag: str, a: dict[str, str | None]) -> bool:
+    """Whether an element is furniture by its name, role, classes or id."""
+    if tag in ("html", "body", "main", "article"):
+        return False
+    if tag in NOISE_TAGS or (a.get("role") or "").lower() in NOISE_ROLES or "hidden" in a or a.get("aria-modal") == "true":
+        return True
+    names = [*(a.get("class") or "").lower().split(), (a.get("id") or "").lower()]
+    return any(n in NOISE_NAMES or NOISE_PARTS.intersection(_NAME_PARTS.split(n)) for n in names if n)
+
+
 class Page(HTMLParser):
-    """Title, meta description, blocks of prose outside the page chrome, links and embedded data of one page."""
+    """Title, meta description, blocks of prose outside the page chrome and furniture, links and embedded data of one page.
+
+    Whether an element is furniture shows only at its end: one that holds the
+    main part, or more than MOST_NOISE of the text, is none. So blocks note the
+    open elements that may be, and those that were are taken out at the end.
+    """
 
     def __init__(self, url: str):
         super().__init__(convert_charrefs=True)
         self.url = url
         self.title = self.og = self.description = ""
         self.blocks: list[tuple[str, str]] = []
+        #: per block the elements around it that may be furniture; per such element its text's length, and whether it holds the main part
+        self.around: list[tuple[int, ...]] = []
+        self.noise: list[list] = []
+        self.inside: list[int] = []
+        self.letters = 0
         self.links: list[tuple[str, str]] = []
         self.data: list[str] = []
         self.items: list[str] = []
@@ -61,6 +88,15 @@ class Page(HTMLParser):
         self.chrome += tag in _CHROME
         if tag in _BLOCKS or tag in ("div", "section", "table", "ul", "ol", "tr"):
             self.flush()
+        if tag in ("main", "article") or (a.get("role") or "").lower() == "main":
+            for i in self.inside:
+                if i >= 0:
+                    self.noise[i][1] = True
+        self.inside.append(-1)
+        if _is_noise(tag, a):
+            self.flush()
+            self.inside[-1] = len(self.noise)
+            self.noise.append([0, False])
         self.open.append(tag)
 
     def handle_endtag(self, tag):
@@ -74,8 +110,13 @@ class Page(HTMLParser):
             self.json = None
         if tag in _BLOCKS or tag in ("div", "section", "table", "ul", "ol", "tr", "body"):
             self.flush(tag)
+        elif self.inside[-1] >= 0:
+            self.flush()
         while self.open:
             top = self.open.pop()
+            if self.inside[-1] >= 0:
+                self.flush()
+            self.inside.pop()
             self.skip -= top in _SKIP
             self.chrome -= top in _CHROME
             if top == tag:
@@ -97,6 +138,16 @@ class Page(HTMLParser):
         self.words = []
         if text:
             self.blocks.append((tag or (self.open[-1] if self.open else ""), text))
+            around = tuple(i for i in self.inside if i >= 0)
+            self.around.append(around)
+            self.letters += len(text)
+            for i in around:
+                self.noise[i][0] += len(text)
+
+    def kept(self) -> list[tuple[str, str]]:
+        """The blocks that stand in no furniture."""
+        gone = {i for i, (held, main) in enumerate(self.noise) if not main and held <= MOST_NOISE * self.letters}
+        return [b for b, around in zip(self.blocks, self.around) if gone.isdisjoint(around)]
 
     def schema_types(self) -> list[str]:
         out = list(self.items)
@@ -165,7 +216,8 @@ _ARROW = pa.schema([("url", pa.string()), ("title", pa.string()), ("description"
 def pages(rows: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(url, title, description, headings, text, blocks, schema_types, links, challenge) of every page.
 
-    text is what stands outside navigation, header, footer, forms and scripts,
+    text is what stands outside navigation, header, footer, scripts and page
+    furniture (overlays, forms, notices, related posts, by role, class or id),
     a line per block; headings are the first eight of level one and two. A null page gives an empty one; broken markup is read as far as it goes.
     """
 
@@ -174,8 +226,9 @@ def pages(rows: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
             out = []
             for u, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 p = parse(h, u)
-                texts = [t for _, t in p.blocks]
-                heads = [t for k, t in p.blocks if k in ("h1", "h2") and len(t) > 3][:8]
+                blocks = p.kept()
+                texts = [t for _, t in blocks]
+                heads = [t for k, t in blocks if k in ("h1", "h2") and len(t) > 3][:8]
                 out.append({"url": u, "title": " ".join((p.title or p.og).split()), "description": p.description, "headings": heads, "text": "\n".join(texts), "blocks": texts, "schema_types": p.schema_types(), "links": [{"url": x, "anchor": y} for x, y in p.internal_links()], "challenge": challenge(h)})
             yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from . import buyers
-from .scores import runs
+from .scores import longest, runs
 
 #: Groups of pages that prove something about buyers, and by which path segments they are known (fixed values).
 EVIDENCE_GROUPS = {"customer": ("customers", "customer", "customer-stories", "case-studies", "case-study", "success-stories", "stories"), "comparison": ("compare", "comparison", "vs", "alternatives", "alternative"), "industry": ("industries", "industry", "solutions", "use-cases")}
@@ -27,9 +27,10 @@ def matched_labels(labels: DataFrame, terms: DataFrame, key: str) -> DataFrame:
     """
     said = terms.select(key, plain(F.col("term")).alias("t")).where(F.col("t") != "").distinct()
     known = labels.select("concept_id", plain(F.col("label")).alias("l"), "canonical").where(F.length("l") >= 3).distinct()
-    within = said.select(key, "t", F.explode(runs(F.col("t"))).alias("l")).join(known, "l")
+    most = longest(known, "l")
+    within = said.select(key, "t", F.explode(runs(F.col("t"), most)).alias("l")).join(known, "l")
     forward = within.select(key, "concept_id", F.when(F.col("canonical") & (F.col("t") == F.col("l")), 3).when(F.col("canonical"), 2).otherwise(1).alias("how"))
-    pieces = known.where("canonical").select("concept_id", "l", F.explode(runs(F.col("l"))).alias("t")).where((F.length("t") >= 6) & (F.col("t") != F.col("l")))
+    pieces = known.where("canonical").select("concept_id", "l", F.explode(runs(F.col("l"), most)).alias("t")).where((F.length("t") >= 6) & (F.col("t") != F.col("l")))
     backward = said.join(pieces, "t").select(key, "concept_id", F.lit(0).alias("how"))
     return forward.unionByName(backward).groupBy(key, "concept_id").agg(F.max("how").alias("how"))
 

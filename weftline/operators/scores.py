@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ngrams
-from .vocabulary import LONGEST, words
+from .vocabulary import words
 
 #: Words that let a relation be expected, and the relations with their confidence (fixed values).
 EXPECTED = (
@@ -18,9 +18,14 @@ EXPECTED = (
 BENCHMARK = 16
 
 
-def runs(c: Column) -> Column:
-    """The distinct runs of words of a text of words."""
-    return F.array_distinct(F.transform(ngrams(F.split(c, " "), LONGEST), lambda g: g["gram"]))
+def runs(c: Column, most: int) -> Column:
+    """The distinct runs of up to ``most`` words of a text of words."""
+    return F.array_distinct(F.transform(ngrams(F.split(c, " "), most), lambda g: g["gram"]))
+
+
+def longest(listed: DataFrame, c: str) -> int:
+    """How many words the longest text of a list has."""
+    return listed.agg(F.coalesce(F.max(F.size(F.split(c, " "))), F.lit(1))).first()[0]
 
 
 def expected_links(terms: DataFrame, existing: DataFrame, key: str) -> DataFrame:
@@ -56,9 +61,10 @@ def compliance(objects: DataFrame, key: str, steps: DataFrame) -> DataFrame:
     flat = lambda c: F.array_join(words(F.col(c)), " ")
     said = objects.select(key, flat("object").alias("o")).where(F.col("o") != "").distinct()
     asked = steps.select("standard", "step", flat("pattern").alias("pattern")).where(F.col("pattern") != "")
-    # containment either way as an equi-join on runs of words
-    within = said.select(key, F.explode(runs(F.col("o"))).alias("pattern")).join(asked, "pattern").select(key, "standard", "step")
-    around = said.join(asked.select("standard", "step", F.explode(runs(F.col("pattern"))).alias("o")), "o").select(key, "standard", "step")
+    # containment either way as an equi-join on runs of words, none longer than the longest phrase
+    most = longest(asked, "pattern")
+    within = said.select(key, F.explode(runs(F.col("o"), most)).alias("pattern")).join(asked, "pattern").select(key, "standard", "step")
+    around = said.join(asked.select("standard", "step", F.explode(runs(F.col("pattern"), most)).alias("o")), "o").select(key, "standard", "step")
     met = within.unionByName(around).groupBy(key, "standard").agg(F.count_distinct("step").alias("satisfied"))
     totals = steps.groupBy("standard").agg(F.count_distinct("step").alias("steps"), F.max("least").alias("least"))
     status = F.when(F.col("satisfied") == F.col("steps"), "compliant").when(F.col("satisfied") >= F.col("least"), "satisfied").otherwise("partial")

@@ -19,8 +19,8 @@ from ..functions import text as tx
 from ..functions import urls
 from ..plans.spread import spread
 
-#: Words a form has at most, and forms that are sent to the tasks at most.
-LONGEST, SENT = 6, 200_000
+#: Forms that are sent to the tasks at most.
+SENT = 200_000
 
 
 def words(c: Column) -> Column:
@@ -35,15 +35,16 @@ def vocabulary(concepts: DataFrame) -> DataFrame:
     return forms.where(F.coalesce("form", F.lit("")) != "").groupBy("vertical_id", "concept_id", "kind", "form").agg(F.bool_or("canonical").alias("canonical"))
 
 
-def occurrences(texts: DataFrame, keys: list[str], forms: DataFrame, text: str = "text", longest: int = LONGEST) -> DataFrame:
+def occurrences(texts: DataFrame, keys: list[str], forms: DataFrame, text: str = "text") -> DataFrame:
     """(keys..., pos, n, and the columns of ``forms``) of every place where a form stands in a text. Null texts hold none.
 
     A list of at most SENT forms is sent to the tasks, which walk each text
-    once; a longer one is joined with all runs of up to ``longest`` words.
+    once; a longer one is joined with all runs of as many words as its longest form has.
     """
     spark = texts.sparkSession
     listed = [r[0] for r in forms.select("form").distinct().limit(SENT + 1).collect()]
     if len(listed) > SENT:
+        longest = forms.agg(F.max(F.size(F.split("form", " ")))).first()[0]
         # the words are a column of their own, as an expression within a lambda is computed for every element
         worded = texts.select(*keys, words(F.col(text)).alias("__words")).where(F.size("__words") > 0)
         runs = worded.select(*keys, F.explode(tx.ngrams(F.col("__words"), longest)).alias("g")).select(*keys, F.col("g.pos").alias("pos"), F.col("g.n").alias("n"), F.col("g.gram").alias("form"))
@@ -56,8 +57,7 @@ def occurrences(texts: DataFrame, keys: list[str], forms: DataFrame, text: str =
         begin: dict[str, set[int]] = {}
         for f in sent.value:
             w = f.split(" ")
-            if len(w) <= longest:
-                begin.setdefault(w[0], set()).add(len(w))
+            begin.setdefault(w[0], set()).add(len(w))
         starts, known = {w: sorted(ns) for w, ns in begin.items()}, set(sent.value)
         find = re.compile("[a-z0-9]+").findall
         for b in batches:

@@ -6,7 +6,7 @@ import importlib
 
 from .tables import Query
 
-_FAMILIES = ("trees", "store", "texts", "vocab", "registries", "ranks", "sparqls", "streams", "knowledge", "alignments", "relations")
+_FAMILIES = ("trees", "store", "texts", "vocab", "registries", "ranks", "sparqls", "streams", "knowledge", "alignments", "relations", "roundtrips")
 
 
 def _modules():

@@ -82,7 +82,10 @@ def q_compliance(spark: SparkSession, folder: str) -> DataFrame:
     """Standards by the concepts they govern: each governed concept is a step, named by a site's observed keys."""
     c = table(spark, folder, "concepts")
     labels = c.select(F.col("id").alias("step"), F.lower("preflabel").alias("pattern"))
-    steps = c.select(F.col("id").alias("standard"), F.explode("governs").alias("step")).join(labels, "step").select("standard", "step", "pattern", F.lit(1).alias("least"))
+    # half of the steps satisfy a standard
+    steps = c.select(F.col("id").alias("standard"), F.explode("governs").alias("step")).join(labels, "step").select("standard", "step", "pattern")
+    least = steps.groupBy("standard").agg(F.ceil(F.count_distinct("step") / 2).alias("least"))
+    steps = steps.join(least, "standard")
     o = table(spark, folder, "observations").select(F.lower(F.trim("domain")).alias("domain"), F.explode("forms").alias("f")).select("domain", F.col("f.key").alias("object")).where(F.col("domain") != "")
     return scores.compliance(o, "domain", steps)
 
@@ -152,7 +155,7 @@ def oracle_sql() -> dict[str, str]:
             said as (select distinct lower(trim(domain)) as domain, array_to_string(regexp_extract_all(lower(f.key), '[a-z0-9]+'), ' ') as o from (select domain, unnest(forms) as f from observations) where trim(domain) <> '' and trim(f.key) <> ''),
             met as (select s.domain, p.standard, count(distinct p.step) as satisfied from said s join steps p on contains(' ' || s.o || ' ', ' ' || p.pattern || ' ') or contains(' ' || p.pattern || ' ', ' ' || s.o || ' ') group by 1, 2),
             totals as (select standard, count(distinct step) as steps from steps group by 1)
-            select domain, standard, satisfied, steps, case when satisfied = steps then 'compliant' when satisfied >= 1 then 'satisfied' else 'partial' end as status from met join totals using (standard)""",
+            select domain, standard, satisfied, steps, case when satisfied = steps then 'compliant' when satisfied >= ceil(steps / 2) then 'satisfied' else 'partial' end as status from met join totals using (standard)""",
         "q_readiness": """
             with o as (select lower(trim(domain)) as domain, unnest(forms) as f from (select distinct on (observation_id) * from observations) where trim(domain) <> ''),
             c as (select domain, count(*) filter (f.method = 'acronym') as m, count(*) as n, count(*) filter (f.method = 'registry') as s, count(distinct f.target) as l, count(*) filter (f.method = 'observed') as e from o group by 1),

@@ -72,14 +72,8 @@ def q_term_stems(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "concepts").select("id", T.stems(F.lower("preflabel")).alias("stem"), T.initials(F.col("preflabel")).alias("initials"))
 
 
-def q_title_place(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether the title heads its text, the first heading being the first of the first five lines of 4 to 79 characters."""
-    head = F.get(F.filter(F.transform(F.slice(F.split("text", "\n"), 1, 5), lambda s: F.trim(s)), lambda s: F.length(s).between(4, 79) & ~s.startswith("{")), F.lit(0))
-    return _docs(spark, folder).where(F.col("text").isNotNull()).select("doc_id", head.alias("heading"))
-
-
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (q_page_key, q_registrable_domain, q_page_kind, q_candidates, q_block_keys, q_repeated_blocks, q_proof_units, q_chunks, q_glued_words, q_safe_cells, q_term_stems, q_title_place)}
+    return {f.__name__: f for f in (q_page_key, q_registrable_domain, q_page_kind, q_candidates, q_block_keys, q_repeated_blocks, q_proof_units, q_chunks, q_glued_words, q_safe_cells, q_term_stems)}
 
 
 _URL = """urls as (
@@ -141,9 +135,6 @@ def oracle_sql() -> dict[str, str]:
               case when len(regexp_extract_all(preflabel, '[A-Za-z0-9]+')) >= 2 and len(list_filter(regexp_extract_all(preflabel, '[A-Za-z0-9]+'), lambda w: not regexp_matches(w, '^[A-Za-z]') or regexp_full_match(w, '[A-Z0-9]{2,}s?'))) = 0
                 then upper(array_to_string(list_transform(regexp_extract_all(preflabel, '[A-Za-z0-9]+'), lambda w: w[1]), '')) end as initials
             from concepts""",
-        "q_title_place": """
-            select doc_id, list_filter(list_transform(string_split(text, chr(10))[1:5], lambda s: trim(s)), lambda s: length(s) between 4 and 79 and not starts_with(s, '{'))[1] as heading
-            from documents where text is not null""",
         "q_glued_words": """
             with cards as (select doc_id, 'By' || title || strftime(crawled_at, '%B %-d, %Y') || 'Blog' || title || 'CEO, ' || source as c from documents where title is not null and crawled_at is not null and source is not null),
             a as (select doc_id, regexp_replace(c, '([a-z])((?:January|February|March|April|May|June|July|August|September|October|November|December)[ \\t\\n\\x0B\\f\\r]+[0-9])', '\\1 \\2', 'g') as c from cards),

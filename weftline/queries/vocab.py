@@ -102,7 +102,7 @@ def _runs(rows: str, keys: str, text: str) -> str:
     """SQL for all word runs of a text joined with the forms."""
     return f"""worded as (select {keys}, regexp_extract_all(lower({text}), '[a-z0-9]+') as w from {rows} where {text} is not null),
 starts as (select {keys}, w, unnest(range(1, len(w) + 1)) as pos from worded),
-runs as (select {keys}, pos, n, array_to_string(w[pos:pos + n - 1], ' ') as form, len(w) as size from starts, (select unnest(range(1, 7)) as n) where pos + n - 1 <= len(w)),
+runs as (select {keys}, pos, n, array_to_string(w[pos:pos + n - 1], ' ') as form, len(w) as size from starts, (select unnest(range(1, 12)) as n) where pos + n - 1 <= len(w)),
 found as (select r.* exclude (size), f.vertical_id, f.concept_id, f.kind from runs r join forms f using (form))"""
 
 

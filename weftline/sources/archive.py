@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
+import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +14,9 @@ from pyspark.sql import functions as F
 from ..plans.storage import _file_system
 from . import rdf
 
+#: Seconds after which a lock is a crashed writer's.
+LOCK_STALE = 30
+
 
 def listed(spark: SparkSession, folder: str, prefix: str = "") -> DataFrame:
     """(path, name, size) of the archive's objects under a prefix; partial files and locks are hidden."""
@@ -19,9 +25,16 @@ def listed(spark: SparkSession, folder: str, prefix: str = "") -> DataFrame:
 
 
 def publish(quads: DataFrame, graphs: DataFrame, folder: str) -> None:
-    """Write graphs as N-Triples and their rows as JSON; a graph's folder appears whole or not at all, by the commit protocol of the writer."""
-    rdf.write_ntriples(quads, f"{folder}/graphs")
-    graphs.write.mode("append").json(f"{folder}/headers")
+    """Write graphs as N-Triples and then their rows as JSON, each graph in folders of its own.
+
+    Only the folders of the graphs given are replaced; those of other graphs
+    stay as they are. A graph without quads is published empty. The rows come
+    last, so a graph that is listed is there.
+    """
+    known = graphs.select("graph_id").distinct()
+    lines = rdf.ntriples(quads).unionByName(known.select("graph_id", F.lit("# graph").alias("value")))
+    rdf.write_lines(lines, f"{folder}/graphs")
+    graphs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("graph_id").json(f"{folder}/headers")
 
 
 def unknown(graphs: DataFrame, headers: DataFrame) -> DataFrame:
@@ -32,7 +45,7 @@ def unknown(graphs: DataFrame, headers: DataFrame) -> DataFrame:
 def sync(spark: SparkSession, graphs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     """(headers, quads) of the archive's graphs that the store does not know."""
     fresh = unknown(graphs, spark.read.schema(graphs.schema).json(f"{folder}/headers"))
-    lines = spark.read.text(f"{folder}/graphs").select("value", F.col("graph_id").cast("string").alias("graph_id"))
+    lines = spark.read.schema("value string, graph_id string").text(f"{folder}/graphs")
     quads = rdf.parse_ntriples(lines, "value", F.col("graph_id")).join(fresh.select("graph_id"), "graph_id", "left_semi")
     return fresh, quads
 
@@ -53,6 +66,60 @@ def put_if_absent(spark: SparkSession, path: str, payload: str) -> bool:
     return True
 
 
+def versioned(spark: SparkSession, path: str) -> tuple[str | None, str | None]:
+    """(payload, version) of one small object; the version is a digest of what it holds. (None, None) where there is none."""
+    fs, hadoop = _file_system(spark, path)
+    if not fs.exists(hadoop):
+        return None, None
+    stream = fs.open(hadoop)
+    try:
+        payload = bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+    return payload.decode(), hashlib.sha256(payload).hexdigest()
+
+
+def put_if(spark: SparkSession, path: str, payload: str, version: str | None, wait: float = 5.0) -> bool:
+    """Write one small object if it is still of a version (None: still absent); False where someone wrote in between.
+
+    A lock beside the object makes the check and the write one step. A lock
+    older than LOCK_STALE seconds is of a writer that crashed.
+    """
+    fs, lock = _file_system(spark, f"{path}.lock")
+    until = time.monotonic() + wait
+    while not put_if_absent(spark, f"{path}.lock", ""):
+        try:
+            age = time.time() - fs.getFileStatus(lock).getModificationTime() / 1000
+        except Exception:  # released just now
+            continue
+        if age > LOCK_STALE:
+            fs.delete(lock, False)
+        elif time.monotonic() > until:
+            raise TimeoutError(f"{path} is locked")
+        else:
+            time.sleep(0.01)
+    try:
+        if versioned(spark, path)[1] != version:
+            return False
+        _, target = _file_system(spark, path)
+        out = fs.create(target, True)
+        out.write(bytearray(payload.encode()))
+        out.close()
+        return True
+    finally:
+        fs.delete(lock, False)
+
+
+def update(spark: SparkSession, path: str, change: Callable[[str | None], str], tries: int = 10) -> str:
+    """Change one small object by a function of what it holds (None: nothing), again where another writer was faster."""
+    for _ in range(tries):
+        payload, version = versioned(spark, path)
+        changed = change(payload)
+        if put_if(spark, path, changed, version):
+            return changed
+    raise TimeoutError(f"{path} changed {tries} times meanwhile")
+
+
 def graph_page(title: str, nodes: list[tuple[str, str]], edges: list[tuple[str, str, str]]) -> str:
     """A page that draws a small graph: nodes (id, label), each id once, and edges (from, to, label)."""
     seen = dict(reversed([*nodes]))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import Scratch
+
 CONCEPT = "struct<id: string, prefLabel: string, kind: string, definition: string, altLabels: array<string>, broader: string, governs: array<string>>"
 PROFILE = f"vertical_id string, display_name string, core_seed_concepts array<string>, known_integrations array<string>, known_compliance array<string>, known_pricing array<string>, known_automation array<string>, concepts array<{CONCEPT}>"
 SEED = "id string, kind string, prefLabel string, definition string, status string, aliases array<string>, domains array<string>, external map<string, string>, part_of string, parent_org string, distinct_from array<string>"
@@ -32,14 +34,26 @@ def read_events(spark: SparkSession, path: str, schema: str, stream: bool = Fals
     return (spark.readStream if stream else spark.read).schema(schema).option("multiLine", True).json(path)
 
 
-def sitemap_urls(documents: DataFrame, text: str = "text", url: str = "url", depth: int = 2) -> DataFrame:
-    """(url, document): the pages that sitemap documents list, followed over indexes of sitemaps that are themselves in ``documents``, ``depth`` levels deep."""
-    locs = documents.select(F.col(url).alias("document"), F.explode(F.regexp_extract_all(F.col(text), F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), 1)).alias("url"))
-    found = locs
-    for _ in range(depth):
-        inner = found.join(locs.select(F.col("document").alias("url"), F.col("url").alias("next")), "url", "left")
-        found = inner.select("document", F.coalesce("next", "url").alias("url"))
-    return found.where(~F.col("url").rlike(r"\.(xml|gz)$")).distinct()
+def sitemap_urls(documents: DataFrame, text: str = "text", url: str = "url") -> DataFrame:
+    """(document, url): the pages that each sitemap document leads to, over any number of indexes of sitemaps that are themselves in ``documents``; an index that leads back to itself adds nothing."""
+    scratch = Scratch(documents.sparkSession, "sitemaps")
+    locs = documents.select(F.col(url).alias("document"), F.explode(F.regexp_extract_all(F.col(text), F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), 1)).alias("url")).distinct()
+    locs = scratch.keep(locs.withColumn("inner", F.col("url").rlike(r"\.(xml|gz)$")))
+    down = scratch.keep(locs.where("inner").select(F.col("document").alias("above"), F.col("url").alias("document")))
+    # pages are listed once; what grows by a level each round are the pairs of an index and a map below it
+    ways = [down]
+    frontier = down
+    while frontier.take(1):
+        longer = frontier.join(down.select(F.col("above").alias("document"), F.col("document").alias("next")), "document").select("above", F.col("next").alias("document")).distinct()
+        for known in ways:
+            longer = longer.join(known, ["above", "document"], "left_anti")
+        frontier = scratch.keep(longer)
+        ways.append(frontier)
+    every = locs.select("document", F.col("document").alias("map")).distinct()
+    for known in ways:
+        every = every.unionByName(known.select(F.col("above").alias("document"), F.col("document").alias("map")))
+    pages = locs.where(~F.col("inner")).select(F.col("document").alias("map"), "url")
+    return every.distinct().join(pages, "map").select("document", "url").distinct()
 
 
 def articles(feeds: DataFrame, body: str = "body") -> DataFrame:
@@ -91,4 +105,4 @@ def cache_key(key: Column) -> Column:
 def fresh(cache: DataFrame, now: Column, seconds: int) -> DataFrame:
     """The rows of a cache (key, content, stored_at) that are not older than ``seconds``, the latest of each key."""
     alive = cache.where(F.col("stored_at") > now - F.make_interval(secs=F.lit(seconds)))
-    return alive.groupBy("key").agg(F.max_by("content", "stored_at").alias("content"), F.max("stored_at").alias("stored_at"))
+    return alive.groupBy("key").agg(F.max(F.struct("stored_at", "content")).alias("m")).select("key", "m.content", "m.stored_at")

@@ -53,9 +53,14 @@ def term(value: Column, kind: Column, datatype: Column | None = None, lang: Colu
     return F.when(kind == "literal", F.concat(quoted, tail)).when(kind == "bnode", value).otherwise(F.concat(F.lit("<"), value, F.lit(">")))
 
 
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Write each graph's lines (graph_id, value) under a folder of its own; folders of other graphs stay."""
+    lines.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("graph_id").text(path)
+
+
 def write_ntriples(quads: DataFrame, path: str) -> None:
-    """Write a graph's lines under a folder of its own."""
-    ntriples(quads).write.mode("overwrite").partitionBy("graph_id").text(path)
+    """Write each graph's quads as N-Triples under a folder of its own; folders of other graphs stay."""
+    write_lines(ntriples(quads), path)
 
 
 def turtle(quads: DataFrame, prefixes: dict[str, str] | None = None) -> DataFrame:
