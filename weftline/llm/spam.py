@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.spread import spread
+from ..plans.storage import Scratch
 
 #: The most frequent function words of the languages (fixed values); text in kana has no words and is judged by its share of kana and kanji.
 FUNCTION_WORDS = {
@@ -49,6 +51,8 @@ PHRASES, FEW, PHRASES_TWICE, PHRASES_ANY = 0.3, 0.3, 0.36, 0.5
 #: A text repeats its parts where they leave less than this of what the usual text of its language says for the first time; a part fills a text from this share of the characters and so many times on.
 NEW_SHARE, FILLS, LEAST_SAID = 0.2, 0.5, 5
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+#: The same words of a text in plain lower case.
+_PLAIN_WORD = re.compile("[a-z]+(?:'[a-z]+)?")
 _LINK = re.compile(r"\[[^\]\n]{0,300}\]\([^)\s]{0,2000}\)|<a\b[^>]{0,2000}>[^<\n]{0,500}(?:</a>)?|(?:https?://|www\.)[^\s<>\"')\]]+", re.I)
 _TAG = re.compile(r"</?[a-z][^<>\n]{0,300}>|&(?:nbsp|amp|lt|gt|quot);", re.I)
 _CUT = re.compile(r"\n+|:\s|(?<=[.!?…])\s+|(?<=[。！？])|\s[|•·/*–—;-]\s|\s*[|•·]\s*|;\s")
@@ -59,6 +63,9 @@ _HASH = re.compile(r"#\w+")
 _PRODUCT = re.compile(r"\b[A-Z][A-Za-z]{0,4}\.?-\s?\d{2,}\b")
 _CELL = re.compile(r"\|\s*[€$£]?\d[\d.,]*\s*(?:[A-Z]{3}|[%€$£])?\s*\|")
 _CODE = re.compile(r"[{}\[\]\"=;\\$<>()_]")
+_DIGIT = re.compile("[0-9]")
+#: A part without any of these is no code; nothing else is looked at then.
+_SIGN = re.compile(r"[{}\[\]\"=;\\$<>()_0-9]")
 
 
 def language(words: list[str]) -> str:
@@ -105,7 +112,7 @@ def repeats(text: str) -> float:
 
 
 def _words(part: str) -> tuple[str, ...]:
-    return tuple(_WORD.findall(part.lower()) if part.isascii() else [w.lower() for w in _WORD.findall(part)])
+    return tuple(_PLAIN_WORD.findall(part.lower()) if part.isascii() else [w.lower() for w in _WORD.findall(part)])
 
 
 def _take_lines(text: str) -> tuple[int, int, list[str]]:
@@ -127,7 +134,7 @@ def _take_lines(text: str) -> tuple[int, int, list[str]]:
                 elif n:
                     rest.append(_LINK.sub(" ", part))
             continue
-        tags = _HASH.findall(line)
+        tags = _HASH.findall(line) if "#" in line else ()
         if len(tags) > 1 and sum(map(len, tags)) > 0.6 * size:
             total, found = total + size, found + size
         else:
@@ -137,7 +144,7 @@ def _take_lines(text: str) -> tuple[int, int, list[str]]:
 
 def _is_path(line: str, known: frozenset[str]) -> bool:
     """A menu path: steps of a few words each, and no sentence around them."""
-    if not any(s in line for s in (" > ", " » ", " › ")):
+    if " > " not in line and " » " not in line and " › " not in line:
         return False
     words = _WORD.findall(line)
     return sum(w.lower() in known for w in words) <= 0.1 * len(words)
@@ -158,27 +165,27 @@ def keyword_share(text: str, lang: str = "en", limit: float = DEFAULT_LIMIT, mos
             total += size
         else:
             held += [(len(part.strip()), _words(part)) for part in _parts(line)]
-    # keyword phrases: neighbours that are no function words, said in several different parts or again within one
     said: dict[tuple[str, ...], list[int]] = {}
-    pairs: Counter = Counter()
-    again: set[tuple[str, str]] = set()
-    first = distinct = 0
+    first = 0
     for size, words in held:
         total += size
-        if words in said:
-            said[words][0] += 1
-            said[words][1] += size
-            continue
-        said[words] = [1, size]
-        first += size
-        if len(words) > 1:
-            distinct += 1
-            own = [p for p in zip(words, words[1:]) if p[0] not in known and p[1] not in known]
-            once = set(own)
-            pairs.update(once)
-            if len(once) < len(own):
-                again.update(p for p, n in Counter(own).items() if n > 1)
-    often = again.union(p for p, n in pairs.items() if n >= max(2 if distinct < 4 else 3, 0.15 * distinct))
+        once = said.get(words)
+        if once:
+            once[0] += 1
+            once[1] += size
+        else:
+            said[words] = [1, size]
+            first += size
+    # keyword phrases: neighbours that are no function words, said in several different parts or again within one
+    several = [w for w in said if len(w) > 1]
+    pairs = Counter(chain.from_iterable(map(zip, several, [w[1:] for w in several])))
+    own = {p for p, n in pairs.items() if n > 1 and p[0] not in known and p[1] not in known}
+    parts: Counter = Counter()
+    if own:
+        for w in several:
+            parts.update(own.intersection(zip(w, w[1:])))
+    least = max(2 if len(several) < 4 else 3, 0.15 * len(several))
+    often = {p for p in own if parts[p] >= least or pairs[p] > parts[p]}
     repeated = sum(size for _, size in said.values()) - first >= most_said * total
     for words, (n, size) in said.items():
         if not words:
@@ -209,10 +216,15 @@ def _is_keywords(words: tuple[str, ...], known: frozenset[str], often: set[tuple
 
 def _is_code(part: str) -> bool:
     """Code, records and numbers: signs and digits are dense, and it is no product tag."""
+    ascii_ = part.isascii()
+    if ascii_ and not _SIGN.search(part):
+        return False
     n = len(part.strip())
     signs = len(_CODE.findall(part))
-    digits = sum(map(part.count, "0123456789")) if part.isascii() else sum(map(str.isdigit, part))
-    return (signs >= 3 and signs >= 0.08 * n) or (digits >= 0.3 * n and not _PRODUCT.search(part))
+    if signs >= 3 and signs >= 0.08 * n:
+        return True
+    digits = len(_DIGIT.findall(part)) if ascii_ else sum(map(str.isdigit, part))
+    return digits >= 0.3 * n and not _PRODUCT.search(part)
 
 
 def kana_share(text: str, lang: str = "kana", limit: float = DEFAULT_LIMIT) -> float:
@@ -234,13 +246,26 @@ def kana_share(text: str, lang: str = "kana", limit: float = DEFAULT_LIMIT) -> f
     return found / total if total else 0.0
 
 
-_MEASURED = T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType()), T.StructField("words", T.LongType()), T.StructField("again", T.DoubleType())])
+#: No language's limit is above this (its usual share of function words being at most 1), nor its limit of repeated parts below this: what is not found under both is never found.
+MOST_LIMIT, LEAST_REPEATED = LIMIT_SHARE, 1 - NEW_SHARE
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each text adds to the limits, and, of texts that may be found under some limits, the text itself."""
     for b in batches:
-        out = [(*measure(text), repeats(text)) for text in b.column(0).to_pylist() if text and not text.isspace()]
-        yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in out], pa.string()), pa.array([m[1] for m in out], pa.float64()), pa.array([m[3] for m in out], pa.int64()), pa.array([m[4] for m in out], pa.float64())], ["lang", "share", "words", "again"])
+        keep, langs, shares, sizes, again, texts = [], [], [], [], [], []
+        for i, t in enumerate(b.column(1).to_pylist()):
+            if not t or t.isspace():
+                continue
+            lang, share, _, words = measure(t)
+            most = kana_share(t) if lang == "kana" else keyword_share(t, lang, MOST_LIMIT, LEAST_REPEATED)
+            keep.append(i)
+            langs.append(lang)
+            shares.append(share)
+            sizes.append(words)
+            again.append(repeats(t))
+            texts.append(t if most > 0.5 else None)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(langs, pa.string()), pa.array(shares, pa.float64()), pa.array(sizes, pa.int64()), pa.array(again, pa.float64()), pa.array(texts, pa.string())], ["key", "lang", "share", "words", "again", "text"])
 
 
 def keyword_pages(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -251,26 +276,27 @@ def keyword_pages(documents: DataFrame, key: str = "doc_id", text: str = "text")
     rows. Each language's limit is LIMIT_SHARE times the median share of
     function words of its texts of 20 words and more, over all documents, and so is the
     limit of repeated parts from their median share; at most two numbers per
-    language of FUNCTION_WORDS is brought to the driver.
+    language of FUNCTION_WORDS is brought to the driver. Every text is judged
+    under the widest limits there can be; the ones found then, which are
+    written down, are judged again under their language's.
     """
     one = spread(documents.select(F.col(key).alias("key"), F.col(text).alias("text")), documents)
-    measured = one.select("text").mapInArrow(_measure, _MEASURED)
+    numbers = [T.StructField(c, T.DoubleType() if c in ("share", "again") else T.LongType() if c == "words" else T.StringType()) for c in ("lang", "share", "words", "again", "text")]
+    measured = Scratch(documents.sparkSession, "spam").keep(one.mapInArrow(_measure, T.StructType([one.schema["key"], *numbers])))
     usual = measured.where(F.col("words") >= 20).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("share", 0.5, 1000).alias("m"), F.percentile_approx("again", 0.5, 1000).alias("again")).collect()
     limits = {r["lang"]: (max(0.08, LIMIT_SHARE * r["m"]), 1 - NEW_SHARE * (1 - r["again"])) for r in usual if r["n"] >= LEAST_TEXTS and r["lang"] != "kana"}
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep, langs, shares = [], [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                if not t or t.isspace():
-                    continue
-                lang = measure(t)[0]
+            keep, shares = [], []
+            for i, (lang, t) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
                 share = kana_share(t) if lang == "kana" else keyword_share(t, lang, *limits.get(lang, (DEFAULT_LIMIT,)))
                 if share > 0.5:
                     keep.append(i)
-                    langs.append(lang)
                     shares.append(share)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(langs, pa.string()), pa.array(shares, pa.float64())], ["key", "lang", "share"])
+            rows = b.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(shares, pa.float64())], ["key", "lang", "share"])
 
-    schema = T.StructType([one.schema["key"], *_MEASURED.fields[:2]])
-    return one.mapInArrow(judge, schema).withColumnRenamed("key", key)
+    schema = T.StructType([one.schema["key"], T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())])
+    may = measured.where(F.col("text").isNotNull()).select("key", "lang", "text")
+    return may.mapInArrow(judge, schema).withColumnRenamed("key", key)
