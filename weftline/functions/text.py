@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ CHROME = (
 HEADING, UNIT = 60, 15
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f reads it: else every mention repeats the whole expression in the generated code."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def collapse(c: Column) -> Column:
     """White space runs as one space, none at the ends."""
     return F.trim(F.regexp_replace(c, r"\s+", " "))

@@ -45,17 +45,22 @@ def key(form: Column) -> Column:
     s = F.trim(F.regexp_replace(s, "[^A-Za-z0-9]+", " "))
     s = F.regexp_replace(s, r"(?i)^(the|a|an) (?=.)", "")
     s = F.regexp_replace(s, rf"(?i)(?<=.)( ({LEGAL}))+$", "")
-    last = F.regexp_extract(s, "([A-Za-z0-9]+)$", 1)
-    low = F.lower(last)
-    folded = singular(low).isin(*GENERIC) | low.isin(*GENERIC)
-    end = F.when(last.rlike("^[A-Z]{2,}s$"), F.regexp_replace(low, "s$", "")).when((last == low) | folded, singular(low)).otherwise(low)
-    return F.concat(F.regexp_replace(F.lower(s), "[a-z0-9]+$", ""), end)
+
+    def ended(last: Column, low: Column, one: Column) -> Column:
+        plural = F.when(last.rlike("^[A-Z]{2,}s$"), F.regexp_replace(low, "s$", ""))
+        return plural.when((last == low) | one.isin(*GENERIC) | low.isin(*GENERIC), one).otherwise(low)
+
+    def whole(s: Column) -> Column:
+        end = tx.bound(F.regexp_extract(s, "([A-Za-z0-9]+)$", 1), lambda last: tx.bound(F.lower(last), lambda low: tx.bound(singular(low), lambda one: ended(last, low, one))))
+        return F.concat(F.regexp_replace(F.lower(s), "[a-z0-9]+$", ""), end)
+
+    return tx.bound(s, whole)
 
 
 def fold_key(k: Column) -> Column:
     """A key without spaces and its last word's plural, under which 'card connect' and 'cardconnect' meet."""
-    last = F.regexp_extract(k, "([a-z0-9]+)$", 1)
-    return F.regexp_replace(F.concat(F.regexp_replace(k, "[a-z0-9]+$", ""), singular(last)), " ", "")
+    last = tx.bound(F.regexp_extract(k, "([a-z0-9]+)$", 1), singular)
+    return F.regexp_replace(F.concat(F.regexp_replace(k, "[a-z0-9]+$", ""), last), " ", "")
 
 
 def is_generic(k: Column) -> Column:
@@ -65,9 +70,9 @@ def is_generic(k: Column) -> Column:
 
 def names_brand(k: Column, host: Column) -> Column:
     """Whether a key is the label of a host, or the label with one affix."""
-    joined, label = F.regexp_replace(k, " ", ""), urls.label(host)
-    forms = F.array(joined, *[F.concat(joined, F.lit(a)) for a in AFFIXES], *[F.concat(F.lit(a), joined) for a in AFFIXES])
-    return (F.length(joined) >= 4) & F.array_contains(forms, label)
+    affixes = F.array(F.lit(""), *[F.lit(a) for a in AFFIXES])
+    named = lambda x: (F.length(x["k"]) >= 4) & F.exists(affixes, lambda a: (F.concat(x["k"], a) == x["label"]) | (F.concat(a, x["k"]) == x["label"]))
+    return tx.bound(F.struct(F.regexp_replace(k, " ", "").alias("k"), urls.label(host).alias("label")), named)
 
 
 def decisions(events: DataFrame) -> DataFrame:
@@ -195,9 +200,10 @@ def proposals(observations: DataFrame, standing: DataFrame, least_sites: int = 2
     """(vertical_id, key, sites, pages, label, share_here, share_there) of terms a vertical's crawls suggest it is missing.
 
     A host's latest observation stands for it, the hosts of one registrable
-domain for one site. Unresolved keys are grouped by their words' first letters, and an acronym of three
-    letters or more joins the term with those initials that most sites have; a group stands if keys are grouped by their words' first letters; a group stands if
-    ``least_sites`` sites have it, no decision or generic mark settles it, it holds no brand of the vertical, and
+    domain for one site. Unresolved keys are grouped by their words' first
+    letters, and an acronym of three letters or more joins the term with those
+    initials that most sites have; a group stands if ``least_sites`` sites have
+    it, no decision or generic mark settles it, it holds no brand of the vertical, and
     its share of the pages read elsewhere is under ``ratio`` times that here.
     """
     domain = F.lower(F.trim("domain"))
