@@ -90,7 +90,11 @@ def frontier(candidates: DataFrame, site: str, budget: int, size: int) -> DataFr
     rows = candidates.select(F.col(site).alias("site"), "url", "kind", "section", rank.alias("rank"), merit.alias("merit"), "ord")
     # within one section and kind the order never changes, so no more than ``size`` of each can be picked
     local = Window.partitionBy("site", "kind", "section").orderBy(F.desc("merit"), "ord", "url")
-    rows = rows.withColumn("__n", F.row_number().over(local)).where(F.col("__n") <= size).drop("__n")
+    rows = rows.withColumn("__n", F.row_number().over(local)).where(F.col("__n") <= size)
+    # while fewer than ``size`` pages are picked, one of a kind's ``size`` best sections has none picked and goes before all
+    # sections beyond them; so a site is left with at most kinds * size * size rows
+    heads = rows.where(F.col("__n") == 1).withColumn("__h", F.row_number().over(Window.partitionBy("site", "kind").orderBy(F.desc("merit"), "ord", "url"))).where(F.col("__h") <= size)
+    rows = rows.join(heads.select("site", "kind", "section"), ["site", "kind", "section"]).drop("__n")
 
     def choose(part: pd.DataFrame) -> pd.DataFrame:
         left = part.to_dict("records")

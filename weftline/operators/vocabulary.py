@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..functions import text as tx
 from ..functions import urls
 from ..plans.spread import spread
+from ..plans.storage import Scratch
 
 #: Forms that are sent to the tasks at most.
 SENT = 200_000
@@ -148,21 +149,31 @@ def contrast(rows: DataFrame, key: str, group: str, value: str) -> DataFrame:
     return own.join(total, key).select(group, key, "here", (F.col("all") - F.col("here")).alias("elsewhere"))
 
 
-def top_two(vectors: DataFrame, references: DataFrame, least: float = 0.6, margin: float = 0.05) -> DataFrame:
+def top_two(vectors: DataFrame, references: DataFrame, least: float = 0.6, margin: float = 0.05, block: int = 2_000) -> DataFrame:
     """(vec_id, best, score, runner_up, margin, kept) of each vector against the list of references (ref, vector).
 
-    Cosine similarity by dot product of unit vectors. The references are a fixed
-    short list: they are collected into one array column, so every vector is scored where it lies and the ranking needs no shuffle.
+    Cosine similarity by dot product of unit vectors. The references go to the
+    vectors as arrays of at most about ``block`` of them, so every vector is scored where it lies; one
+    block needs no shuffle, more are merged by vec_id, which must be unique then.
     """
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
     doubles = lambda c: F.transform(c, lambda x: x.cast("double"))
     listed = references.select("ref", doubles(F.col("vector")).alias("v")).select("ref", "v", norm(F.col("v")).alias("len")).where(F.col("len") > 0)
-    every = listed.agg(F.sort_array(F.collect_list(F.struct("ref", "v", "len"))).alias("refs"))
-    scored = vectors.select("vec_id", doubles(F.col("embedding")).alias("e")).withColumn("refs", every.scalar())
+    listed = Scratch(references.sparkSession, "references").keep(listed)
+    blocks = max(1, -(-listed.count() // block))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    ahead = lambda a, b: F.when(a["score"] != b["score"], F.when(a["score"] > b["score"], -1).otherwise(1)).otherwise(F.when(a["ref"] < b["ref"], -1).when(a["ref"] > b["ref"], 1).otherwise(0))
     scores = F.transform("refs", lambda r: F.struct(F.round(dot(F.col("e"), r["v"]) / (F.col("l") * r["len"]), 6).alias("score"), r["ref"].alias("ref")))
-    ranked = F.array_sort(scores, lambda a, b: F.when(a["score"] != b["score"], F.when(a["score"] > b["score"], -1).otherwise(1)).otherwise(F.when(a["ref"] < b["ref"], -1).when(a["ref"] > b["ref"], 1).otherwise(0)))
-    two = scored.withColumn("l", norm(F.col("e"))).where(F.col("l") > 0).select("vec_id", F.slice(ranked, 1, 2).alias("t"))
+    asked = vectors.select("vec_id", doubles(F.col("embedding")).alias("e")).withColumn("l", norm(F.col("e"))).where(F.col("l") > 0)
+    two: DataFrame | None = None
+    for i in range(blocks):
+        part = listed.where(F.pmod(F.xxhash64("ref"), F.lit(blocks)) == i).agg(F.sort_array(F.collect_list(F.struct("ref", "v", "len"))).alias("refs"))
+        one = asked.withColumn("refs", part.scalar()).select("vec_id", F.slice(F.array_sort(scores, ahead), 1, 2).alias("t"))
+        two = one if two is None else two.unionByName(one)
+    if blocks > 1:
+        # a vector_id that stands twice has been answered twice already
+        best = two.groupBy("vec_id").agg(F.flatten(F.collect_list("t")).alias("t"))
+        two = best.select("vec_id", F.slice(F.array_sort(F.col("t"), ahead), 1, 2).alias("t"))
     first, second = F.get("t", F.lit(0)), F.get("t", F.lit(1))
     gap = F.round(first["score"] - F.coalesce(second["score"], F.lit(0.0)), 6)
     return two.select("vec_id", first["ref"].alias("best"), first["score"].alias("score"), second["ref"].alias("runner_up"), gap.alias("margin"), ((first["score"] >= least) & (gap >= margin)).alias("kept"))

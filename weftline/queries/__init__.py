@@ -18,4 +18,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for module in _modules() for name, sql in module.oracle_sql().items()}
+    return {name: sql for module in _modules() for give in (module.oracle_sql, getattr(module, "more_sql", dict)) for name, sql in give().items()}

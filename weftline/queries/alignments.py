@@ -67,12 +67,31 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
+    from .registries import oracle_sql as registry_sql
     from .streams import TEMPLATES
 
+    approved = registry_sql()["q_approved_concepts"]
+
     plain = "trim(regexp_replace(regexp_replace(lower({0}), '[-–]', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
     groups = " ".join(f"when list_has_any(parts, [{', '.join(repr(h) for h in hints)}]) then '{g}'" for g, hints in A.EVIDENCE_GROUPS.items())
     prompts = " union all ".join(f"select '{r}' as role, {s} as stage, '{t}' as template" for r, s, t, _ in TEMPLATES)
+    asked = " union all ".join(f"select '{r}' as role, {s} as stage, {o} as ord, '{t}' as template" for r, s, t, o in TEMPLATES)
+    slug = "coalesce(nullif(substr(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80), ''), 'x')"
+    words = "regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+')"
+    pad = lambda c: f"' ' || array_to_string({words.format(c)}, ' ') || ' '"
     return {
+        "q_prompt_checks": f"""with t as ({asked}), m as (select c.vertical_id as g, t.stage, t.ord, c.preflabel as support, replace(t.template, '{{subject}}', lower(c.preflabel)) as text from concepts c join t on t.role = c.kind),
+            r as (select *, row_number() over (partition by g, lower(text) order by stage, ord, support, text) as rn from m), v as (select vertical_id as g, min(preflabel) as vendor from concepts group by 1),
+            x as (select r.g as subject, case when len({words.format('text')}) < 6 then 'too_short' when coalesce(trim(vendor, ' ') <> '' and contains({pad('text')}, {pad('vendor')}), false) then 'names_vendor'
+              when len(list_filter({words.format('text')}, lambda w: regexp_matches(w, '[0-9]') and not list_contains({words.format('support')}, w))) > 0 then 'unsupported' else 'kept' end as verdict from r left join v on v.g = r.g where rn = 1)
+            select subject, verdict, count(*) as n from x group by 1, 2""",
+        "q_added_concepts": f"""with approved as ({approved}),
+            existing as (select vertical_id, id as concept_id, array_to_string(regexp_extract_all(lower(l), '[a-z0-9]+'), ' ') as k from (select vertical_id, id, preflabel as l from concepts union all select vertical_id, id, unnest(altlabels) from concepts)),
+            owner as (select vertical_id, k, min(concept_id) as form_owner from existing where k <> '' group by 1, 2),
+            p as (select a.vertical_id, a.label, {plain.format('a.label')} as k, {slug.format('a.label')} as base from approved a),
+            o as (select p.*, owner.form_owner from p left join owner on owner.vertical_id = p.vertical_id and owner.k = p.k),
+            n as (select o.*, row_number() over (partition by o.vertical_id, base order by label) + (case when exists (select 1 from concepts c where c.vertical_id = o.vertical_id and c.id = o.base) then 1 else 0 end) as i from o where form_owner is null)
+            select vertical_id, label, case when i = 1 then base else base || '-' || i end as id, form_owner from n union all select vertical_id, label, null, form_owner from o where form_owner is not null""",
         "q_label_match": f"""with labels as (select id as concept_id, preflabel as label, true as canonical from concepts union all select id, unnest(altlabels), false from concepts),
             known as (select distinct concept_id, {plain.format('label')} as l, canonical from labels where length({plain.format('label')}) >= 3),
             said as (select distinct lower(trim(domain)) as domain, {plain.format('f.key')} as t from (select domain, unnest(forms) as f from observations) where trim(domain) <> '' and {plain.format('f.key')} <> ''),

@@ -111,14 +111,22 @@ def q_export_order(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_role_evidence(spark: SparkSession, folder: str) -> DataFrame:
-    """What the pages of a site say about the product they are titled after."""
-    d = table(spark, folder, "documents").where(F.col("title").isNotNull() & F.col("text").isNotNull())
-    return d.select("doc_id", K.role_of(F.col("title"), F.col("text")).alias("role")).where(F.col("role").isNotNull())
+    """What statements about the registry's entries make them: every name in a sentence that its number of letters picks."""
+    e = table(spark, folder, "entities").where(F.col("id").isNotNull() & (F.trim("preflabel") != "")).select("id", "preflabel").distinct()
+    said = F.element_at(F.array(*[F.lit(x) for x in ROLE_SENTENCES]), F.pmod(F.length("preflabel"), F.lit(len(ROLE_SENTENCES))) + 1)
+    text = F.replace(said, F.lit("%s"), F.col("preflabel"))
+    return e.select("id", "preflabel", K.role_of(F.col("preflabel"), text).alias("role")).where(F.col("role").isNotNull())
+
+
+#: %s being the name; the last two say nothing of a role.
+ROLE_SENTENCES = ("Teams switched from %s last year.", "See the %s alternatives page.", "%s reduced its backlog by half.", "A case: %s case study.", "They are migrating away from the %s now.", "%s is mentioned here.", "Written at %s, in spring.")
 
 
 def q_subject(spark: SparkSession, folder: str) -> DataFrame:
+    """Whom pages speak for: one in three names its site, one in three an organisation, and what is left is told by title and host."""
     d = table(spark, folder, "documents").where(F.col("url").isNotNull())
-    return d.select("doc_id", K.subject(F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("title"), U.host(F.col("url"))).alias("subject"))
+    given = lambda n: F.when(F.col("doc_id") % 3 == n, F.concat(F.lit(" "), F.coalesce("source", F.lit("")), F.lit(" ")))
+    return d.select("doc_id", K.subject(given(0), given(1), F.col("title"), U.host(F.col("url"))).alias("subject"))
 
 
 def q_quote_support(spark: SparkSession, folder: str) -> DataFrame:
@@ -164,8 +172,11 @@ _SLUG = "coalesce(nullif(substr(regexp_replace(regexp_replace(lower({0}), '[^a-z
 
 
 def oracle_sql() -> dict[str, str]:
+    from .registries import keyed_sql
     from .vocab import _DOCS, facts_sql
 
+    slug = "coalesce(nullif(substr(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80), ''), 'x')"
+
     stems = "list_distinct(list_transform(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: length(w) > 3 and w not in (" + ", ".join(f"'{w}'" for w in buyers.FILLER) + ")), lambda w: substr(w, 1, 5)))"
 
     cls = "case {0} " + " ".join(f"when '{k}' then '{K.CLASS_NAMES.get(k.capitalize(), k.capitalize())}'" for k in ("process", "feature", "standard", "pricing", "domain")) + " end"
@@ -176,6 +187,42 @@ def oracle_sql() -> dict[str, str]:
             select label, case when coalesce(n, '') = '' then 'Entity' when n in ('BillingFeature', 'ProductFeature') then 'Feature' when n in ('AccountingStandard', 'SecurityStandard', 'FinancialStandard', 'ComplianceStandard') then 'Standard'
               when n in ('BillingModel', 'PricingStructure') then 'PricingModel' when n = 'CustomerSegment' then 'Segment' when n = 'IndustryVertical' then 'Industry' when n = 'GeographicMarket' then 'Place' when n = 'SLACommitment' then 'SLA' when n = 'TrustCertification' then 'Certification' else n end as name from n""",
         "q_seed_strings": "select id, null as short, preflabel as long, len(altlabels) as examples from concepts",
+        "q_role_evidence": f"""
+            with e as (select distinct id, preflabel, lower(preflabel) as n from entities where id is not null and trim(preflabel, ' ') <> ''),
+            t as (select *, lower(replace([{", ".join("'" + x + "'" for x in ROLE_SENTENCES)}][length(preflabel) % {len(ROLE_SENTENCES)} + 1], '%s', preflabel)) as said, regexp_replace(n, '([\\.^$|?*+()\\[\\]{{}}])', '\\\\\\1', 'g') as q from e),
+            r as (select *, regexp_matches(said, '(?:alternatives?\\s+to|vs\\.?|versus|compar(?:e|es|ed|ing)\\s+(?:to|with|against)|switch(?:ed|ing)?\\s+from|migrat\\w*\\s+(?:away\\s+)?from|mov(?:e|ed|ing)\\s+(?:away\\s+)?from|replac\\w*|instead\\s+of|leaving)\\s+(?:the\\s+)?' || q || '\\b')
+                or regexp_matches(said, '\\b' || q || '\\s+(?:alternatives?|vs\\.?|versus|competitors?|comparison|migration)\\b') as competes, regexp_matches(said, '\\b' || q || '\\s+(?:automates|scales|uses|used|chose|selected|switched|saved|cut|reduced|grew|case\\s+study|customer\\s+story)\\b') as buys from t)
+            select id, preflabel, case when competes then 'Competitor' else 'Customer' end as role from r where competes or buys""",
+        "q_subject": """
+            with d as (select doc_id, title, trim(source, ' ') as s, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)), ':.*', '') as h from documents where url is not null),
+            l as (select *, string_split(h, '.') as ls from d),
+            b as (select *, case when len(ls) >= 3 and ls[-2] in ('co', 'com', 'org', 'net', 'ac') and length(ls[-1]) = 2 then ls[-3] else ls[-2] end as brand from l),
+            p as (select *, list_filter(list_transform(regexp_split_to_array(coalesce(title, ''), '[ \\t\\n\\x0B\\f\\r][-|–:·][ \\t\\n\\x0B\\f\\r]'), lambda x: trim(x, ' ')), lambda x: x <> '') as parts from b)
+            select doc_id, coalesce(case when doc_id % 3 in (0, 1) then nullif(s, '') end, list_filter(parts, lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g') = brand)[1], list_filter(parts, lambda x: len(regexp_split_to_array(x, '[ \\t\\n\\x0B\\f\\r]+')) <= 3)[1], nullif(upper(brand[1]) || brand[2:], ''), 'Platform') as subject from p""",
+        "q_phrase_forms": """
+            with c as (select distinct surface_form as term, regexp_replace(lower(surface_form), '\\(e\\.g\\.[^)]*\\)', '', 'g') as p from candidates where regexp_matches(surface_form, '[&(]')),
+            f as (select term, [regexp_replace(p, '\\([^)]*\\)', ' ', 'g'), regexp_extract(p, '\\(([^)]*)\\)', 1)] as fs from c),
+            t as (select term, list_filter(list_transform(fs, lambda x: trim(regexp_replace(replace(x, '&', ' and '), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ')), lambda x: length(x) >= 3) as fs from f)
+            select term, array_to_string(list_filter(fs, lambda x, i: list_position(fs, x) = i), '|') as forms from t""",
+        "q_competitor_merge": """
+            with e as (select lower(trim(preflabel, ' ')) as name, min(case status when 'rejected' then 'removed' when 'active' then 'confirmed' else 'proposed' end) as status, min(list_min(domains)) as domain from entities where lower(kind) = 'organization' and trim(preflabel, ' ') <> '' group by 1),
+            g as (select lower(trim(domain, ' ')) as k, min({'n': lower(domain), 's': 'proposed', 'd': domain}) as f from graphs where domain is not null group by 1)
+            select coalesce(e.name, g.f.n) as name, case when e.status in ('confirmed', 'removed') then e.status else coalesce(g.f.s, e.status) end as status, case when e.status in ('confirmed', 'removed') then e.domain else coalesce(g.f.d, e.domain) end as domain
+            from e full outer join g on g.k = e.name""",
+        "q_rdf_build": f"""with {facts_sql()},
+            t as (select coalesce(d.source, '') as g, f.predicate as p, f.object as o, f.evidence, d.url from facts f join documents d using (doc_id)),
+            one as (select g, g as subject, p, o, min({{'e': evidence, 'u': url}}) as e from t group by g, p, o),
+            sl as (select *, 'https://onto.example/' || {slug.format('subject')} as s, 'https://onto.example/' || {slug.format('o')} as oo, case when p = 'covers' then 'knowsAbout' else p end as prop from one),
+            c as (select *, 'https://onto.example/claim/' || substr(sha1(concat_ws('|', s, prop, oo, e.u)), 1, 20) as claim from sl),
+            q as (select g, s, 'https://onto.example/' || prop as p, oo as o from c union select g, s, 'rdfs:label', subject from c union select g, oo, 'rdfs:label', o from c union select g, claim, 'rdf:type', 'rdf:Statement' from c where e.e is not null
+              union select g, claim, 'rdf:object', oo from c where e.e is not null union select g, claim, 'prov:value', e.e from c where e.e is not null union select g, claim, 'prov:wasDerivedFrom', e.u from c where e.e is not null and e.u is not null)
+            select g as graph_id, p, count(*) as n from q group by 1, 2""",
+        "q_grounding": f"""
+            with o as (select distinct x as phrase from (select unnest(map_keys(f.forms)) as x from (select unnest(forms) as f from observations)) where trim(x, ' ') <> ''),
+            known as (select id, preflabel as form from entities union all select id, a.form from (select id, unnest(aliases) as a from entities)),
+            {keyed_sql('known', 'form', 'ek')}, {keyed_sql('o', 'phrase', 'ok')},
+            one as (select k, min(id) as id from ek where k <> '' group by k having count(distinct id) = 1)
+            select phrase, one.id as entry from ok left join one using (k)""",
         "q_company_names": """with n as (select distinct preflabel, trim(regexp_replace(translate(lower(preflabel), '‘’“”–—', chr(39) || chr(39) || '""--'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) as flat from entities where preflabel is not null),
             p as (select preflabel, list_transform(regexp_split_to_array(flat, ' *(?:[()/]|\\b(?:formerly|previously|aka)\\b) *'), lambda x: array_to_string(regexp_extract_all(x, '[a-z0-9&.+-]+'), ' ')) as parts from n)
             select preflabel, array_to_string(list_filter(parts, lambda x, i: x <> '' and list_position(parts, x) = i), '|') as names from p""",

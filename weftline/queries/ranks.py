@@ -56,11 +56,17 @@ def q_rate_limit(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_planner(spark: SparkSession, folder: str) -> DataFrame:
-    """The next twelve pages of each site: a selecting operator."""
+    """The next twelve pages of each site, by the terms that their addresses name, those the site lacks first, and by how often they are linked: a selecting operator."""
     d = table(spark, folder, "documents").where(F.col("url").isNotNull())
     url = F.col("url")
-    rows = d.select(U.host(url).alias("site"), url, U.page_kind(url, U.host(url)).alias("kind"), F.coalesce(F.element_at(U.segments(url), 1), F.lit("")).alias("section"), F.lit(0).alias("missing"), F.lit(0).alias("known"), F.lit(1).alias("inlinks"), F.col("doc_id").alias("ord")).where(F.col("kind").isNotNull())
-    return ranking.frontier(rows, "site", 100, 12)
+    forms = V.vocabulary(table(spark, folder, "concepts")).select("form", "concept_id").distinct()
+    rows = d.select(U.host(url).alias("site"), url, U.page_key(url).alias("page"), U.page_kind(url, U.host(url)).alias("kind"), F.coalesce(F.element_at(U.segments(url), 1), F.lit("")).alias("section"), F.col("doc_id").alias("ord")).where(F.col("kind").isNotNull())
+    named = V.occurrences(d.select(U.host(url).alias("site"), "url"), ["site", "url"], forms, "url").select("site", "url", "concept_id").distinct()
+    told = V.occurrences(d.select(U.host(url).alias("site"), "text"), ["site"], forms).select("site", "concept_id").distinct()
+    lacking = named.join(told.withColumn("told", F.lit(1)), ["site", "concept_id"], "left").groupBy("site", "url").agg(F.count_if(F.col("told").isNull()).alias("missing"), F.count_if(F.col("told").isNotNull()).alias("known"))
+    links = rows.groupBy("site", "page").agg(F.count(F.lit(1)).alias("inlinks"))
+    full = rows.join(links, ["site", "page"]).join(lacking, ["site", "url"], "left").na.fill(0, ["missing", "known"])
+    return ranking.frontier(full, "site", 100, 12)
 
 
 def _facts(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,10 +74,12 @@ def _facts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_links_predict(spark: SparkSession, folder: str) -> DataFrame:
+    """What sites' terms let expect, sites with an even number of letters stating some of it already."""
     o = table(spark, folder, "observations")
     terms = o.select(F.lower(F.trim("domain")).alias("domain"), F.explode("forms").alias("f")).select("domain", F.col("f.key").alias("term")).where(F.col("domain") != "")
-    none = terms.select("domain", F.lit("").alias("predicate"), F.lit("").alias("object")).limit(0)
-    return scores.expected_links(terms, none, "domain")
+    said = F.explode(F.array(F.struct(F.lit("CompliesWith").alias("predicate"), F.lit(" gdpr").alias("object")), F.struct(F.lit("integratesWith").alias("predicate"), F.lit("Stripe ").alias("object"))))
+    stated = terms.where(F.length("domain") % 2 == 0).select("domain").distinct().select("domain", said.alias("r")).select("domain", "r.*")
+    return scores.expected_links(terms, stated, "domain")
 
 
 def q_completeness(spark: SparkSession, folder: str) -> DataFrame:
@@ -149,7 +157,7 @@ def oracle_sql() -> dict[str, str]:
             w as (select *, row_number() over (partition by vertical_id, kind order by turn, subject, id) as within_ from t)
             select vertical_id, kind, id, subject, row_number() over (partition by vertical_id order by within_, kind) as place from w""",
         "q_rate_window": "select event_id, count(*) over (partition by user_id order by epoch_us(ts::timestamp) range between 3599999999 preceding and current row) as recent from events",
-        "q_links_predict": _expected_sql(),
+        "q_links_predict": f"select * from ({_expected_sql()}) e where not (length(domain) % 2 = 0 and (lower(predicate), lower(object)) in (('complieswith', 'gdpr'), ('integrateswith', 'stripe')))",
         "q_compliance": """
             with labels as (select id as step, array_to_string(regexp_extract_all(lower(preflabel), '[a-z0-9]+'), ' ') as pattern from concepts), steps as (select g.id as standard, g.step, l.pattern from (select id, unnest(governs) as step from concepts) g join labels l using (step)),
             said as (select distinct lower(trim(domain)) as domain, array_to_string(regexp_extract_all(lower(f.key), '[a-z0-9]+'), ' ') as o from (select domain, unnest(forms) as f from observations) where trim(domain) <> '' and trim(f.key) <> ''),

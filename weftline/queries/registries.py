@@ -76,6 +76,59 @@ _STANDS = "stands as (select * from (select *, row_number() over (partition by v
 _KEYED = "(case when coalesce(lower(trim(vertical_id, ' ')), '') <> '' then lower(trim(vertical_id, ' ')) || '|' else '' end)"
 
 
+_ENDED = "case when length({0}) <= 4 then {0} when {0} like '%ies' then regexp_replace({0}, 'ies$', 'y') when regexp_matches({0}, '(sses|shes|ches|xes)$') then regexp_replace({0}, 'es$', '') when {0} like '%s' and not regexp_matches({0}, '(ss|us|is)$') then regexp_replace({0}, 's$', '') else {0} end"
+
+
+def keyed_sql(rows: str, form: str, into: str) -> str:
+    """CTEs from ``rows`` to ``into``, the rows with k, the key of their form."""
+    generic = ", ".join(f"'{w}'" for w in R.GENERIC)
+    return f"""{into}_a as (select *, regexp_replace(replace(replace(trim({form}, ' '), '’', chr(39)), '&', ' and '), '([A-Za-z0-9])\\.(com|io|ai|co|net|org|app)\\b', '\\1', 'gi') as f from {rows}),
+            {into}_b as (select * replace (regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(f, chr(39) || 's\\b', '', 'g'), '[^A-Za-z0-9]+', ' ', 'g'), ' '), '^(the|a|an) (.)', '\\2', 'i'), '(.)(( (inc|incorporated|llc|ltd|limited|plc|corp|corporation|gmbh))+)$', '\\1', 'i') as f) from {into}_a),
+            {into}_c as (select *, regexp_extract(f, '([A-Za-z0-9]+)$', 1) as z from {into}_b),
+            {into}_d as (select *, lower(z) as l, {_ENDED.format('lower(z)')} as one from {into}_c),
+            {into} as (select * exclude (f, z, l, one), regexp_replace(lower(f), '[a-z0-9]+$', '') || case when regexp_full_match(z, '[A-Z]{{2,}}s') then regexp_replace(l, 's$', '') when z = l or one in ({generic}) or l in ({generic}) then one else l end as k from {into}_d)"""
+
+
+def resolved_sql() -> str:
+    """CTEs that end with resolved (domain, key, target_kind, target, method)."""
+    generic = ", ".join(f"'{w}'" for w in R.GENERIC)
+    affixes = ", ".join(f"'{w}'" for w in ("", *R.AFFIXES))
+    fold = lambda k: f"replace(regexp_replace({k}, '[a-z0-9]+$', '') || {_ENDED.format('regexp_extract(' + k + ', ' + chr(39) + '([a-z0-9]+)$' + chr(39) + ', 1)')}, ' ', '')"
+    label = "split_part(regexp_replace(domain, '^www\\.', ''), '.', 1)"
+    pick = lambda kind, target, method: f"{{'kind': '{kind}', 'target': {target}, 'method': '{method}'}}"
+    return f"""site_forms as ({oracle_sql()['q_site_forms']}),
+            named as (select id, preflabel as form from entities where coalesce(trim(merged_into, ' '), '') = '' union all select id, a.form from (select id, unnest(aliases) as a from entities where coalesce(trim(merged_into, ' '), '') = '')),
+            {keyed_sql('named', 'form', 'keyed')},
+            entry as (select k, count(distinct id) as n, min(id) as id from keyed where k <> '' group by k),
+            words as (select id as concept_id, array_to_string(regexp_extract_all(lower(l), '[a-z0-9]+'), ' ') as k from (select id, preflabel as l from concepts union all select id, unnest(altlabels) from concepts)),
+            concept as (select k, min(concept_id) as cid from words where k <> '' group by k having count(distinct concept_id) = 1),
+            rests as (select domain, key, display, regexp_replace(key, ' ({'|'.join(R.PRODUCT_WORDS)})$', '') as r from site_forms),
+            base as (select domain, key, display, case when r <> key and length(replace(r, ' ', '')) >= 3 then r end as rest from rests),
+            hit as (select b.*, e.n, e.id, c.cid, er.id as rid, cr.cid as rcid, replace(b.key, ' ', '') as joined, {label} as label from base b left join entry e on e.k = b.key left join concept c on c.k = b.key
+              left join entry er on er.k = b.rest and er.n = 1 left join concept cr on cr.k = b.rest),
+            chosen as (select domain, key, {fold('key')} as fold, case when n = 1 then {pick('entity', 'id', 'registry')} when n > 1 then {pick('observed', 'key', 'ambiguous')} when cid is not null then {pick('concept', 'cid', 'concept')}
+              when length(joined) >= 4 and len(list_filter([{affixes}], lambda a: joined || a = label or a || joined = label)) > 0 then {pick('brand', 'domain', 'brand')}
+              when rid is not null then {pick('entity', 'rid', 'suffix')} when rcid is not null then {pick('concept', 'rcid', 'suffix')}
+              when len(list_filter(string_split(key, ' '), lambda w: not (w in ({generic}) or {_ENDED.format('w')} in ({generic})))) = 0 or not regexp_matches(coalesce(display, key), '[A-Z]') then {pick('mention', 'key', 'mention')}
+              else {pick('observed', 'key', 'observed')} end as c from hit),
+            ranked as (select *, case when c.kind in ('entity', 'concept', 'brand') then 0 when c.kind = 'observed' then 1 else 2 end as o from chosen),
+            best as (select domain, fold, arg_min(key, (o, key)) as bkey, arg_min(c, (o, key)) as bc from ranked group by 1, 2),
+            moved as (select r.domain, r.key, r.c, b.bc, r.c.kind in ('observed', 'mention') and b.bkey <> r.key and r.c.method <> 'ambiguous' as moves from ranked r join best b using (domain, fold)),
+            resolved as (select domain, key, case when moves then bc.kind else c.kind end as target_kind, case when moves then bc.target else c.target end as target, case when moves then 'spelling' else c.method end as method from moved)"""
+
+
+def more_sql() -> dict[str, str]:
+    """SQL that is made of the SQL of other queries."""
+    generic = ", ".join(f"'{w}'" for w in R.GENERIC)
+    last = "regexp_extract(k, '([a-z0-9]+)$', 1)"
+    return {
+        "q_form_keys": f"""with n as (select distinct preflabel from entities where preflabel is not null), {keyed_sql('n', 'preflabel', 'keyed')}
+            select preflabel, k as key, replace(regexp_replace(k, '[a-z0-9]+$', '') || {_ENDED.format(last)}, ' ', '') as fold, len(list_filter(string_split(k, ' '), lambda w: not (w in ({generic}) or {_ENDED.format('w')} in ({generic})))) = 0 as generic from keyed""",
+        "q_resolution": f"with {resolved_sql()} select * from resolved",
+        "q_resolution_summary": f"with {resolved_sql()} select domain, method, count(*) as n from resolved group by 1, 2",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "q_vocab_decisions": f"with {_STANDS} select vertical_id, key, event_id, decision, label from stands",

@@ -86,13 +86,14 @@ def q_ntriples(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_turtle(spark: SparkSession, folder: str) -> DataFrame:
-    return rdf.turtle(table(spark, folder, "quads")).select("graph_id", "s", F.length("text").alias("length"))
+    """The Turtle of every subject, by its digest."""
+    return rdf.turtle(table(spark, folder, "quads")).select("graph_id", "s", "part", F.sha1("text").alias("text"))
 
 
 def q_jsonld(spark: SparkSession, folder: str) -> DataFrame:
     """JSON objects of the subjects, read back as JSON and counted by their keys."""
     j = rdf.jsonld(table(spark, folder, "quads"))
-    return j.select("graph_id", "s", (F.size(F.json_object_keys("text")) - 1).alias("predicates"))
+    return j.select("graph_id", "s", "part", (F.size(F.json_object_keys("text")) - 1).alias("predicates"))
 
 
 def q_claim_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -111,9 +112,16 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (q_stream_fold, q_stream_append, q_stream_blocks, q_stream_windows, q_stream_yield, q_situations, q_situation_report, q_situation_parts, q_claim_check, q_prompts, q_ntriples, q_turtle, q_jsonld, q_claim_ids, q_slugs)}
 
 
+def _term(value: str, kind: str) -> str:
+    """A term as SQL text."""
+    safe = f"replace(replace(replace(replace({value}, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r')"
+    return f"(case {kind} when 'literal' then chr(34) || {safe} || chr(34) when 'bnode' then {value} else '<' || {value} || '>' end)"
+
+
 def oracle_sql() -> dict[str, str]:
     lines = """rows_ as (select coalesce(source, '') as site, doc_id, unnest(string_split(regexp_replace(text, '\\r\\n|\\r', chr(10), 'g'), chr(10))) as line from documents where text is not null),
             blocks as (select site, doc_id, substr(sha1(lower(trim(regexp_replace(line, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')))), 1, 12) as key from rows_ where length(trim(regexp_replace(line, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) >= 8)"""
+    filler = ", ".join(f"'{w}'" for w in buyers.FILLER)
     prompts = " union all ".join(f"select '{r}' as role, {s} as stage, '{t}' as template, {o} as ord" for r, s, t, o in TEMPLATES)
     return {
         "q_stream_fold": "select vertical_id, key, event_id, decision, label from (select *, row_number() over (partition by vertical_id, key order by event_id desc nulls last) as rn from vocabulary_decisions) where rn = 1",
@@ -125,7 +133,19 @@ def oracle_sql() -> dict[str, str]:
         "q_prompts": f"""with t as ({prompts}), m as (select c.vertical_id, t.stage, t.ord, c.preflabel as subject, replace(t.template, '{{subject}}', lower(c.preflabel)) as prompt from concepts c join t on t.role = c.kind),
             r as (select *, row_number() over (partition by vertical_id, lower(prompt) order by stage, ord, subject, prompt) as rn from m) select vertical_id, stage, subject, prompt, ord from r where rn = 1""",
         "q_ntriples": "select graph_id, o_kind, o_datatype, case when o_datatype is null then o_lang end as o_lang, count(*) as n from (select distinct graph_id, s, s_kind, p, o, o_kind, o_datatype, case when o_datatype is null then o_lang end as o_lang from quads) group by 1, 2, 3, 4",
-        "q_jsonld": "select graph_id, s, count(distinct p) as predicates from quads group by 1, 2",
+        "q_jsonld": "select graph_id, s, 0 as part, count(distinct p) as predicates from quads group by 1, 2",
+        "q_turtle": f"""with t as (select distinct graph_id, s, s_kind, '<' || p || '> ' || ({_term('o', 'o_kind')} || case when o_kind = 'literal' then case when o_datatype is not null then '^^<' || o_datatype || '>' when o_lang is not null then '@' || o_lang else '' end else '' end) as po from quads)
+            select graph_id, s, 0 as part, sha1({_term('s', 's_kind')} || ' ' || string_agg(po, ' ;' || chr(10) || '    ' order by po) || ' .') as text from t group by graph_id, s, s_kind""",
+        "q_claim_check": f"""
+            with d as (select * from documents where url is not null and title is not null),
+            claims as (select distinct coalesce(source, '') as subject, title as value, case when doc_id % 5 = 0 then url || '-gone' else url end as url, substr(string_split(coalesce(text, ''), chr(10))[1], 1, 200) as quote from d),
+            read as (select url, arg_min(text, length(text)) as page from d group by url),
+            r as (select c.*, row_number() over (partition by subject, lower(value) order by c.url nulls first, quote nulls first) as rn, read.page, read.url is not null as has from claims c left join read on read.url = c.url),
+            t as (select *, substr(array_to_string(regexp_extract_all(lower(coalesce(quote, '')), '[a-z0-9]+'), ' '), 1, 60) as start, array_to_string(regexp_extract_all(lower(coalesce(page, '')), '[a-z0-9]+'), ' ') as said,
+              list_distinct(list_transform(list_filter(regexp_extract_all(lower(coalesce(value, '')), '[a-z0-9]+'), lambda w: length(w) > 3 and w not in ({filler})), lambda w: substr(w, 1, 5))) as mine,
+              list_distinct(list_transform(list_filter(regexp_extract_all(lower(coalesce(quote, '')), '[a-z0-9]+'), lambda w: length(w) > 3 and w not in ({filler})), lambda w: substr(w, 1, 5))) as theirs from r)
+            select subject, case when rn > 1 then 'repeated' when page is null then 'bad_url' when start = '' or not contains(said, start) then 'quote_not_found'
+              when coalesce(len(list_intersect(mine, theirs)) / nullif(len(mine), 0), 0) < 0.5 then 'unsupported' else 'kept' end as verdict, count(*) as n from t group by 1, 2""",
         "q_claim_ids": "select distinct graph_id, substr(sha1(concat_ws('|', s, p, o, graph_id)), 1, 20) as claim from quads where starts_with(p, 'https://onto.example/terms/') and o_kind = 'uri'",
         "q_slugs": """select coalesce(nullif(substr(regexp_replace(regexp_replace(lower(f.key), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80), ''), 'x') as slug, count(distinct f.key) as spellings
             from (select unnest(forms) as f from observations) where trim(f.key, ' ') <> '' group by 1""",

@@ -135,6 +135,14 @@ def oracle_sql() -> dict[str, str]:
               case when len(regexp_extract_all(preflabel, '[A-Za-z0-9]+')) >= 2 and len(list_filter(regexp_extract_all(preflabel, '[A-Za-z0-9]+'), lambda w: not regexp_matches(w, '^[A-Za-z]') or regexp_full_match(w, '[A-Z0-9]{2,}s?'))) = 0
                 then upper(array_to_string(list_transform(regexp_extract_all(preflabel, '[A-Za-z0-9]+'), lambda w: w[1]), '')) end as initials
             from concepts""",
+        "q_proof_units": """
+            with r as (select doc_id, generate_subscripts(ls, 1) - 1 as pos, unnest(ls) as raw from (select doc_id, regexp_split_to_array(text, '\\r\\n|\\r|\\n') as ls from documents where text is not null)),
+            t as (select doc_id, pos, trim(regexp_replace(trim(regexp_replace(raw, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g'), ' '), '^[-*• ]+', ''), ' ') as line from r),
+            k as (select *, length(line) <= 60 and not regexp_matches(line, '[.!?]$') as short from t where line <> '' and not regexp_matches(line, '(?i)^(hit enter to search|skip to (main )?content|search( for)?[:.]?$|close( menu)?$|menu$|(first|last) ?name\\**$|e-?mail\\**$|stage$|lead source$|last call to action( details)?$|article created .* ago$|number of comments: ?\\d+$|recent activity$|promoted articles$)')),
+            h as (select *, last_value(case when short then regexp_replace(line, ':+$', '') end ignore nulls) over (partition by doc_id order by pos rows between unbounded preceding and current row) as heading from k),
+            c as (select *, case when short then [line] else string_split(regexp_replace(line, '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1)) end as ss from h),
+            u as (select doc_id, pos, short, heading, generate_subscripts(ss, 1) - 1 as part, trim(unnest(ss), ' ') as s from c)
+            select doc_id, pos, part, case when short or heading is null or heading = '' then s else heading || ' — ' || s end as unit from u where length(s) > 15""",
         "q_glued_words": """
             with cards as (select doc_id, 'By' || title || strftime(crawled_at, '%B %-d, %Y') || 'Blog' || title || 'CEO, ' || source as c from documents where title is not null and crawled_at is not null and source is not null),
             a as (select doc_id, regexp_replace(c, '([a-z])((?:January|February|March|April|May|June|July|August|September|October|November|December)[ \\t\\n\\x0B\\f\\r]+[0-9])', '\\1 \\2', 'g') as c from cards),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from ..operators.quads import QUADS
+from ..plans.skew import lookup_join
 
 _TERM = r'(<[^>]*>|_:[^\s]+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z-]+|\^\^<[^>]*>)?)'
 _NT = rf"^\s*{_TERM}\s+(<[^>]*>)\s+{_TERM}\s*\.\s*$"
@@ -63,22 +64,34 @@ def write_ntriples(quads: DataFrame, path: str) -> None:
     write_lines(ntriples(quads), path)
 
 
-def turtle(quads: DataFrame, prefixes: dict[str, str] | None = None) -> DataFrame:
-    """(graph_id, s, text): a block of Turtle for each subject, its predicates and objects in order; prefixes go before the first block."""
+#: Statements of one subject that stand in one block of text; a subject with more has several, which mean the same together.
+BLOCK = 10_000
+
+
+def _in_blocks(quads: DataFrame, block: int) -> DataFrame:
+    """The quads with ``part``, the block of their subject that they stand in."""
+    sizes = quads.groupBy("graph_id", "s").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > block)
+    rows = lookup_join(quads, sizes, ["graph_id", "s"], "left")
+    n = F.ceil(F.coalesce("__n", F.lit(1)) / block)
+    return rows.withColumn("part", F.when(n > 1, F.pmod(F.xxhash64("p", "o", "o_kind"), n)).otherwise(F.lit(0)).cast("int")).drop("__n")
+
+
+def turtle(quads: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(graph_id, s, part, text): blocks of Turtle for each subject, predicates and objects in order, about ``block`` statements in one."""
     po = F.concat(F.lit("<"), F.col("p"), F.lit("> "), term(F.col("o"), F.col("o_kind"), F.col("o_datatype"), F.col("o_lang")))
-    blocks = quads.groupBy("graph_id", "s", "s_kind").agg(F.array_join(F.array_sort(F.collect_set(po)), " ;\n    ").alias("body"))
-    return blocks.select("graph_id", "s", F.concat(term(F.col("s"), F.col("s_kind")), F.lit(" "), F.col("body"), F.lit(" .")).alias("text"))
+    blocks = _in_blocks(quads, block).groupBy("graph_id", "s", "s_kind", "part").agg(F.array_join(F.array_sort(F.collect_set(po)), " ;\n    ").alias("body"))
+    return blocks.select("graph_id", "s", "part", F.concat(term(F.col("s"), F.col("s_kind")), F.lit(" "), F.col("body"), F.lit(" .")).alias("text"))
 
 
-def jsonld(quads: DataFrame) -> DataFrame:
-    """(graph_id, s, text): a JSON object for each subject with its objects by predicate."""
+def jsonld(quads: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(graph_id, s, part, text): JSON objects for each subject with its objects by predicate, about ``block`` statements in one; objects with one @id mean the same together."""
     o = F.when(F.col("o_kind") == "literal", F.to_json(F.struct(F.col("o").alias("@value"), F.col("o_datatype").alias("@type"), F.col("o_lang").alias("@language")))).otherwise(F.to_json(F.struct(F.col("o").alias("@id"))))
-    per = quads.groupBy("graph_id", "s", "p").agg(F.array_sort(F.collect_set(o)).alias("os"))
+    per = _in_blocks(quads, block).groupBy("graph_id", "s", "part", "p").agg(F.array_sort(F.collect_set(o)).alias("os"))
     quoted = lambda c: F.to_json(F.struct(c.alias("x")))
     name = F.regexp_extract(quoted(F.col("p")), r'^\{"x":(.*)\}$', 1)
-    body = per.groupBy("graph_id", "s").agg(F.array_join(F.array_sort(F.collect_list(F.concat(name, F.lit(":["), F.array_join("os", ","), F.lit("]")))), ",").alias("b"))
+    body = per.groupBy("graph_id", "s", "part").agg(F.array_join(F.array_sort(F.collect_list(F.concat(name, F.lit(":["), F.array_join("os", ","), F.lit("]")))), ",").alias("b"))
     ident = F.regexp_extract(quoted(F.col("s")), r'^\{"x":(.*)\}$', 1)
-    return body.select("graph_id", "s", F.concat(F.lit('{"@id":'), ident, F.lit(","), F.col("b"), F.lit("}")).alias("text"))
+    return body.select("graph_id", "s", "part", F.concat(F.lit('{"@id":'), ident, F.lit(","), F.col("b"), F.lit("}")).alias("text"))
 
 
 _TOKENS = re.compile(

@@ -102,7 +102,9 @@ class _Compiler:
         return done
 
     def triple(self, s: tuple, path, o: tuple, graph: str | None) -> _Part:
-        rows = self.path(path, graph)
+        # a repeated step is followed from the end that is given, and not from everywhere
+        start, end = (self.constant(t) if t[0] != "var" else None for t in (s, o))
+        rows = self.path(path, graph, start, end)
         for name, t in (("s", s), ("o", o)):
             if t[0] != "var":
                 rows = rows.where(F.col(name) == self.constant(t))
@@ -118,8 +120,8 @@ class _Compiler:
                     seen[t[1]] = column
         return _Part(rows.select(*[F.col(c).alias(v) for v, c in seen.items()]), list(seen))
 
-    def path(self, p, graph: str | None) -> DataFrame:
-        """Rows (s, o), with p for a plain predicate and g where the graph is asked for."""
+    def path(self, p, graph: str | None, start=None, end=None) -> DataFrame:
+        """Rows (s, o), with p for a plain predicate and g where the graph is asked for; start and end, where given, are the only s and o asked for, and others may be left out."""
         keep = ["g"] if graph else []
         kind = p[0]
         if kind in ("iri", "var"):
@@ -127,12 +129,12 @@ class _Compiler:
             rows = rows.select("s", "o", *(["p"] if kind == "var" else []), *keep)
             return rows if graph else rows.distinct()
         if kind == "inv":
-            return self.path(p[1], graph).select(F.col("o").alias("s"), F.col("s").alias("o"), *keep)
+            return self.path(p[1], graph, end, start).select(F.col("o").alias("s"), F.col("s").alias("o"), *keep)
         if kind == "alt":
-            return self.path(p[1], graph).select("s", "o", *keep).unionByName(self.path(p[2], graph).select("s", "o", *keep))
+            return self.path(p[1], graph, start, end).select("s", "o", *keep).unionByName(self.path(p[2], graph, start, end).select("s", "o", *keep))
         if kind == "seq":
-            a = self.path(p[1], graph).select("s", F.col("o").alias("m"), *keep)
-            b = self.path(p[2], graph).select(F.col("s").alias("m"), "o", *keep)
+            a = self.path(p[1], graph, start).select("s", F.col("o").alias("m"), *keep)
+            b = self.path(p[2], graph, None, end).select(F.col("s").alias("m"), "o", *keep)
             return a.join(b, ["m", *keep]).select("s", "o", *keep)
         if kind == "not":
             return self.quads.where(~F.col("p").isin([self.constant(t) for t in p[1]])).select("s", "o", *keep).distinct()
@@ -141,15 +143,18 @@ class _Compiler:
         same = nodes.select("s", F.col("s").alias("o"), *keep)
         if kind == "?":
             return base.unionByName(same).distinct()
-        closed = self.closure(base, keep)
+        closed = self.closure(base, keep, start, end)
         return closed if kind == "+" else closed.unionByName(same).distinct()
 
-    def closure(self, base: DataFrame, keep: list[str]) -> DataFrame:
-        """All pairs over one step or more: the pairs found last are lengthened by a step until none is new."""
+    def closure(self, base: DataFrame, keep: list[str], start=None, end=None) -> DataFrame:
+        """All pairs over one step or more, or those from one start or to one end: the pairs found last are lengthened by a step until none is new."""
+        if start is None and end is not None:
+            turned = self.closure(base.select(F.col("o").alias("s"), F.col("s").alias("o"), *keep), keep, end)
+            return turned.select(F.col("o").alias("s"), F.col("s").alias("o"), *keep)
         self.scratch = self.scratch or Scratch(self.spark, "paths")
         base = self.scratch.keep(base)
         schema = base.schema
-        paths = [self.scratch.write(base)]
+        paths = [self.scratch.write(base if start is None else base.where(F.col("s") == start))]
         last = self.scratch.read(schema, paths[0])
         step = base.select(F.col("s").alias("m"), F.col("o").alias("o2"), *keep)
         while True:
