@@ -3,8 +3,11 @@
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
+from weftline.operators import buyers
 from weftline.operators import knowledge as K
+from weftline.operators import ontology as O
 from weftline.operators import relations as R
+from weftline.operators import site as S
 
 TEXT = (
     "Acme Platform offers Automated Invoicing and Subscription Management capabilities. It eliminates manual spreadsheets and replaces manual journal entries. Built for Enterprise and High-Growth SaaS finance teams. "
@@ -76,3 +79,42 @@ def test_scalar_rules(spark):
         assert one(spark, quote, T.is_quote) is ok, quote
     assert one(spark, "=1+1\r\n\nb", T.csv_safe) == "'=1+1  b" and one(spark, None, T.csv_safe) == ""
     assert one(spark, '../a "b"\r\nc.csv', T.safe_filename) == "a_b_c.csv" and one(spark, "--", T.safe_filename) == "report" and len(one(spark, "x" * 300, T.safe_filename)) == 100
+
+
+def test_prompt_words(spark):
+    for term, said in {"Approval Workflows": "approval workflows", "ASC 606 Compliance": "ASC 606 compliance", "QuickBooks invoicing": "QuickBooks invoicing", " SOC 2  Audit ": "SOC 2 audit", "": "", None: None}.items():
+        assert one(spark, term, buyers.phrase) == said, term
+    pairs = [("{subject} compliant billing", "ASC 606 Compliance", True), ("{subject} automation software", "AR Automation", True), ("how to comply with {subject}", "HR compliance", True), ("how to automate {subject}", "Dunning", False), ("{category} software with {subject}", "Expense Software", False), ("best tool", None, False)]
+    df = spark.createDataFrame(pairs, "t string, s string, want boolean")
+    assert [r.got for r in df.select(buyers.collides(F.col("t"), F.col("s")).alias("got")).collect()] == [p[2] for p in pairs]
+    rows = spark.createDataFrame([("v", "Zuora", 1), ("v", "Recurly", 2), ("v", "Maxio", 3), ("w", "Solo", 1), ("v", " ", 2)], "g string, name string, ord int")
+    assert sorted(r.text for r in buyers.head_to_head(rows, "g", "name", "ord").collect()) == ["Recurly vs Maxio", "Zuora vs Recurly"]
+
+
+def test_ontology(spark):
+    facts = spark.createDataFrame([("g", "Acme", "hasFeature", "Audit Trail", 0.9, "It has an audit trail."), ("g", "Acme", "automates", "audit-trail", 0.8, None), ("g", "Acme", "odd", "Thing", 0.5, None), ("g", "Acme", "odd", "--", 0.5, None), (None, "x", "odd", "y", 0.1, None)], "graph string, vendor string, predicate string, object string, confidence double, evidence string")
+    got = {(r.s, r.p, r.o) for r in O.owl_of_relations(facts, "graph", "vendor").collect()}
+    for q in [("onto:hasFeature", "owl:inverseOf", "onto:isFeatureOf"), ("onto:isFeatureOf", "rdfs:domain", "onto:ProductFeature"), ("onto:EnterprisePlatform", "owl:disjointWith", "onto:PricingModel"), ("onto:canonicalUrl", "rdfs:range", "xsd:anyURI"), ("onto:subCategoryOf", "rdf:type", "owl:TransitiveProperty"), ("onto:Acme", "rdf:type", "onto:EnterprisePlatform"), ("onto:Acme", "onto:hasFeature", "onto:AuditTrail"), ("onto:AuditTrail", "onto:evidenceSentence", "It has an audit trail."), ("onto:Acme", "schema:knowsAbout", "onto:Thing"), ("onto:Acme", "onto:automatesWorkflow", "onto:audittrail")]:
+        assert q in got, q
+    assert O.owl_of_relations(facts.limit(0), "graph", "vendor").count() == 0
+
+
+def test_changed_labels(spark):
+    k = spark.createDataFrame([("v", "c1", "Patient Planner", ["Old Form", None]), ("v", "c2", "Allergy Pairing", None)], "vertical_id string, id string, preflabel string, altlabels array<string>")
+    approved = spark.createDataFrame([("v", " planner ", "patient planner"), ("v", "Planner", "Patient Planner"), ("v", "OLD form", "Patient Planner"), ("v", "Allergy Pairing", "Patient Planner"), ("v", None, "Patient Planner"), ("w", "x", "Patient Planner"), ("v", "Pairs", "Allergy Pairing")], "vertical_id string, surface string, canonical string")
+    withdrawn = spark.createDataFrame([("v", "old FORM", "patient planner"), ("v", "never there", "Patient Planner")], "vertical_id string, surface string, canonical string")
+    got = {r.id: r.altlabels for r in O.changed_labels(k, approved, withdrawn).collect()}
+    assert got == {"c1": [None, "Planner"], "c2": ["Pairs"]}
+
+
+def test_site_graphs(spark):
+    k = spark.createDataFrame([("c1", "v", "Patient Planner", "feature", ["Planner Board"]), ("c2", "v", "Lease Routing", "process", None)], "id string, vertical_id string, preflabel string, kind string, altlabels array<string>")
+    pages = spark.createDataFrame([("a.example", "https://a.example/1", "It includes Patient Planner for all wards. Lease routing runs nightly.", "v", 1), ("a.example", "https://a.example/2", "Our planner board is a feature that everybody on the wards likes.", "v", 1), ("a.example", "https://a.example/2", None, "v", 1), ("b.example", "https://b.example/", None, "v", 1), (None, "https://c.example/", "Lease routing is here too.", "v", 1)], "site string, url string, text string, vertical_id string, label int")
+    entities = spark.createDataFrame([("Lease Routing", "lr"), ("Patient Planner", "p1"), ("patient planner", "p2")], "form string, id string")
+    made = S.site_graphs(pages, k, F.lit("2025-06-01 12:00:00").cast("timestamp"), "https://onto.example/", entities)
+    edges = {(r.source, r.predicate, r.target): (r.confidence, r.url) for r in made.edges.collect()}
+    assert edges == {("a.example", "hasFeature", "c1"): (0.85, "https://a.example/2"), ("a.example", "automates", "lr"): (0.8, "https://a.example/1")}
+    assert {(r.node, r.pages) for r in made.nodes.collect()} == {("c1", 2), ("lr", 1)}
+    assert {(r.domain, r.metadata) for r in made.headers.collect()} == {("a.example", '{"pages_crawled":2,"nodes":2,"edges":2}'), ("b.example", '{"pages_crawled":1,"nodes":0,"edges":0}')}
+    assert {r.graph_id for r in made.quads.select("graph_id").distinct().collect()} == {"https://a.example/audit/20250601T120000Z"}
+    assert {(r.target_type, r.n) for r in made.schema.collect()} == {("Feature", 1), ("Process", 1)}

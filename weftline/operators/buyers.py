@@ -110,9 +110,39 @@ def merged_values(existing: DataFrame, discovered: DataFrame, keys: list[str], v
     return kept.select(*keys, F.col(f"m.{value}").alias(value), (F.col("m.late") == 1).alias("new"))
 
 
+#: Words of a template that say nothing of its subject (fixed values).
+TEMPLATE_WORDS = "how to is the why does what with for still best as you off on and of it need stops takes too long grow move from that vs".split()
+
+
+def phrase(term: Column, keep_case: bool = False) -> Column:
+    """A term as it stands within a query: words in lower case but for those of capitals, with a digit first or with a capital inside."""
+    trimmed = F.trim(term)
+    if keep_case:
+        return trimmed
+    return F.array_join(F.transform(F.filter(F.split(trimmed, r"\s+"), lambda w: w != ""), lambda w: F.when(w.rlike("^[A-Z0-9][A-Z0-9&/.-]*$") | w.rlike(".[A-Z]"), w).otherwise(F.lower(w))), " ")
+
+
+def _stems(words: Column) -> Column:
+    return F.transform(words, lambda w: F.substring(F.regexp_replace(F.lower(w), "y$", "i"), 1, 6))
+
+
+def collides(template: Column, subject: Column) -> Column:
+    """Whether a template says a word of its subject again, by the first six letters; the category's own name does not count."""
+    own = F.regexp_replace(F.replace(template, F.lit("{category} software"), F.lit(" ")), r"\{\w+\}", " ")
+    said = F.filter(F.regexp_extract_all(own, F.lit("([a-z]+)")), lambda w: ~w.isin(*TEMPLATE_WORDS))
+    return F.coalesce(F.arrays_overlap(_stems(said), _stems(F.regexp_extract_all(subject, F.lit("([A-Za-z]+)")))), F.lit(False))
+
+
+def head_to_head(competitors: DataFrame, scope: str, name: str, order: str) -> DataFrame:
+    """(scope, text, source): a comparison of each competitor with the next one."""
+    following = F.lead(name).over(Window.partitionBy(scope).orderBy(order, name))
+    rows = competitors.where(F.trim(name) != "").withColumn("__next", following).where(F.col("__next").isNotNull())
+    return rows.select(scope, F.concat_ws(" vs ", name, "__next").alias("text"), F.col(name).alias("source"))
+
+
 def prompts(templates: DataFrame, subjects: DataFrame) -> DataFrame:
-    """(vertical_id, stage, subject, prompt, ord) of every template of a subject's role, {subject} filled in; prompts that are equal but for case and spaces count once, the best stage first."""
-    made = subjects.join(templates, "role").withColumn("prompt", F.replace(F.col("template"), F.lit("{subject}"), F.lower("subject")))
+    """(vertical_id, stage, subject, prompt, ord) of every template of a subject's role, {subject} filled in as a phrase, templates that say a word of their subject again left out; prompts that are equal but for case and spaces count once, the best stage first."""
+    made = subjects.join(templates, "role").where(~collides(F.col("template"), F.col("subject"))).withColumn("prompt", F.replace(F.col("template"), F.lit("{subject}"), phrase(F.col("subject"))))
     low = F.lower(F.regexp_replace("prompt", r"\s+", " ")).alias("__low")
     best = made.groupBy("vertical_id", low).agg(F.min(F.struct("stage", "ord", "subject", "prompt")).alias("m"))
     return best.select("vertical_id", "m.stage", "m.subject", "m.prompt", "m.ord")

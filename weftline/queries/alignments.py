@@ -68,7 +68,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     from .registries import oracle_sql as registry_sql
-    from .streams import TEMPLATES
+    from .streams import APART, PHRASE, TEMPLATES
 
     approved = registry_sql()["q_approved_concepts"]
 
@@ -80,7 +80,7 @@ def oracle_sql() -> dict[str, str]:
     words = "regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+')"
     pad = lambda c: f"' ' || array_to_string({words.format(c)}, ' ') || ' '"
     return {
-        "q_prompt_checks": f"""with t as ({asked}), m as (select c.vertical_id as g, t.stage, t.ord, c.preflabel as support, replace(t.template, '{{subject}}', lower(c.preflabel)) as text from concepts c join t on t.role = c.kind),
+        "q_prompt_checks": f"""with t as ({asked}), m as (select c.vertical_id as g, t.stage, t.ord, c.preflabel as support, replace(t.template, '{{subject}}', {PHRASE}) as text from concepts c join t on t.role = c.kind where {APART}),
             r as (select *, row_number() over (partition by g, lower(text) order by stage, ord, support, text) as rn from m), v as (select vertical_id as g, min(preflabel) as vendor from concepts group by 1),
             x as (select r.g as subject, case when len({words.format('text')}) < 6 then 'too_short' when coalesce(trim(vendor, ' ') <> '' and contains({pad('text')}, {pad('vendor')}), false) then 'names_vendor'
               when len(list_filter({words.format('text')}, lambda w: regexp_matches(w, '[0-9]') and not list_contains({words.format('support')}, w))) > 0 then 'unsupported' else 'kept' end as verdict from r left join v on v.g = r.g where rn = 1)
@@ -102,7 +102,7 @@ def oracle_sql() -> dict[str, str]:
             select * from (select doc_id, case {groups} end as grp from p) where grp is not null""",
         "q_evidence_pages": """with s as (select graph_id, s, min(o) filter (p = 'rdf:object') as value, min(o) filter (p = 'prov:wasDerivedFrom') as url from quads where p in ('prov:wasDerivedFrom', 'rdf:object') group by 1, 2)
             select url, count(distinct (graph_id, value)) as claims from s where value is not null and trim(url) <> '' group by 1""",
-        "q_prompt_coverage": f"""with t as ({prompts}), m as (select distinct c.vertical_id, lower(replace(t.template, '{{subject}}', lower(c.preflabel))) as prompt, min(t.stage) over (partition by c.vertical_id, lower(replace(t.template, '{{subject}}', lower(c.preflabel)))) as stage from concepts c join t on t.role = c.kind),
+        "q_prompt_coverage": f"""with t as ({prompts}), m as (select distinct c.vertical_id, lower(replace(t.template, '{{subject}}', {PHRASE})) as prompt, min(t.stage) over (partition by c.vertical_id, lower(replace(t.template, '{{subject}}', {PHRASE}))) as stage from concepts c join t on t.role = c.kind where {APART}),
             p as (select vertical_id, count(distinct prompt) as prompts, count(distinct stage) as stages from m group by 1)
             select c.vertical_id, count(*) as concepts, count(*) filter (coalesce(trim(definition) <> '', false)) as defined, sum(len(altlabels))::bigint as aliases, any_value(p.prompts) as prompts, any_value(p.stages) as stages from concepts c join p using (vertical_id) group by 1""",
     }

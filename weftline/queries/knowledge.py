@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import urls as U
-from ..operators import buyers, extraction
+from ..operators import buyers, extraction, ontology, site
 from ..operators import knowledge as K
 from ..operators import vocabulary as V
+from . import relations as relation_queries
 from .tables import Query, table
 
 BASE = "https://onto.example/"
@@ -161,9 +162,48 @@ def q_stem_groups(spark: SparkSession, folder: str) -> DataFrame:
     return o.groupBy(tx.stems(F.col("key")).alias("stem")).agg(F.count(F.lit(1)).alias("keys"), F.min("key").alias("first"))
 
 
+#: When the site graphs of these queries were made.
+RUN = "2025-06-01 12:00:00"
+
+
+def _site(spark: SparkSession, folder: str) -> site.SiteGraph:
+    d = table(spark, folder, "documents")
+    return site.site_graphs(d.select(F.col("source").alias("site"), "url", "text", "vertical_id"), table(spark, folder, "concepts"), F.lit(RUN).cast("timestamp"), BASE)
+
+
+def q_site_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """The merged edges of every site's graph."""
+    return _site(spark, folder).edges
+
+
+def q_site_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    return _site(spark, folder).nodes
+
+
+def q_site_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every site's run with what it holds, and how many quads it writes."""
+    made = _site(spark, folder)
+    n = made.quads.groupBy("graph_id").agg(F.count(F.lit(1)).alias("quads"))
+    return made.headers.join(n, "graph_id", "left").select("graph_id", "domain", "vertical_id", "metadata", F.coalesce("quads", F.lit(0)).alias("quads"))
+
+
+def q_owl_relations(spark: SparkSession, folder: str) -> DataFrame:
+    """The ontologies of what is said of the registry's entries, counted by predicate."""
+    facts = relation_queries.q_relations(spark, folder)
+    return ontology.owl_of_relations(facts, "id", "id").groupBy("graph_id", "p").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("s").alias("subjects"))
+
+
+def q_changed_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Concepts with the forms that candidates bring, and without each concept's first other label."""
+    c, k = table(spark, folder, "candidates"), table(spark, folder, "concepts")
+    approved = c.where("closes_gap").select("vertical_id", F.col("surface_form").alias("surface"), F.col("concept").alias("canonical"))
+    withdrawn = k.select("vertical_id", F.upper(F.get("altlabels", F.lit(0))).alias("surface"), F.col("preflabel").alias("canonical"))
+    return ontology.changed_labels(k, approved, withdrawn).select("vertical_id", "id", F.array_join("altlabels", "|").alias("altlabels"))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        q_canonical_class, q_phrase_forms, q_seed_strings, q_company_names, q_concept_roles, q_governance, q_wiring, q_page_identities, q_grounding, q_page_summary, q_rdf_build, q_owl, q_same_as, q_entity_dedupe,
+        q_site_edges, q_site_nodes, q_site_runs, q_owl_relations, q_changed_labels, q_canonical_class, q_phrase_forms, q_seed_strings, q_company_names, q_concept_roles, q_governance, q_wiring, q_page_identities, q_grounding, q_page_summary, q_rdf_build, q_owl, q_same_as, q_entity_dedupe,
         q_competitor_merge, q_competitor_domains, q_export_order, q_role_evidence, q_subject, q_quote_support, q_unsent, q_event_ids, q_crawl_summary, q_stem_groups,
     )}
 
@@ -175,6 +215,8 @@ def oracle_sql() -> dict[str, str]:
     from .registries import keyed_sql
     from .vocab import _DOCS, facts_sql
 
+    # a page that stands twice under one address counts with its smaller text
+    edges = "docs_ as (select source as site, url, arg_min(doc_id, (text is null, text, doc_id)) as doc_id from documents where source is not null and url is not null group by 1, 2), known as (select id, min(preflabel) as label, min(kind) as kind from concepts group by id), e as (select 'https://' || d.site || '/audit/20250601T120000Z' as graph_id, d.site as source, f.predicate, f.object as target, f.confidence, f.evidence as sentence, d.url, -(('0x' || substr(md5(d.url), 1, 8))::bigint) as url_order, k.label, k.kind from facts f join docs_ d using (doc_id) join known k on k.id = f.object)"
     slug = "coalesce(nullif(substr(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80), ''), 'x')"
 
     stems = "list_distinct(list_transform(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: length(w) > 3 and w not in (" + ", ".join(f"'{w}'" for w in buyers.FILLER) + ")), lambda w: substr(w, 1, 5)))"
@@ -187,6 +229,18 @@ def oracle_sql() -> dict[str, str]:
             select label, case when coalesce(n, '') = '' then 'Entity' when n in ('BillingFeature', 'ProductFeature') then 'Feature' when n in ('AccountingStandard', 'SecurityStandard', 'FinancialStandard', 'ComplianceStandard') then 'Standard'
               when n in ('BillingModel', 'PricingStructure') then 'PricingModel' when n = 'CustomerSegment' then 'Segment' when n = 'IndustryVertical' then 'Industry' when n = 'GeographicMarket' then 'Place' when n = 'SLACommitment' then 'SLA' when n = 'TrustCertification' then 'Certification' else n end as name from n""",
         "q_seed_strings": "select id, null as short, preflabel as long, len(altlabels) as examples from concepts",
+        "q_site_edges": f"""with {facts_sql()}, {edges}
+            select graph_id, source, predicate, target, max(confidence) as confidence, arg_max(sentence, (length(sentence), url_order)) as sentence, arg_max(url, (length(sentence), url_order)) as url from e group by 1, 2, 3, 4""",
+        "q_site_nodes": f"""with {facts_sql()}, {edges} select graph_id, target as node, min(label) as label, min(kind) as kind, count(*) as mentions, count(distinct url) as pages from e group by 1, 2""",
+        "q_changed_labels": """
+            with labels as (select distinct vertical_id, lower(trim(preflabel, ' ')) as key from concepts),
+            a as (select c.vertical_id, lower(trim(concept, ' ')) as label, lower(trim(surface_form, ' ')) as key, min(trim(surface_form, ' ')) as form from candidates c where closes_gap and trim(surface_form, ' ') <> ''
+              and not exists (select 1 from labels l where l.vertical_id = c.vertical_id and l.key = lower(trim(surface_form, ' '))) group by 1, 2, 3),
+            n as (select vertical_id, label, list(form order by form) as new from a group by 1, 2),
+            k as (select vertical_id, id, coalesce(altlabels, []) as old, lower(trim(preflabel, ' ')) as label, lower(trim(altlabels[1], ' ')) as gone from concepts),
+            g as (select vertical_id, label, list(gone) as gone from k where gone is not null and gone <> '' group by 1, 2),
+            j as (select k.vertical_id, k.id, k.old, list_transform(k.old, lambda x: lower(trim(x, ' '))) as held, coalesce(n.new, []) as new, coalesce(g.gone, []) as gone from k left join n using (vertical_id, label) left join g using (vertical_id, label))
+            select vertical_id, id, array_to_string(list_filter(list_concat(old, list_filter(new, lambda x: not list_contains(held, lower(trim(x, ' '))))), lambda x: not list_contains(gone, lower(trim(x, ' ')))), '|') as altlabels from j""",
         "q_role_evidence": f"""
             with e as (select distinct id, preflabel, lower(preflabel) as n from entities where id is not null and trim(preflabel, ' ') <> ''),
             t as (select *, lower(replace([{", ".join("'" + x + "'" for x in ROLE_SENTENCES)}][length(preflabel) % {len(ROLE_SENTENCES)} + 1], '%s', preflabel)) as said, regexp_replace(n, '([\\.^$|?*+()\\[\\]{{}}])', '\\\\\\1', 'g') as q from e),

@@ -112,6 +112,12 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (q_stream_fold, q_stream_append, q_stream_blocks, q_stream_windows, q_stream_yield, q_situations, q_situation_report, q_situation_parts, q_claim_check, q_prompts, q_ntriples, q_turtle, q_jsonld, q_claim_ids, q_slugs)}
 
 
+#: The concepts that a template may be about, and how they stand in it, in SQL.
+PHRASE = "array_to_string(list_transform(list_filter(regexp_split_to_array(trim(c.preflabel, ' '), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> ''), lambda w: case when regexp_full_match(w, '[A-Z0-9][A-Z0-9&/.-]*') or regexp_matches(w, '.[A-Z]') then w else lower(w) end), ' ')"
+_STEM = "substr(regexp_replace(lower(w), 'y$', 'i'), 1, 6)"
+APART = f"not list_has_any(list_transform(list_filter(regexp_extract_all(regexp_replace(t.template, '\\{{\\w+\\}}', ' ', 'g'), '[a-z]+'), lambda w: w not in ({', '.join(repr(w) for w in buyers.TEMPLATE_WORDS)})), lambda w: {_STEM}), list_transform(regexp_extract_all(c.preflabel, '[A-Za-z]+'), lambda w: {_STEM}))"
+
+
 def _term(value: str, kind: str) -> str:
     """A term as SQL text."""
     safe = f"replace(replace(replace(replace({value}, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r')"
@@ -130,7 +136,7 @@ def oracle_sql() -> dict[str, str]:
         "q_stream_blocks": f"""with {lines}, per as (select site, key, doc_id, count(*) as n, row_number() over (partition by site, key order by doc_id) as i from blocks group by 1, 2, 3)
             select site, key, sum(n)::bigint as n, coalesce(sum(n) filter (i >= 3), 0)::bigint as dropped from per group by 1, 2""",
         "q_situation_parts": "select graph_id, s, " + ", ".join(f"min(o) filter (p = 'https://onto.example/terms/{p}') as {p}" for p in ("before", "trigger", "pain", "need", "evidence")) + " from quads where contains(graph_id, '/situations/') group by 1, 2",
-        "q_prompts": f"""with t as ({prompts}), m as (select c.vertical_id, t.stage, t.ord, c.preflabel as subject, replace(t.template, '{{subject}}', lower(c.preflabel)) as prompt from concepts c join t on t.role = c.kind),
+        "q_prompts": f"""with t as ({prompts}), m as (select c.vertical_id, t.stage, t.ord, c.preflabel as subject, replace(t.template, '{{subject}}', {PHRASE}) as prompt from concepts c join t on t.role = c.kind where {APART}),
             r as (select *, row_number() over (partition by vertical_id, lower(prompt) order by stage, ord, subject, prompt) as rn from m) select vertical_id, stage, subject, prompt, ord from r where rn = 1""",
         "q_ntriples": "select graph_id, o_kind, o_datatype, case when o_datatype is null then o_lang end as o_lang, count(*) as n from (select distinct graph_id, s, s_kind, p, o, o_kind, o_datatype, case when o_datatype is null then o_lang end as o_lang from quads) group by 1, 2, 3, 4",
         "q_jsonld": "select graph_id, s, 0 as part, count(distinct p) as predicates from quads group by 1, 2",
