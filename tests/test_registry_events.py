@@ -2,6 +2,7 @@
 
 import random
 
+from weftline.operators import registry as R
 from weftline.operators import registry_events as E
 
 
@@ -111,3 +112,15 @@ def test_against_the_walk(spark):
 def test_no_events(spark):
     got = E.fold_events(spark.createDataFrame([], E.SEED), spark.createDataFrame([], E.EVENT))
     assert got.entities.count() == got.aliases.count() == got.blocked.count() == got.conflicts.count() == 0
+
+
+def test_rungs(spark):
+    keys = [("a.example", k, d) for k, d in [("learning management system", "learning management system"), ("lms", "LMS"), ("stripe", "Stripe"), ("sage", "Sage"), ("spam term", "Spam Term"), ("card connect", "Card Connect"), ("cardconnect", "CardConnect"), ("customer", "customer"), ("adyen", "Adyen"), ("stripe billing", "Stripe Billing"), ("ab", "AB"), ("alpha beta", "Alpha Beta"), ("amber box", "Amber Box"), ("a", "A")]] + [("b.example", "lms", "LMS"), ("b.example", "x", None)]
+    registry = [("stripe", "e1"), ("sage", "e2"), ("sage", "e3"), ("cardconnect", "e4"), ("spam term", "e5"), ("", "e6")]
+    got = R.resolve_keys(spark.createDataFrame(keys, "domain string, key string, display string"), spark.createDataFrame(registry, "form string, id string"), spark.createDataFrame([("learning management system", "c1")], "form string, concept_id string"), spark.createDataFrame([("spam term",), ("spam term",)], "key string"))
+    found = {(r.domain, r.key): (r.target_kind, r.target, r.method) for r in got.collect()}
+    assert len(found) == len(keys)
+    at = lambda k, d="a.example": found[d, k]
+    assert at("lms") == ("concept", "c1", "acronym") and at("lms", "b.example")[2] == "observed" and at("spam term") == ("mention", "spam term", "blocked")
+    assert at("stripe") == ("entity", "e1", "registry") and at("sage")[2] == "ambiguous" and at("card connect") == ("entity", "e4", "spelling") and at("stripe billing") == ("entity", "e1", "suffix")
+    assert at("customer")[2] == "mention" and at("adyen") == ("observed", "adyen", "observed") and at("ab")[2] == "observed"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import urls
+from ..plans.storage import Scratch
 
 #: Company endings, attached web endings and opening articles that a key leaves out (fixed values).
 LEGAL = "inc|incorporated|llc|ltd|limited|plc|corp|corporation|gmbh"
@@ -161,13 +162,14 @@ def forms_by_key(observations: DataFrame) -> DataFrame:
     return totals.join(most("forms", "display"), ["domain", "key"], "left").join(most("labels", "label"), ["domain", "key"], "left")
 
 
-def resolve_keys(keys: DataFrame, registry: DataFrame, concepts: DataFrame) -> DataFrame:
+def resolve_keys(keys: DataFrame, registry: DataFrame, concepts: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
     """(domain, key, target_kind, target, method) of each site's keys, by the first rung that answers.
 
     ``keys`` has domain, key, display; ``registry`` (form key, id) of active entries; ``concepts`` (form key,
-    concept_id). The rungs: one registry entry (several: ambiguous, the key stays observed); a concept named by one
+    concept_id); ``blocked`` (key) what reviewers took out. The rungs: a mention for blocked keys; one registry entry (several: ambiguous, the key stays observed); a concept named by one
     only; the site's brand; the same after a product word is taken off; a mention for generic keys; else observed. Then keys
-    of a site that are equal without spaces join the best resolved of them.
+    of a site that are equal without spaces join the best resolved of them, and an acronym that a site
+    writes in two to five capitals joins what its one longer key with these initials is.
     """
     entry = registry.where(F.col("form") != "").groupBy("form").agg(F.count_distinct("id").alias("n"), F.min("id").alias("id"))
     concept = concepts.where(F.col("form") != "").groupBy("form").agg(F.count_distinct("concept_id").alias("cn"), F.min("concept_id").alias("cid")).where(F.col("cn") == 1).select("form", "cid")
@@ -178,8 +180,10 @@ def resolve_keys(keys: DataFrame, registry: DataFrame, concepts: DataFrame) -> D
     hit = hit.join(at(entry.where(F.col("n") == 1), "rest", [("id", "rid")]), "rest", "left").join(at(concept, "rest", [("cid", "rcid")]), "rest", "left")
     brand = names_brand(F.col("key"), F.col("domain"))
     pick = lambda k, t, m: F.struct(F.lit(k).alias("kind"), t.alias("target"), F.lit(m).alias("method"))
+    hit = hit.join(blocked.select("key", F.lit(True).alias("blocked")).distinct(), "key", "left") if blocked is not None else hit.withColumn("blocked", F.lit(None).cast("boolean"))
     chosen = (
-        F.when(F.col("n") == 1, pick("entity", F.col("id"), "registry"))
+        F.when(F.col("blocked"), pick("mention", F.col("key"), "blocked"))
+        .when(F.col("n") == 1, pick("entity", F.col("id"), "registry"))
         .when(F.col("n") > 1, pick("observed", F.col("key"), "ambiguous"))
         .when(F.col("cid").isNotNull(), pick("concept", F.col("cid"), "concept"))
         .when(brand, pick("brand", F.col("domain"), "brand"))
@@ -188,12 +192,22 @@ def resolve_keys(keys: DataFrame, registry: DataFrame, concepts: DataFrame) -> D
         .when(is_generic(F.col("key")) | ~F.coalesce("display", F.col("key")).rlike("[A-Z]"), pick("mention", F.col("key"), "mention"))
         .otherwise(pick("observed", F.col("key"), "observed"))
     )
-    rung = hit.select("domain", "key", chosen.alias("c"), fold_key(F.col("key")).alias("fold"))
+    scratch = Scratch(keys.sparkSession, "resolution")
+    rung = scratch.keep(hit.select("domain", "key", "display", chosen.alias("c"), fold_key(F.col("key")).alias("fold")))
     order = F.when(F.col("c.kind").isin("entity", "concept", "brand"), 0).when(F.col("c.kind") == "observed", 1).otherwise(2)
     best = rung.groupBy("domain", "fold").agg(F.min(F.struct(order.alias("o"), "key", "c")).alias("b"))
     moved = rung.join(best, ["domain", "fold"])
-    moves = F.col("c.kind").isin("observed", "mention") & (F.col("b.key") != F.col("key")) & (F.col("c.method") != "ambiguous")
-    return moved.select("domain", "key", *[F.when(moves, F.col(f"b.c.{n}")).otherwise(F.col(f"c.{n}")).alias(a) for n, a in (("kind", "target_kind"), ("target", "target"))], F.when(moves, "spelling").otherwise(F.col("c.method")).alias("method"))
+    free = F.col("c.kind").isin("observed", "mention") & ~F.col("c.method").isin("ambiguous", "blocked")
+    moves = free & (F.col("b.key") != F.col("key"))
+    spelled = moved.select("domain", "key", "display", F.when(moves, F.struct(F.col("b.c.kind").alias("kind"), F.col("b.c.target").alias("target"), F.lit("spelling").alias("method"))).otherwise(F.col("c")).alias("c"))
+    spelled = scratch.keep(spelled)
+    words = F.split("key", " ")
+    letters = F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
+    long = spelled.where((F.size(words) >= 2) & F.forall(words, lambda w: w.rlike("^[a-z]{2,}$")) & (F.col("c.method") != "blocked")).select("domain", letters.alias("key"), F.struct("c.kind", "c.target").alias("t"))
+    one = long.groupBy("domain", "key").agg(F.min("t").alias("t"), F.max("t").alias("u")).where(F.col("t") == F.col("u")).select("domain", "key", "t")
+    short = free & F.regexp_replace("display", "\\.", "").rlike("^[A-Z]{2,5}$") & F.col("t").isNotNull()
+    out = spelled.join(one, ["domain", "key"], "left")
+    return out.select("domain", "key", F.when(short, F.col("t.kind")).otherwise(F.col("c.kind")).alias("target_kind"), F.when(short, F.col("t.target")).otherwise(F.col("c.target")).alias("target"), F.when(short, "acronym").otherwise(F.col("c.method")).alias("method"))
 
 
 def proposals(observations: DataFrame, standing: DataFrame, least_sites: int = 2, ratio: float = 0.5) -> DataFrame:

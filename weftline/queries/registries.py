@@ -57,7 +57,8 @@ def q_resolution(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "entities").where(F.coalesce(F.trim("merged_into"), F.lit("")) == "")
     forms = e.select("id", R.key(F.col("preflabel")).alias("form")).unionByName(e.select("id", F.explode("aliases").alias("a")).select("id", R.key(F.col("a.form")).alias("form")))
     concepts = V.vocabulary(table(spark, folder, "concepts")).select("form", "concept_id")
-    return R.resolve_keys(R.forms_by_key(table(spark, folder, "observations")), forms, concepts)
+    blocked = R.generic_keys(R.decisions(table(spark, folder, "vocabulary_decisions")))
+    return R.resolve_keys(R.forms_by_key(table(spark, folder, "observations")), forms, concepts, blocked)
 
 
 def q_resolution_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,7 +97,8 @@ def resolved_sql() -> str:
     fold = lambda k: f"replace(regexp_replace({k}, '[a-z0-9]+$', '') || {_ENDED.format('regexp_extract(' + k + ', ' + chr(39) + '([a-z0-9]+)$' + chr(39) + ', 1)')}, ' ', '')"
     label = "split_part(regexp_replace(domain, '^www\\.', ''), '.', 1)"
     pick = lambda kind, target, method: f"{{'kind': '{kind}', 'target': {target}, 'method': '{method}'}}"
-    return f"""site_forms as ({oracle_sql()['q_site_forms']}),
+    return f"""{_STANDS}, blocks as (select distinct key from stands where decision = 'generic'),
+            site_forms as ({oracle_sql()['q_site_forms']}),
             named as (select id, preflabel as form from entities where coalesce(trim(merged_into, ' '), '') = '' union all select id, a.form from (select id, unnest(aliases) as a from entities where coalesce(trim(merged_into, ' '), '') = '')),
             {keyed_sql('named', 'form', 'keyed')},
             entry as (select k, count(distinct id) as n, min(id) as id from keyed where k <> '' group by k),
@@ -106,15 +108,19 @@ def resolved_sql() -> str:
             base as (select domain, key, display, case when r <> key and length(replace(r, ' ', '')) >= 3 then r end as rest from rests),
             hit as (select b.*, e.n, e.id, c.cid, er.id as rid, cr.cid as rcid, replace(b.key, ' ', '') as joined, {label} as label from base b left join entry e on e.k = b.key left join concept c on c.k = b.key
               left join entry er on er.k = b.rest and er.n = 1 left join concept cr on cr.k = b.rest),
-            chosen as (select domain, key, {fold('key')} as fold, case when n = 1 then {pick('entity', 'id', 'registry')} when n > 1 then {pick('observed', 'key', 'ambiguous')} when cid is not null then {pick('concept', 'cid', 'concept')}
+            chosen as (select domain, key, display, {fold('key')} as fold, case when key in (from blocks) then {pick('mention', 'key', 'blocked')} when n = 1 then {pick('entity', 'id', 'registry')} when n > 1 then {pick('observed', 'key', 'ambiguous')} when cid is not null then {pick('concept', 'cid', 'concept')}
               when length(joined) >= 4 and len(list_filter([{affixes}], lambda a: joined || a = label or a || joined = label)) > 0 then {pick('brand', 'domain', 'brand')}
               when rid is not null then {pick('entity', 'rid', 'suffix')} when rcid is not null then {pick('concept', 'rcid', 'suffix')}
               when len(list_filter(string_split(key, ' '), lambda w: not (w in ({generic}) or {_ENDED.format('w')} in ({generic})))) = 0 or not regexp_matches(coalesce(display, key), '[A-Z]') then {pick('mention', 'key', 'mention')}
               else {pick('observed', 'key', 'observed')} end as c from hit),
             ranked as (select *, case when c.kind in ('entity', 'concept', 'brand') then 0 when c.kind = 'observed' then 1 else 2 end as o from chosen),
             best as (select domain, fold, arg_min(key, (o, key)) as bkey, arg_min(c, (o, key)) as bc from ranked group by 1, 2),
-            moved as (select r.domain, r.key, r.c, b.bc, r.c.kind in ('observed', 'mention') and b.bkey <> r.key and r.c.method <> 'ambiguous' as moves from ranked r join best b using (domain, fold)),
-            resolved as (select domain, key, case when moves then bc.kind else c.kind end as target_kind, case when moves then bc.target else c.target end as target, case when moves then 'spelling' else c.method end as method from moved)"""
+            moved as (select r.domain, r.key, r.display, r.c, b.bc, r.c.kind in ('observed', 'mention') and b.bkey <> r.key and r.c.method not in ('ambiguous', 'blocked') as moves from ranked r join best b using (domain, fold)),
+            spelled as (select domain, key, display, case when moves then {{'kind': bc.kind, 'target': bc.target, 'method': 'spelling'}} else c end as c from moved),
+            long as (select domain, array_to_string(list_transform(string_split(key, ' '), lambda w: w[1]), '') as key, {{'kind': c.kind, 'target': c.target}} as t from spelled where regexp_full_match(key, '[a-z]{{2,}}( [a-z]{{2,}})+') and c.method <> 'blocked'),
+            short as (select domain, key, min(t) as t from long group by 1, 2 having min(t) = max(t)),
+            ruled as (select s.*, h.t, h.t is not null and s.c.kind in ('observed', 'mention') and s.c.method not in ('ambiguous', 'blocked') and regexp_full_match(replace(coalesce(s.display, ''), '.', ''), '[A-Z]{{2,5}}') as goes from spelled s left join short h using (domain, key)),
+            resolved as (select domain, key, case when goes then t.kind else c.kind end as target_kind, case when goes then t.target else c.target end as target, case when goes then 'acronym' else c.method end as method from ruled)"""
 
 
 def more_sql() -> dict[str, str]:
