@@ -23,6 +23,10 @@ def test_answers(store):
     assert ask(store, "SELECT ?s ?l WHERE { ?s e:n ?n OPTIONAL { ?s e:l ?l } }") == [("http://e/#a", "hi # there"), ("http://e/#b", "")]
     assert ask(store, "SELECT (SUM(?n) AS ?t) WHERE { ?s e:n ?n }") == [("15",)]
     assert len(ask(store, "SELECT ?x ?y WHERE { ?x e:up+ ?y }")) == 9
+    every = [("http://e/#a",), ("http://e/#b",), ("http://e/#c",)]
+    for bound in ("e:a e:up+ ?x", "?x e:up+ e:c", "e:b ^e:up+ ?x", "?x (^e:up)+ e:b", "e:a e:up* ?x"):
+        assert [r for r in ask(store, "SELECT DISTINCT ?x WHERE { " + bound + " }") if r in every] == every, bound
+    assert ask(store, "SELECT ?x WHERE { e:a e:n+ ?x }") == [("5",)] and ask(store, "SELECT ?x WHERE { ?x e:n+ e:zz }") == []
     assert ask(store, "SELECT ?x WHERE { ?x e:up/e:up e:c }") == [("http://e/#a",)]
     assert ask(store, "SELECT ?x WHERE { e:b ^e:up ?x }") == [("http://e/#a",)]
     assert ask(store, "SELECT ?g WHERE { GRAPH ?g { ?s e:n 10 } }") == [("h",)] and ask(store, "SELECT ?g WHERE { GRAPH ?g { ?s e:n ?n FILTER(?n = 10) } }") == [("h",)]
