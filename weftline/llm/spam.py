@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from ..plans.spread import spread
 from ..plans.storage import Scratch
 
-#: The most frequent function words of the languages (fixed values); text in kana has no words and is judged by its share of kana and kanji.
+#: The most frequent function words of the languages (fixed values); text in kana has no such words and is judged by its share of Latin letters.
 FUNCTION_WORDS = {
     "en": "the of and to a in is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their we him been has when who will no more if out so up said what its about than into them can only other time new some could these two may first then do any like my now over such our me even most made after also well before must through where why because here your i you'll it's can't don't didn't how should until unless while both each few many same very just too once during between own every still again off",
     "de": "der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum kann wenn alle nur ob war haben sein ihre ihr seine oder vor durch man sehr zur mehr doch wir uns unsere ich mich wer was aber bis diese dieser dieses jede jeder jedes keine kein keinen beide können könnte sollen soll wollen will mag darf dürfen sieht nie immer selbst solche einige viele andere alles lassen lässt müssen muss hatten hatte früher heute wurde weil denn damit sobald bevor gegen ohne unter zwischen wieder schon dort hier beim vom ins warum weniger als",
@@ -42,8 +42,10 @@ _ALL = frozenset().union(*_SETS.values())
 _LANGUAGES = {w: tuple(lang for lang, s in _SETS.items() if w in s) for w in _ALL}
 #: A part is no sentence below this share of its language's usual share of function words.
 LIMIT_SHARE = 0.33
-#: The limit of a language with fewer texts than this, or of kana, where words cannot be counted.
+#: The limit of a language with fewer texts than this.
 LEAST_TEXTS, DEFAULT_LIMIT = 50, 0.11
+#: A Japanese part is keywords from this share of Latin letters on where too few texts tell; else from half way between what is usual and all.
+LATIN_HEAVY = 0.55
 #: A part with a higher share of function words and no other word as frequent as this is made of sentences, however often it says their phrases.
 SURE_SHARE, TOP_WORD = 0.30, 0.075
 #: Share of its words in keyword phrases that makes a sentence a dressed-up keyword: with few function words (under FEW), where it says a phrase twice, and in any case.
@@ -227,8 +229,13 @@ def _is_code(part: str) -> bool:
     return digits >= 0.3 * n and not _PRODUCT.search(part)
 
 
-def kana_share(text: str, lang: str = "kana", limit: float = DEFAULT_LIMIT) -> float:
-    """As keyword_share for Japanese: parts in which Latin keywords outweigh kana and kanji, if the keywords are said again or the parts make a list."""
+def latin_share(text: str) -> float:
+    """Share of a text's characters in words of Latin letters."""
+    return sum(len(w) for w in _WORD.findall(text) if w.isascii()) / max(1, len(text.strip()))
+
+
+def kana_share(text: str, heavy_from: float = LATIN_HEAVY) -> float:
+    """As keyword_share for Japanese: parts that are Latin words from a share of heavy_from on, if these are said again or the parts make a list."""
     total, found, lines = _take_lines(text)
     parts = []
     for line in _TAG.sub(" ", "\n".join(lines)).split("\n"):
@@ -237,7 +244,7 @@ def kana_share(text: str, lang: str = "kana", limit: float = DEFAULT_LIMIT) -> f
         else:
             parts += [(len(p.strip()), _KANA.findall(p), [w.lower() for w in _WORD.findall(p) if w.isascii()]) for p in _parts(line) if not _is_code(p)]
     pairs = Counter(p for _, _, latin in parts for p in zip(latin, latin[1:]))
-    heavy = [sum(map(len, latin)) > 0.55 * n and sum(w in _SETS["en"] for w in latin) < 2 * limit * len(latin) for n, _, latin in parts]
+    heavy = [sum(map(len, latin)) > heavy_from * n and sum(w in _SETS["en"] for w in latin) < 2 * DEFAULT_LIMIT * len(latin) for n, _, latin in parts]
     listed = sum(h and not kana for h, (_, kana, _) in zip(heavy, parts)) >= 4
     for h, (n, kana, latin) in zip(heavy, parts):
         total += n
@@ -246,8 +253,8 @@ def kana_share(text: str, lang: str = "kana", limit: float = DEFAULT_LIMIT) -> f
     return found / total if total else 0.0
 
 
-#: No language's limit is above this (its usual share of function words being at most 1), nor its limit of repeated parts below this: what is not found under both is never found.
-MOST_LIMIT, LEAST_REPEATED = LIMIT_SHARE, 1 - NEW_SHARE
+#: No language's limit is above this (its usual share of function words being at most 1), nor its limit of repeated parts, nor of Latin letters, below these: what is not found under them is never found.
+MOST_LIMIT, LEAST_REPEATED, LEAST_HEAVY = LIMIT_SHARE, 1 - NEW_SHARE, 0.5
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +265,11 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not t or t.isspace():
                 continue
             lang, share, _, words = measure(t)
-            most = kana_share(t) if lang == "kana" else keyword_share(t, lang, MOST_LIMIT, LEAST_REPEATED)
+            if lang == "kana":
+                # no spaces part its words, so characters are counted and Latin letters told
+                share, words, most = latin_share(t), len(t), kana_share(t, LEAST_HEAVY)
+            else:
+                most = keyword_share(t, lang, MOST_LIMIT, LEAST_REPEATED)
             keep.append(i)
             langs.append(lang)
             shares.append(share)
@@ -275,7 +286,8 @@ def keyword_pages(documents: DataFrame, key: str = "doc_id", text: str = "text")
     found. A row delivered twice is judged twice. Other columns are not read. An empty table gives no
     rows. Each language's limit is LIMIT_SHARE times the median share of
     function words of its texts of 20 words and more, over all documents, and so is the
-    limit of repeated parts from their median share; at most two numbers per
+    limit of repeated parts from their median share; that of Japanese is half
+    way between the median share of Latin letters and all. At most two numbers per
     language of FUNCTION_WORDS is brought to the driver. Every text is judged
     under the widest limits there can be; the ones found then, which are
     written down, are judged again under their language's.
@@ -284,13 +296,14 @@ def keyword_pages(documents: DataFrame, key: str = "doc_id", text: str = "text")
     numbers = [T.StructField(c, T.DoubleType() if c in ("share", "again") else T.LongType() if c == "words" else T.StringType()) for c in ("lang", "share", "words", "again", "text")]
     measured = Scratch(documents.sparkSession, "spam").keep(one.mapInArrow(_measure, T.StructType([one.schema["key"], *numbers])))
     usual = measured.where(F.col("words") >= 20).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("share", 0.5, 1000).alias("m"), F.percentile_approx("again", 0.5, 1000).alias("again")).collect()
-    limits = {r["lang"]: (max(0.08, LIMIT_SHARE * r["m"]), 1 - NEW_SHARE * (1 - r["again"])) for r in usual if r["n"] >= LEAST_TEXTS and r["lang"] != "kana"}
+    limits = {r["lang"]: (max(0.08, LIMIT_SHARE * r["m"]), 1 - NEW_SHARE * (1 - r["again"])) for r in usual if r["n"] >= LEAST_TEXTS}
+    heavy = next(((1 + r["m"]) / 2 for r in usual if r["lang"] == "kana" and r["n"] >= LEAST_TEXTS), LATIN_HEAVY)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep, shares = [], []
             for i, (lang, t) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
-                share = kana_share(t) if lang == "kana" else keyword_share(t, lang, *limits.get(lang, (DEFAULT_LIMIT,)))
+                share = kana_share(t, heavy) if lang == "kana" else keyword_share(t, lang, *limits.get(lang, (DEFAULT_LIMIT,)))
                 if share > 0.5:
                     keep.append(i)
                     shares.append(share)
