@@ -10,9 +10,9 @@ from weftline.operators import relations as R
 from weftline.operators import site as S
 
 TEXT = (
-    "Acme Platform offers Automated Invoicing and Subscription Management capabilities. It eliminates manual spreadsheets and replaces manual journal entries. Built for Enterprise and High-Growth SaaS finance teams. "
-    "Leading solution for SaaS and FinTech companies. Our Cloud-Native and Multi-Tenant SaaS platform is SOC 2 Type II certified and ISO 27001 compliant. Provides a developer-first REST API and Webhooks for integration. "
-    "Available in the United States and European Union with multi-currency support. Backed by a 99.99% Uptime guarantee with 24/7 Support. Migrate from Zuora and Chargebee seamlessly."
+    "Lorka offers Automated Invoicing beside Subscription Management. Their clerks eliminate manual journal entries this way. Designed for Enterprise and High-Growth SaaS buyers. FinTech firms rely on it. "
+    "This Cloud-Native, Multi-Tenant service is SOC 2 Type II certified, and ISO 27001 audits follow each spring. Developers get a REST API and Webhooks. Lorka is available in the United States and all of the European Union. "
+    "A 99.99% uptime guarantee comes with 24/7 Support. Migrate from Zuora or Chargebee within days."
 )
 
 
@@ -67,9 +67,9 @@ def one(spark, value, f):
 def test_scalar_rules(spark):
     for label, name in {"Pricing Model": "PricingModel", "PricingModel": "PricingModel", "Software Platform": "SoftwarePlatform", "integration_partner": "IntegrationPartner", "API Standard": "APIStandard", "SLA Commitment": "SLA", "Billing Feature": "Feature", "Product Feature": "Feature", "Accounting Standard": "Standard", "Geographic Market": "Place", "Customer Segment": "Segment", "": "Entity", None: "Entity"}.items():
         assert one(spark, label, K.canonical_class) == name, label
-    for glued, plain in {"ByOrdway LabsDecember 2, 2025": "By Ordway Labs December 2, 2025", "BySteve KeiferJune 15, 2023 May 11th, 2026Healthcare": "By Steve Keifer June 15, 2023 May 11th, 2026 Healthcare", "Sameer GulatiCEO": "Sameer Gulati CEO", "Subbu VenkiteswaranSVP": "Subbu Venkiteswaran SVP", "BlogUsage-Based Billing": "Blog Usage-Based Billing", "": "", None: None}.items():
+    for glued, plain in {"ByLorka BimexDecember 2, 2025": "By Lorka Bimex December 2, 2025", "ByTandrel ZuhaistJune 15, 2023 in May 2026Dental": "By Tandrel Zuhaist June 15, 2023 in May 2026 Dental", "Mara VukandCEO": "Mara Vukand CEO", "Piet SorbelSVP": "Piet Sorbel SVP", "BlogPer-Seat Plans": "Blog Per-Seat Plans", "": "", None: None}.items():
         assert one(spark, glued, T.repair_glued_words) == plain, glued
-    for same in ("HubSpot", "QuickBooks", "ChurnZero", "LinkedIn", "DigitalOcean", "Bylaws", "ByteDance", "the MayApple plan", "ASC 606 in 2025 was adopted"):
+    for same in ("HubSpot", "QuickBooks", "ChurnZero", "LinkedIn", "DigitalOcean", "Bylaws", "Byways", "a MayFly note", "it came in 2025 and stayed"):
         assert one(spark, same, T.repair_glued_words) == same
     for entry, names in {"Maxio (formerly SaaSOptics)": ["maxio", "saasoptics"], "SaaSOptics / Maxio": ["saasoptics", "maxio"], "Maxio aka SaaSOptics": ["maxio", "saasoptics"], "Zuora, Inc.": ["zuora inc."], "AT&T  Corp": ["at&t corp"], "": []}.items():
         assert one(spark, entry, K.company_names) == names, entry
