@@ -43,6 +43,18 @@ def test_scores(spark):
     assert spark.range(1).select(scores.discovery_confidence(F.lit(8), F.lit(2), F.lit(4), F.lit(2))).first()[0] == 0.85
 
 
+def test_archive_files(spark, tmp_path):
+    """Files follow the data and not the number of graphs; names with any sign lead to their lines."""
+    names = [f"g{i}" for i in range(40)] + ["a\tb%09\n", "é"]
+    q = spark.createDataFrame([(g, "http://s", "uri", "http://p", g, "literal", None, None) for g in names], "graph_id string, s string, s_kind string, p string, o string, o_kind string, o_datatype string, o_lang string")
+    g = spark.createDataFrame([(x, "run") for x in [*names, "empty"]], "graph_id string, kind string")
+    at = tmp_path / "many"
+    archive.publish(q, g, f"file://{at}")
+    assert len([p for p in at.rglob("part-*") if not p.name.startswith(".")]) < 20
+    fresh, quads = archive.sync(spark, g.where("graph_id = 'g3'"), f"file://{at}")
+    assert fresh.count() == 42 and sorted((r.graph_id, r.o) for r in quads.collect()) == sorted((x, x) for x in names if x != "g3")
+
+
 def test_archive(spark, tmp_path):
     q = spark.createDataFrame([("g1", "http://s", "uri", "http://p", "o", "literal", None, None)], "graph_id string, s string, s_kind string, p string, o string, o_kind string, o_datatype string, o_lang string")
     g = spark.createDataFrame([("g1", "run", "d")], "graph_id string, kind string, domain string")

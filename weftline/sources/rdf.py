@@ -46,8 +46,14 @@ def ntriples(quads: DataFrame) -> DataFrame:
     return quads.select("graph_id", F.concat(term(F.col("s"), F.col("s_kind")), F.lit(" <"), F.col("p"), F.lit("> "), term(F.col("o"), F.col("o_kind"), F.col("o_datatype"), F.col("o_lang")), F.lit(" .")).alias("value"))
 
 
+def _escaped(value: Column) -> Column:
+    for sign, code in (("\\", r"\\"), ('"', r"\""), ("\n", r"\n"), ("\r", r"\r")):
+        value = F.replace(value, F.lit(sign), F.lit(code))
+    return value
+
+
 def term(value: Column, kind: Column, datatype: Column | None = None, lang: Column | None = None) -> Column:
-    quoted = F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, r"\\", r"\\\\"), '"', r'\\"'), "\n", r"\\n"), "\r", r"\\r"), F.lit('"'))
+    quoted = F.concat(F.lit('"'), _escaped(value), F.lit('"'))
     tail = F.lit("")
     if datatype is not None and lang is not None:
         tail = F.when(datatype.isNotNull(), F.concat(F.lit("^^<"), datatype, F.lit(">"))).when(lang.isNotNull(), F.concat(F.lit("@"), lang)).otherwise("")
