@@ -118,3 +118,19 @@ def test_site_graphs(spark):
     assert {(r.domain, r.metadata) for r in made.headers.collect()} == {("a.example", '{"pages_crawled":2,"nodes":2,"edges":2}'), ("b.example", '{"pages_crawled":1,"nodes":0,"edges":0}')}
     assert {r.graph_id for r in made.quads.select("graph_id").distinct().collect()} == {"https://a.example/audit/20250601T120000Z"}
     assert {(r.target_type, r.n) for r in made.schema.collect()} == {("Feature", 1), ("Process", 1)}
+
+
+def test_ontology_finds_facts_once(spark):
+    """Facts are made once however often they are read, and no quad is said twice where names meet."""
+    made = spark.sparkContext.accumulator(0)
+
+    def slow(text):
+        made.add(1)
+        return text
+
+    rows = [("g", "EnterprisePlatform", "hasFeature", o, 0.9, "e") for o in ("Enterprise Platform", "hasFeature", "PricingModel", "Other")] + [("h", "EnterprisePlatform", "odd", "EnterprisePlatform", 0.9, None), ("i", None, "odd", "Platform", 0.5, None)]
+    facts = spark.createDataFrame(rows, "graph string, vendor string, predicate string, object string, confidence double, evidence string")
+    got = [tuple(r) for r in O.owl_of_relations(facts.withColumn("object", F.udf(slow)("object")), "graph", "vendor").collect()]
+    assert made.value == len(rows)
+    assert len(got) == len(set(got)) and {g for g, *_ in got} == {"g", "h", "i"}
+    assert ("g", "onto:EnterprisePlatform", "rdfs:label", "Enterprise Platform", "literal") in got and ("i", "onto:Platform", "schema:knowsAbout", "onto:Platform", "uri") in got

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import Scratch
 from .extraction import EVIDENCE
 
 #: Classes with what they are (fixed values).
@@ -63,13 +64,15 @@ def owl_of_relations(facts: DataFrame, graph: str, vendor: str) -> DataFrame:
     """
     spark = facts.sparkSession
     rows = facts.where(F.col(graph).isNotNull()).select(F.col(graph).alias("graph_id"), F.col(vendor).alias("vendor"), "predicate", "object", "confidence", F.substring("evidence", 1, EVIDENCE).alias("evidence"), local_name(F.col("object")).alias("name"))
+    # facts may cost much to find, and are read for the vendors and for the individuals
+    rows = Scratch(spark, "ontology").keep(rows)
     platform = rows.groupBy("graph_id").agg(F.min("vendor").alias("vendor")).withColumn("me", F.concat(F.lit("onto:"), F.coalesce(F.nullif(local_name(F.col("vendor")), F.lit("")), F.lit("Platform"))))
-    schema = spark.createDataFrame(schema_rows(), "s string, p string, o string, o_kind string")
-    listed = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("s", "p", "o", "o_kind"), r)]) for r in map(tuple, schema.collect())])
+    listed = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("s", "p", "o", "o_kind"), r)]) for r in dict.fromkeys(schema_rows())])
     quad = lambda s, p, o, kind: F.struct(s.alias("s"), (F.lit(p) if isinstance(p, str) else p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"))
     named = F.array(quad(F.col("me"), _TYPE, F.lit("owl:NamedIndividual"), "uri"), quad(F.col("me"), _TYPE, F.lit("onto:EnterprisePlatform"), "uri"), F.when(F.col("vendor").isNotNull(), quad(F.col("me"), "rdfs:label", F.col("vendor"), "literal")))
-    base = platform.select("graph_id", F.explode(F.concat(listed, F.array_compact(named))).alias("q"))
-    best = rows.where("name <> ''").groupBy("graph_id", "name").agg(F.min_by(F.struct("predicate", "object", "evidence"), F.struct(-F.col("confidence"), "predicate", "object")).alias("f")).join(platform, "graph_id")
+    best = rows.where("name <> ''").groupBy("graph_id", "name").agg(F.min_by(F.struct("predicate", "object", "evidence"), F.struct(-F.col("confidence"), "predicate", "object")).alias("f"))
+    # a row without a name stands for the graph itself, so that a graph's quads are made in one place and need no shuffle
+    best = best.unionByName(platform.select("graph_id"), allowMissingColumns=True).join(platform, "graph_id")
     prop, kind = F.lit(OTHER[0]), F.lit("onto:" + OTHER[1])
     for predicate, name, _, to in PROPERTIES:
         if predicate:
@@ -79,8 +82,13 @@ def owl_of_relations(facts: DataFrame, graph: str, vendor: str) -> DataFrame:
         quad(it, _TYPE, F.lit("owl:NamedIndividual"), "uri"), quad(it, _TYPE, kind, "uri"), quad(it, "rdfs:label", F.col("f.object"), "literal"), quad(F.col("me"), prop, it, "uri"),
         F.when(F.col("f.evidence").isNotNull(), quad(it, "onto:evidenceSentence", F.col("f.evidence"), "literal")),
     )
-    individuals = best.select("graph_id", F.explode(F.array_compact(made)).alias("q"))
-    return base.unionByName(individuals).select("graph_id", "q.*").distinct()
+    # the classes and properties are different quads, and so are those of different individuals: only a vendor or an
+    # individual named like a class or property, and an individual named like the vendor, can say something twice
+    taken = sorted({r[0].removeprefix("onto:") for r in schema_rows()})
+    platforms = F.when(F.col("me").isin(*[f"onto:{t}" for t in taken]), F.array_except(F.array_compact(named), listed)).otherwise(F.array_compact(named))
+    own = F.when(F.col("name").isin(*taken), F.array_except(F.array_compact(made), listed)).otherwise(F.array_compact(made))
+    own = F.when(it == F.col("me"), F.array_except(own, F.array_compact(named))).otherwise(own)
+    return best.select("graph_id", F.explode(F.when(F.col("name").isNull(), F.concat(listed, platforms)).otherwise(own)).alias("q")).select("graph_id", "q.*")
 
 
 def changed_labels(concepts: DataFrame, approved: DataFrame, withdrawn: DataFrame) -> DataFrame:
