@@ -3,9 +3,13 @@
 import json
 import math
 import random
+import time
+
+from pyspark.sql import GroupedData
 
 from weftline.operators import ranking, vocabulary
 from weftline.sources import rdf
+from weftline.streaming import folds
 
 QUAD = "graph_id string, s string, s_kind string, p string, o string, o_kind string, o_datatype string, o_lang string"
 
@@ -74,3 +78,22 @@ def test_long_forms_are_found(spark):
     forms = spark.createDataFrame([("one two three four five six seven eight nine", "c1"), ("three four", "c2")], "form string, concept_id string")
     texts = spark.createDataFrame([(1, "Zero one, two three four five six seven eight nine ten."), (2, None)], "id int, text string")
     assert {(r.id, r.concept_id) for r in vocabulary.occurrences(texts, ["id"], forms).collect()} == {(1, "c1"), (1, "c2")}
+
+
+def test_streamed_blocks_in_many_batches(spark, tmp_path, monkeypatch):
+    """Each batch knows what all earlier ones showed, without Python for each block; null pages and texts are left out."""
+    pages = [(p, f"s{p % 2}" if p % 7 else None, f"Block {p % 3} of all\nBlock {p % 3} of all\r\nOnly page {p}\nshort") for p in range(24)] + [(None, "s0", "Block 0 of all"), (24, "s0", None)]
+    for i in range(0, len(pages), 2):
+        spark.createDataFrame(pages[i : i + 2], "doc_id bigint, source string, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/t")
+        time.sleep(0.02)
+    # a block has a line or two, so a call of Python for each is most of the work
+    monkeypatch.setattr(GroupedData, "applyInPandasWithState", None)
+    stream = folds.read_table(spark, f"file://{tmp_path}/t", files=2)
+    got = folds.repeated_blocks(stream, "source", "doc_id", "text")
+    rows = got.collect()
+    shown, n = {}, 0
+    for r in rows:
+        shown.setdefault((r.site, r.key), {}).setdefault(r.page, set()).add(r.dropped)
+    for held in shown.values():
+        assert all(len(v) == 1 for v in held.values()) and sum(not v.pop() for v in held.values()) == min(2, len(held))
+    assert len(rows) == 24 * 3 and got.where("page is null").count() == 0

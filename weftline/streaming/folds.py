@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as tx
 from ..operators import quads as store
+from ..plans.skew import lookup_join
 from ..plans.storage import Scratch, is_file
 
 
@@ -63,26 +64,44 @@ def append_quads(quads: DataFrame) -> DataFrame:
 def repeated_blocks(pages: DataFrame, site: str, page: str, text: str, least: int = 3) -> DataFrame:
     """(site, page, pos, key, dropped) of a stream of pages: a block that ``least`` pages have shown by then is dropped, its own page counted.
 
-    State is a count for each site and block. Pages of a batch are taken in the order of ``page``.
+    State is a count for each site and block, written by each batch for the batches that a binary indexed tree puts
+    under its number: a batch reads the counts of as many tables as its number has binary ones, and writing one again
+    changes nothing. Pages of a batch are taken in the order of ``page``; null pages are left out.
     """
-    blocks = pages.where(F.col(text).isNotNull()).select(F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.col(page).alias("page"), F.posexplode(F.split(F.col(text), r"\r\n|\r|\n")).alias("pos", "line"))
-    keyed = blocks.select("site", "page", "pos", tx.block_key(F.col("line")).alias("key")).where(F.col("key").isNotNull())
-
-    def count(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = state.get[0] if state.exists else 0
-        rows = pd.concat(list(parts)).sort_values(["page", "pos"])
-        out = []
-        for number, part in rows.groupby("page", sort=True):
-            seen += 1
-            out += [(group[0], number, p, group[1], seen >= least) for p in part["pos"]]
-        state.update((seen,))
-        yield pd.DataFrame(out, columns=["site", "page", "pos", "key", "dropped"])
-
-    judged = keyed.groupBy("site", "key").applyInPandasWithState(count, "site string, page bigint, pos int, key string, dropped boolean", "seen bigint", "append", GroupStateTimeout.NoTimeout)
-    scratch = Scratch(pages.sparkSession, "blocks")
-    out = f"{scratch.root}/judged"
-    run(judged, scratch, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/at={n:06d}"))
-    return pages.sparkSession.read.parquet(out).drop("at")
+    spark = pages.sparkSession
+    scratch = Scratch(spark, "blocks")
+    on = ["site", "key"]
+
+    def counted(upto: int, above: int = 0) -> DataFrame:
+        """(site, key, n) of the batches from ``above`` on and below ``upto``."""
+        paths = []
+        while upto > above:
+            paths.append(f"{scratch.root}/state/at={upto - 1:06d}")
+            upto &= upto - 1
+        return scratch.read("site string, key string, n bigint", *paths)
+
+    def judge(batch: DataFrame, number: int) -> None:
+        blocks = batch.where(F.col(text).isNotNull() & F.col(page).isNotNull()).select(F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.col(page).cast("bigint").alias("page"), F.posexplode(F.split(F.col(text), r"\r\n|\r|\n")).alias("pos", "line"))
+        at = f"{scratch.root}/keyed/at={number:06d}"
+        blocks.select("site", "page", "pos", tx.block_key(F.col("line")).alias("key")).where(F.col("key").isNotNull()).write.mode("overwrite").parquet(at)
+        keyed = scratch.read("site string, page bigint, pos int, key string", at)
+        shown = keyed.select(*on, "page").distinct()
+        first = shown.withColumn("turn", F.row_number().over(Window.partitionBy(*on).orderBy("page"))).where(F.col("turn") <= least)
+        first = first.groupBy(*on).agg(F.sort_array(F.collect_list("page")).alias("first"))
+        before = counted(number).groupBy(*on).agg(F.sum("n").alias("seen"))
+        # the page from which on a block is dropped: null where fewer have shown it, the first of all where enough had before
+        limit = F.get("first", F.greatest(F.lit(least - 1) - F.coalesce("seen", F.lit(0)), F.lit(0)).cast("int"))
+        limits = first.join(before, on, "left").select(*on, limit.alias("limit"))
+        judged = lookup_join(keyed, limits, on, "left").select("site", "page", "pos", "key", F.coalesce(F.col("page") >= F.col("limit"), F.lit(False)).alias("dropped"))
+        judged.write.mode("overwrite").parquet(f"{scratch.root}/judged/at={number:06d}")
+        # the batches below this one that its table takes over
+        own = shown.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+        whole = own.unionByName(counted(number, (number + 1) & number)).groupBy(*on).agg(F.sum("n").alias("n"))
+        whole.write.mode("overwrite").parquet(f"{scratch.root}/state/at={number:06d}")
+        scratch.drop(at)
+
+    run(pages, scratch, judge)
+    return spark.read.schema("site string, page bigint, pos int, key string, dropped boolean").parquet(f"{scratch.root}/judged/*")
 
 
 def page_yield(reads: DataFrame, patience: int = 6, weight: float = 2.0) -> DataFrame:
