@@ -134,3 +134,21 @@ def test_ontology_finds_facts_once(spark):
     assert made.value == len(rows)
     assert len(got) == len(set(got)) and {g for g, *_ in got} == {"g", "h", "i"}
     assert ("g", "onto:EnterprisePlatform", "rdfs:label", "Enterprise Platform", "literal") in got and ("i", "onto:Platform", "schema:knowsAbout", "onto:Platform", "uri") in got
+
+
+def test_texts_are_read_once(spark):
+    """Where every fact has its sentence, the texts are searched once."""
+    docs = spark.createDataFrame([(1, TEXT)], "id int, text string")
+    plan = R.relations(docs, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode(") == 1
+
+
+def test_counts_of_ontologies(spark):
+    """Counts by predicate are those of the quads, also where vendors and objects are named like classes, properties and each other."""
+    named = ["ProductFeature", "hasFeature", "Lorka", "--", "Data Export", "data export"]
+    rows = [(g, v, p, o, 0.9, e) for g, v in (("a", "Lorka"), ("b", "CustomerSegment"), ("c", None), ("d", "!"), (None, "x")) for p in ("hasFeature", "targetsSegment", "hasCustomer") for o, e in zip(named, ("x", None) * 3)]
+    facts = spark.createDataFrame([*rows, ("e", "Tandrel", "hasFeature", "--", 0.9, None), ("f", "hasFeature", "automates", "automatesWorkflow", 0.5, "y")], "graph string, vendor string, predicate string, object string, confidence double, evidence string")
+    want = O.owl_of_relations(facts, "graph", "vendor").groupBy("graph_id", "p").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("s").alias("subjects"))
+    got = sorted(tuple(r) for r in O.owl_counts(facts, "graph", "vendor").collect())
+    assert got == sorted(tuple(r) for r in want.collect()) and len({g[0] for g in got}) == 6
+    assert O.owl_counts(facts.limit(0), "graph", "vendor").count() == 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import Scratch
@@ -54,25 +54,27 @@ def local_name(c: Column) -> Column:
     return F.regexp_replace(c, "[^a-zA-Z0-9]+", "")
 
 
-def owl_of_relations(facts: DataFrame, graph: str, vendor: str) -> DataFrame:
-    """(graph_id, s, p, o, o_kind): the ontology of each graph of facts (graph, vendor, predicate, object, confidence, evidence).
+def _listed() -> list[tuple[str, str, str, str]]:
+    return list(dict.fromkeys(schema_rows()))
 
-    Every graph has the classes and properties, its vendor as the platform, and
-    an individual for each object: of objects with one name the fact of the greatest confidence stands, then
-    the one first by predicate and object. Objects and graphs without a letter or digit
-    give no individual; a vendor without one is called Platform.
-    """
-    spark = facts.sparkSession
-    rows = facts.where(F.col(graph).isNotNull()).select(F.col(graph).alias("graph_id"), F.col(vendor).alias("vendor"), "predicate", "object", "confidence", F.substring("evidence", 1, EVIDENCE).alias("evidence"), local_name(F.col("object")).alias("name"))
-    # facts may cost much to find, and are read for the vendors and for the individuals
-    rows = Scratch(spark, "ontology").keep(rows)
-    platform = rows.groupBy("graph_id").agg(F.min("vendor").alias("vendor")).withColumn("me", F.concat(F.lit("onto:"), F.coalesce(F.nullif(local_name(F.col("vendor")), F.lit("")), F.lit("Platform"))))
-    listed = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("s", "p", "o", "o_kind"), r)]) for r in dict.fromkeys(schema_rows())])
+
+def _facts(facts: DataFrame, graph: str, vendor: str) -> DataFrame:
+    return facts.where(F.col(graph).isNotNull()).select(F.col(graph).alias("graph_id"), F.col(vendor).alias("vendor"), "predicate", "object", "confidence", F.substring("evidence", 1, EVIDENCE).alias("evidence"), local_name(F.col("object")).alias("name"))
+
+
+def _best() -> Column:
+    return F.min_by(F.struct("predicate", "object", "evidence"), F.struct(-F.col("confidence"), "predicate", "object")).alias("f")
+
+
+def _me() -> Column:
+    return F.concat(F.lit("onto:"), F.coalesce(F.nullif(local_name(F.col("vendor")), F.lit("")), F.lit("Platform")))
+
+
+def _quads() -> tuple[Column, Column, Column]:
+    """The quads (s, p, o, o_kind) of the classes and properties, those of a graph's platform (me, vendor), and those of an individual (me, vendor, name, f), each once: the second without the first, the third without both."""
+    listed = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("s", "p", "o", "o_kind"), r)]) for r in _listed()])
     quad = lambda s, p, o, kind: F.struct(s.alias("s"), (F.lit(p) if isinstance(p, str) else p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"))
     named = F.array(quad(F.col("me"), _TYPE, F.lit("owl:NamedIndividual"), "uri"), quad(F.col("me"), _TYPE, F.lit("onto:EnterprisePlatform"), "uri"), F.when(F.col("vendor").isNotNull(), quad(F.col("me"), "rdfs:label", F.col("vendor"), "literal")))
-    best = rows.where("name <> ''").groupBy("graph_id", "name").agg(F.min_by(F.struct("predicate", "object", "evidence"), F.struct(-F.col("confidence"), "predicate", "object")).alias("f"))
-    # a row without a name stands for the graph itself, so that a graph's quads are made in one place and need no shuffle
-    best = best.unionByName(platform.select("graph_id"), allowMissingColumns=True).join(platform, "graph_id")
     prop, kind = F.lit(OTHER[0]), F.lit("onto:" + OTHER[1])
     for predicate, name, _, to in PROPERTIES:
         if predicate:
@@ -88,9 +90,59 @@ def owl_of_relations(facts: DataFrame, graph: str, vendor: str) -> DataFrame:
     platforms = F.when(F.col("me").isin(*[f"onto:{t}" for t in taken]), F.array_except(F.array_compact(named), listed)).otherwise(F.array_compact(named))
     own = F.when(F.col("name").isin(*taken), F.array_except(F.array_compact(made), listed)).otherwise(F.array_compact(made))
     own = F.when(it == F.col("me"), F.array_except(own, F.array_compact(named))).otherwise(own)
+    return listed, platforms, own
+
+
+def owl_of_relations(facts: DataFrame, graph: str, vendor: str) -> DataFrame:
+    """(graph_id, s, p, o, o_kind): the ontology of each graph of facts (graph, vendor, predicate, object, confidence, evidence).
+
+    Every graph has the classes and properties, its vendor as the platform, and
+    an individual for each object: of objects with one name the fact of the greatest confidence stands, then
+    the one first by predicate and object. Objects and graphs without a letter or digit
+    give no individual; a vendor without one is called Platform.
+    """
+    spark = facts.sparkSession
+    # facts may cost much to find, and are read for the vendors and for the individuals
+    rows = Scratch(spark, "ontology").keep(_facts(facts, graph, vendor))
+    platform = rows.groupBy("graph_id").agg(F.min("vendor").alias("vendor")).withColumn("me", _me())
+    best = rows.where("name <> ''").groupBy("graph_id", "name").agg(_best())
+    # a row without a name stands for the graph itself, so that a graph's quads are made in one place and need no shuffle
+    best = best.unionByName(platform.select("graph_id"), allowMissingColumns=True).join(platform, "graph_id")
+    listed, platforms, own = _quads()
     return best.select("graph_id", F.explode(F.when(F.col("name").isNull(), F.concat(listed, platforms)).otherwise(own)).alias("q")).select("graph_id", "q.*")
 
 
+def owl_counts(facts: DataFrame, graph: str, vendor: str) -> DataFrame:
+    """(graph_id, p, n, subjects): the quads of owl_of_relations and their different subjects, counted by predicate in each graph.
+
+    The classes and properties are the same quads in every graph, so they are
+    counted once and not made for each; a subject among them that a graph's own quads have too counts
+    once. Facts are read once, and those of a graph are counted where they are if they are together.
+    """
+    rows = _facts(facts, graph, vendor)
+    best = rows.groupBy("graph_id", "name").agg(_best(), F.min("vendor").alias("vendor"))
+    by_name = Window.partitionBy("graph_id").orderBy("name")
+    whole = by_name.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    best = best.select("graph_id", "name", "f", F.min("vendor").over(whole).alias("vendor"), F.row_number().over(by_name).alias("nth")).withColumn("me", _me())
+    _, platforms, own = _quads()
+    schema = _listed()
+    subjects_of = {p: sorted({r[0] for r in schema if r[1] == p}) for p in dict.fromkeys(r[1] for r in schema)}
+    known = F.lit(False)
+    for p, subjects in subjects_of.items():
+        known = known | ((F.col("p") == p) & F.col("s").isin(*subjects))
+    # each graph's first row brings the platform's quads and the schema's counts, which have no subject
+    row = lambda p, s, n, k: F.struct(p.alias("p"), s.cast("string").alias("s"), F.lit(n).cast("bigint").alias("n"), F.lit(k).cast("bigint").alias("schema"))
+    none = F.array().cast("array<struct<p:string,s:string,n:bigint,schema:bigint>>")
+    counts = F.array(*[row(F.lit(p), F.lit(None), sum(r[1] == p for r in schema), len(subjects)) for p, subjects in subjects_of.items()])
+    _, platforms, own = _quads()
+    one = lambda q: row(q["p"], q["s"], 1, 0)
+    each = F.concat(F.when(F.col("nth") == 1, F.concat(counts, F.transform(platforms, one))).otherwise(none), F.when(F.col("name") != "", F.transform(own, one)).otherwise(none))
+    made = best.select("graph_id", F.explode(each).alias("q")).select("graph_id", "q.*")
+    by_subject = made.groupBy("graph_id", "p", "s").agg(F.sum("n").alias("n"), F.max("schema").alias("schema"))
+    new = F.when(F.col("s").isNull() | known, 0).otherwise(1)
+    return by_subject.groupBy("graph_id", "p").agg(F.sum("n").alias("n"), F.sum(F.col("schema") + new).alias("subjects"))
+
+
 def changed_labels(concepts: DataFrame, approved: DataFrame, withdrawn: DataFrame) -> DataFrame:
     """(vertical_id, id, altlabels): the concepts with the surface forms that reviewers approved and without those they withdrew.
 

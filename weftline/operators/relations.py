@@ -16,6 +16,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,6 +87,7 @@ PRICING_CUES = ("pricing", "bill", "billing", "model", "monetiz", "monetize", "p
 #: The shapes of sentences that name an object outside every list (fixed values).
 UPTIME = r"(\d{2,3}\.?\d*\s*%\s*uptime)"
 AT_COMPANY = r"(?i:\b(?:director|vp|vice president|head|chief|cfo|ceo|coo|cto|controller|manager|founder|owner)\b[^,.\n]{0,44}?\bat\s+)([A-Z][\w&.\-]*(?:\s+[A-Z][\w&.\-]*){0,3})"
+AT_WORDS = ("director", "vp", "vice president", "head", "chief", "cfo", "ceo", "coo", "cto", "controller", "manager", "founder", "owner")
 CASE_STUDY = r"\b([A-Z][\w&.\-]*(?:\s+[A-Z][\w&.\-]*){0,2})\s+(?i:(?:video\s+)?case study)\b"
 AUTOMATES = r"(?i)\b(?:automates?|automating|streamlines?)\s+([a-zA-Z0-9\-\s]{4,40}?)(?:\s+(?:for|across|in|with|to|and\s+eliminates|\.|\,|$))"
 CONNECTS = r"(?i)\b(?:integrates?\s+with|native\s+integration\s+with|connects?\s+to)\s+([A-Z][\w\.\-]+(?:\s+[A-Z][\w\.\-]+)?(?:\s*,\s*[A-Z][\w\.\-]+(?:\s+[A-Z][\w\.\-]+)?)*(?:\s+and\s+[A-Z][\w\.\-]+(?:\s+[A-Z][\w\.\-]+)?)?)"
@@ -139,35 +142,44 @@ def _literal(value: str) -> str:
 
 
 def _listed(low: Column, rules: tuple[Rule, ...]) -> Column:
-    """The facts of the lists in a sentence in lower case, as structs (step, rule, place, predicate, object, confidence)."""
-    rows, open_, cued, certain = [], [], [], []
+    """The facts of the lists in a sentence in lower case, as structs (step, rule, place, predicate, object, confidence).
+
+    A rule's terms are looked for only where the rule is open, and what is
+    found are places in a list of all facts there can be, which is a literal.
+    """
+    facts, found = [], []
+    none = F.array().cast("array<int>")
     for i, r in enumerate(rules):
-        gate = _has(low, r.cues) if r.cues and r.uncued is None else F.lit(True)
-        if r.unless:
-            gate = gate & ~_has(low, r.unless)
-        if r.beside:
-            gate = gate & _has(low, r.beside)
-        open_.append(gate)
-        cued.append(_has(low, r.cues) if r.uncued is not None else F.lit(True))
-        certain.append(_has(low, r.instead))
+        if not r.terms:
+            continue
+        first = len(facts)
+        facts += [(r.step, i, k, r.predicate, t, r.confidence) for k, t in enumerate(r.terms)]
+        plain, bare = [], []
         for k, t in enumerate(r.terms):
-            bare = t.lower().replace(" pricing", "").replace(" billing", "") if r.field == "pricing" else ""
-            rows.append((r.step, i, k, r.predicate, t, t.lower(), rf"\b{_literal(t.lower())}\b" if r.whole else "", bare, r.confidence, r.confidence if r.uncued is None else r.uncued))
-    names = ("step", "rule", "place", "predicate", "object", "low", "pattern", "bare", "cued", "uncued")
-    terms = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows])
-    # the tests of a sentence are bound to a variable, so that they are made once and not for every term
-    seen = F.array(F.struct(low.alias("low"), F.array(*open_).alias("open"), F.array(*cued).alias("cued"), F.array(*certain).alias("certain"), _has(low, PRICING_CUES).alias("priced")))
-
-    def found(x: Column) -> Column:
-        def holds(t: Column) -> Column:
-            stands = F.contains(x["low"], t["low"]) & ((t["pattern"] == "") | F.rlike(x["low"], t["pattern"]))
-            bare = (t["bare"] != "") & x["priced"] & F.contains(x["low"], t["bare"])
-            return F.element_at(x["open"], t["rule"] + 1) & (stands | bare | F.element_at(x["certain"], t["rule"] + 1))
-
-        made = lambda t: F.struct(t["step"].alias("step"), t["rule"].alias("rule"), t["place"].alias("place"), t["predicate"].alias("predicate"), t["object"].alias("object"), F.when(F.element_at(x["cued"], t["rule"] + 1), t["cued"]).otherwise(t["uncued"]).alias("confidence"))
-        return F.transform(F.filter(terms, holds), made)
-
-    return F.flatten(F.transform(seen, found))
+            stands = F.contains(low, F.lit(t.lower()))
+            if r.whole:
+                stands = stands & F.rlike(low, F.lit(rf"\b{_literal(t.lower())}\b"))
+            plain.append(F.when(stands, F.lit(first + k)))
+            name = t.lower().replace(" pricing", "").replace(" billing", "")
+            bare.append(F.when(stands | F.contains(low, F.lit(name)), F.lit(first + k)) if name else plain[-1])
+        hits = F.array_compact(F.array(*plain))
+        if r.field == "pricing":
+            hits = F.when(_has(low, PRICING_CUES), F.array_compact(F.array(*bare))).otherwise(hits)
+        if r.instead:
+            hits = F.when(_has(low, r.instead), F.array(*[F.lit(first + k) for k in range(len(r.terms))])).otherwise(hits)
+        if r.uncued is not None:
+            # the same facts with the other confidence stand behind; a lambda is resolved at once, so it sees this rule's values
+            facts += [(*f[:5], r.uncued) for f in facts[first:]]
+            hits = F.transform(hits, lambda j: F.when(_has(low, r.cues), j).otherwise(j + len(r.terms)))  # noqa: B023
+        gate = [_has(low, r.cues)] if r.cues and r.uncued is None else []
+        gate += [~_has(low, r.unless)] if r.unless else []
+        gate += [_has(low, r.beside)] if r.beside else []
+        found.append(F.when(reduce(and_, gate), hits).otherwise(none) if gate else hits)
+    if not found:
+        found = [none]
+    names = ("step", "rule", "place", "predicate", "object", "confidence")
+    listed = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in facts or [(0, 0, 0, "", "", 0.0)]])
+    return F.transform(F.concat(*found), lambda j: F.element_at(listed, j + 1))
 
 
 def _titled(c: Column) -> Column:
@@ -183,15 +195,18 @@ def _open(sentence: Column, low: Column, vendor: Column, partners: bool) -> Colu
     bare = lambda o: F.regexp_replace(o, "^[ ,.]+|[ ,.]+$", "")
     words = lambda o: F.filter(F.split(F.trim(F.lower(o)), r"\s+"), lambda w: ~w.isin(*_FILLERS))
     done = F.transform(F.filter(all_of(AUTOMATES), lambda o: F.size(words(o)).between(1, 4)), lambda o: _titled(F.array_join(words(o), " ")))
+    none = F.array().cast("array<struct<step:int,rule:int,place:int,predicate:string,object:string,confidence:double>>")
+    # a shape is searched for only where a word that each of its matches has stands
+    where = lambda words, facts: F.when(_has(low, words), facts).otherwise(none)
     kinds = [
-        F.transform(F.transform(F.slice(all_of(UPTIME, low), 1, 1), _titled), fact(13, 98, "guarantees", 0.90)),
-        F.transform(F.filter(F.transform(all_of(AT_COMPANY), bare), foreign), fact(16, 100, "hasCustomer", 0.86)),
-        F.transform(F.filter(F.transform(all_of(CASE_STUDY), bare), foreign), fact(16, 101, "hasCustomer", 0.82)),
-        F.transform(F.filter(done, lambda o: (F.length(o) >= 4) & foreign(o) & ~F.lower(o).rlike("http|www|cookie")), fact(17, 102, "automates", 0.80)),
+        where(("uptime",), F.transform(F.transform(F.slice(all_of(UPTIME, low), 1, 1), _titled), fact(13, 98, "guarantees", 0.90))),
+        where(AT_WORDS, F.transform(F.filter(F.transform(all_of(AT_COMPANY), bare), foreign), fact(16, 100, "hasCustomer", 0.86))),
+        where(("case study",), F.transform(F.filter(F.transform(all_of(CASE_STUDY), bare), foreign), fact(16, 101, "hasCustomer", 0.82))),
+        where(("automat", "streamline"), F.transform(F.filter(done, lambda o: (F.length(o) >= 4) & foreign(o) & ~F.lower(o).rlike("http|www|cookie")), fact(17, 102, "automates", 0.80))),
     ]
     if partners:
         each = F.flatten(F.transform(all_of(CONNECTS), lambda span: F.transform(F.split(span, r",\s*|\s+and\s+"), bare)))
-        kinds.append(F.transform(F.filter(each, lambda o: (F.length(o) >= 2) & foreign(o) & ~F.lower(o).isin(*_NO_PARTNERS)), fact(18, 103, "integratesWith", 0.82)))
+        kinds.append(where(("integrat", "connect"), F.transform(F.filter(each, lambda o: (F.length(o) >= 2) & foreign(o) & ~F.lower(o).isin(*_NO_PARTNERS)), fact(18, 103, "integratesWith", 0.82))))
     return F.concat(*kinds)
 
 
@@ -203,7 +218,8 @@ def stated(docs: DataFrame, key: str, rules: tuple[Rule, ...] = RULES, text: str
     outside the list count, as where a vertical has no list of its own.
     """
     sent = sentences(docs.select(key, F.col(text).alias("__text"), (F.col(vendor) if vendor else F.lit(None).cast("string")).alias("__vendor")), key, "__text", ("__vendor",))
-    low = F.lower("sentence")
+    # a column of its own, as every test of a sentence reads it
+    sent, low = sent.withColumn("__low", F.lower("sentence")), F.col("__low")
     each = sent.select(key, "sent", "sentence", F.explode(F.concat(_listed(low, rules), _open(F.col("sentence"), low, F.col("__vendor"), partners))).alias("m"))
     each = each.select(key, "sent", "m.*", F.substring("sentence", 1, EVIDENCE).alias("evidence")).withColumn("object", F.regexp_replace("object", _ENDS, ""))
     first = F.min_by(F.struct("object", "confidence", "evidence", "step"), F.struct("step", "sent", "rule", "place"))
@@ -256,10 +272,11 @@ def seeded(docs: DataFrame, key: str, seeds: DataFrame, text: str = "text") -> D
     return found.select(key, "predicate", F.lower("object").alias("low"), "object", "confidence", "evidence", F.lit(20).alias("step"))
 
 
-def without_overlaps(facts: DataFrame, key: str) -> DataFrame:
+def without_overlaps(facts: DataFrame, key: str, proven_all: bool = False) -> DataFrame:
     """(key, predicate, object, confidence, evidence): of the facts one sentence proves those whose object is no part, in whole words, of a longer one; one without a sentence is held against all of its text.
 
-    A sentence proves no more facts than it holds terms, and a text's different
+    ``proven_all`` says that every fact has a sentence; facts are read once
+    then, and three times otherwise. A sentence proves no more facts than it holds terms, and a text's different
     objects come from lists and labels, so the sets compared are small.
     """
     part = lambda mine: lambda o: (F.length(o) > F.length(mine)) & F.contains(o, mine) & F.rlike(o, F.concat(F.lit(r"\b\Q"), mine, F.lit(r"\E\b")))
@@ -267,10 +284,13 @@ def without_overlaps(facts: DataFrame, key: str) -> DataFrame:
     proven = facts.where(F.col("evidence") != "")
     by_sentence = proven.withColumn("many", F.collect_set("low").over(Window.partitionBy(key, "evidence")))
     kept = by_sentence.where(~inside(F.col("many"))).drop("many")
+    columns = (key, "predicate", "object", F.round("confidence", 2).alias("confidence"), F.nullif(F.col("evidence"), F.lit("")).alias("evidence"))
+    if proven_all:
+        return kept.select(*columns)
     bare = facts.where(F.col("evidence") == "")
     all_of = facts.join(bare.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.collect_set("low").alias("many"))
     alone = bare.join(all_of, key).where(~inside(F.col("many"))).drop("many")
-    return kept.unionByName(alone).select(key, "predicate", "object", F.round("confidence", 2).alias("confidence"), F.nullif(F.col("evidence"), F.lit("")).alias("evidence"))
+    return kept.unionByName(alone).select(*columns)
 
 
 def relations(docs: DataFrame, key: str, rules: tuple[Rule, ...] = RULES, text: str = "text", vendor: str | None = None, entities: DataFrame | None = None, seeds: DataFrame | None = None, canonical: DataFrame | None = None, partners: bool = True, closed: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
@@ -289,4 +309,5 @@ def relations(docs: DataFrame, key: str, rules: tuple[Rule, ...] = RULES, text:
     if facts is not found:
         first = F.min_by(F.struct("object", "confidence", "evidence", "step"), F.struct("step", "object", "confidence"))
         facts = facts.groupBy(key, "predicate", "low").agg(first.alias("f")).select(key, "predicate", "low", "f.*")
-    return without_overlaps(facts, key)
+    # what a text states has the sentence that states it
+    return without_overlaps(facts, key, facts is found)

@@ -30,7 +30,9 @@ SAID = (
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
-    named = table(spark, folder, "entities").where(F.trim("preflabel") != "").groupBy("id").agg(F.min("preflabel").alias("name"))
+    # the search of the texts costs far more than their bytes tell, so they are not put together into few tasks
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    named = table(spark, folder, "entities").where(F.trim("preflabel") != "").select("id", "preflabel").repartition(tasks, "id").groupBy("id").agg(F.min("preflabel").alias("name"))
     parts = [F.when((F.length("id") + i) % 3 == 0, F.replace(F.lit(s), F.lit("%s"), F.col("name"))).otherwise("") for i, s in enumerate(SAID)]
     return named.select("id", "name", F.concat(*parts).alias("text"))
 
